@@ -24,36 +24,57 @@ CATEGORY_IDS = {
 CATEGORY_ENDINGS = {"leaves": "_leaves", "powder": "_concrete_powder", "concrete": "_concrete"}
 HOT_CATEGORIES = ("fire", "ice", "leaves", "powder", "concrete", "grass", "dirt", "water", "lava")
 FLUID_PRODUCTS = ("obsidian", "cobblestone", "stone", "basalt")
+NO_CATEGORY = "-"
+
+
+def _lookup(mapping: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for item in mapping.items() for v in item]), key)
 
 
 def block_category(block: Column) -> Column:
-    expr = None
+    """Category of a block id; null for the many ids that are not watched."""
+    by_id = {i: category for category, ids in CATEGORY_IDS.items() for i in ids}
+    by_ending = F.lit(None).cast("string")
     for category, ending in CATEGORY_ENDINGS.items():
-        test = block.endswith(ending)
-        expr = F.when(test, category) if expr is None else expr.when(test, category)
-    for category, ids in CATEGORY_IDS.items():
-        expr = expr.when(block.isin(*ids), category)
-    return expr
+        by_ending = F.when(block.endswith(ending), category).otherwise(by_ending)
+    return F.coalesce(_lookup(by_id, block), by_ending)
 
 
 def is_hot_category(category: Column) -> Column:
     return F.coalesce(category.isin(*HOT_CATEGORIES), F.lit(False))
 
 
-def natural_change(prev_block: Column, prev: Column, cur: Column, block: Column) -> Column:
-    """Action type of a change between categories; null when it says nothing.
-    The order of the rules matters."""
-    was = lambda c: F.coalesce(prev == c, F.lit(False))
-    now = lambda c: F.coalesce(cur == c, F.lit(False))
-    changed = prev_block.isNotNull() & (prev_block != block)
-    by_rule = (
-        F.when(was("fire") & ~now("fire"), "BURN")
-        .when(~was("fire") & now("fire"), "IGNITE")
-        .when(was("ice") & ~now("ice"), "FADE")
-        .when(was("powder") & now("concrete"), "FORM")
-        .when((was("water") | was("lava")) & F.coalesce(cur.isin(*FLUID_PRODUCTS), F.lit(False)), "FORM")
-        .when((was("water") | prev.isNull()) & now("ice"), "FORM")
-        .when(was("dirt") & now("grass"), "SPREAD")
-        .when(was("leaves") & ~now("leaves"), "LEAVES_DECAY")
-    )
-    return F.when(changed, by_rule).when(prev_block.isNull() & now("fire"), "IGNITE")
+def change_between(was: str, now: str) -> str | None:
+    """What a change from one category to another means, if anything."""
+    if was == "fire" or now == "fire":
+        return None if was == now else "BURN" if was == "fire" else "IGNITE"
+    if was == "ice":
+        return None if now == "ice" else "FADE"
+    if (was, now) == ("powder", "concrete") or (was in ("water", "lava") and now in FLUID_PRODUCTS):
+        return "FORM"
+    if now == "ice" and was in ("water", NO_CATEGORY):
+        return "FORM"
+    if (was, now) == ("dirt", "grass"):
+        return "SPREAD"
+    return "LEAVES_DECAY" if was == "leaves" and now != "leaves" else None
+
+
+def natural_change(prev_block: Column, block: Column) -> Column:
+    """Action name of a change of block; null when it says nothing. A first
+    sight of fire counts as an ignition.
+
+    The rules become one literal map over pairs of categories, so each category
+    is computed once per row.
+    """
+    names = [NO_CATEGORY, *CATEGORY_IDS, *CATEGORY_ENDINGS]
+    pairs = {f"{a}>{b}": change_between(a, b) for a in names for b in names}
+    known = {pair: change for pair, change in pairs.items() if change}
+
+    def named(b: Column) -> Column:
+        return F.coalesce(block_category(b), F.lit(NO_CATEGORY))
+
+    # A cell seen for the first time was something unlike any category.
+    first = {f"?>{c}": "IGNITE" for c in ("fire",)}
+    before = F.when(prev_block.isNull(), F.lit("?")).otherwise(named(prev_block))
+    pair = F.concat(before, F.lit(">"), named(block))
+    return F.when(~prev_block.eqNullSafe(block), _lookup({**known, **first}, pair))

@@ -185,13 +185,12 @@ def classify_block_changes(observations: DataFrame, span: timedelta = DAY) -> Da
         *part, F.last(F.when(F.col("_kept"), F.col("_block")), ignorenulls=True).over(before).alias("_in")
     )
 
-    rows = rows.select(*part, "ts", "id", "block", "_cat", "_prev", "_prev_open").join(carried, part, "left")
+    rows = rows.select(*part, "ts", "id", "block", "_prev", "_prev_open").join(carried, part, "left")
     open_in = block_category(F.col("_in")).isNotNull()
     prev = F.coalesce(F.col("_prev"), F.when(open_in, F.col("_prev_open")), F.col("_in"))
     rows = rows.withColumn("prev_block", prev)
-    change = natural_change(F.col("prev_block"), block_category(F.col("prev_block")), F.col("_cat"), F.col("block"))
     return (
-        rows.withColumn("change", change)
+        rows.withColumn("change", natural_change(F.col("prev_block"), F.col("block")))
         .filter(F.col("change").isNotNull())
         .select("id", "ts", *CELL, "prev_block", "block", "change")
     )
