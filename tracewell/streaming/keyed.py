@@ -35,12 +35,12 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 class _LastSeen(StatefulProcessor):
     """Keeps the time of a key's last row (or last kept row)."""
 
-    def __init__(self, window: int, extend: bool):
-        self.window, self.extend = window, extend
+    def __init__(self, window: int, extend: bool, expire: bool):
+        self.window, self.extend, self.expire = window, extend, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
         self.handle = handle
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
@@ -52,9 +52,10 @@ class _LastSeen(StatefulProcessor):
             if fresh or self.extend:
                 last = at
         self.seen.update((int(last),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, self.window // 1_000))
+        if self.expire:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, self.window // 1_000))
         yield pdf[kept].drop(columns=["_at", "_key"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -66,30 +67,17 @@ class _LastSeen(StatefulProcessor):
 
 
 def _last_seen(rows: DataFrame, key, window: timedelta, extend: bool, expire: bool) -> DataFrame:
+    """Without expiry the state stays: for replays, where event time and clock
+    have nothing to do with each other."""
     keyed = rows.withColumn("_key", key).withColumn("_at", micros(F.col("ts")))
-    mode = "ProcessingTime" if expire else "None"
-    processor = _LastSeen(to_micros(window), extend) if expire else _LastSeenForever(to_micros(window), extend)
     return keyed.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=rows.schema, outputMode="Append", timeMode=mode
+        statefulProcessor=_LastSeen(to_micros(window), extend, expire),
+        outputStructType=rows.schema,
+        outputMode="Append",
+        timeMode="ProcessingTime" if expire else "None",
     )
 
 
-class _LastSeenForever(_LastSeen):
-    """Without expiry: for replays, where event time and clock are unrelated."""
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows)
-        last = self.seen.get()[0] if self.seen.exists() else None
-        kept = []
-        for at in pdf["_at"]:
-            fresh = last is None or at - last >= self.window
-            kept.append(fresh)
-            if fresh or self.extend:
-                last = at
-        self.seen.update((int(last),))
-        yield pdf[kept].drop(columns=["_at", "_key"])
-
-
 def coalesce_stream(events: DataFrame, window: timedelta = COALESCE_WINDOW, expire: bool = True) -> DataFrame:
     """Entity changes without those that follow a change of the same actor and
     cell by less than ``window``."""
