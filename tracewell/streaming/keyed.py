@@ -29,7 +29,7 @@ def use_keyed_state(spark: SparkSession) -> None:
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """One key's rows of a micro-batch, which the source bounds."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(["_at", "id"], kind="stable")
+    return pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "id"], kind="stable")
 
 
 class _LastSeen(StatefulProcessor):
@@ -46,7 +46,7 @@ class _LastSeen(StatefulProcessor):
         pdf = _in_order(rows)
         last = self.seen.get()[0] if self.seen.exists() else None
         kept = []
-        for at in pdf["_at"]:
+        for at in pdf["at_us"]:
             fresh = last is None or at - last >= self.window
             kept.append(fresh)
             if fresh or self.extend:
@@ -56,7 +56,7 @@ class _LastSeen(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, self.window // 1_000))
-        yield pdf[kept].drop(columns=["_at", "_key"])
+        yield pdf[kept].drop(columns=["at_us", "state_key"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
@@ -69,8 +69,8 @@ class _LastSeen(StatefulProcessor):
 def _last_seen(rows: DataFrame, key, window: timedelta, extend: bool, expire: bool) -> DataFrame:
     """Without expiry the state stays: for replays, where event time and clock
     have nothing to do with each other."""
-    keyed = rows.withColumn("_key", key).withColumn("_at", micros(F.col("ts")))
-    return keyed.groupBy("_key").transformWithStateInPandas(
+    keyed = rows.withColumn("state_key", key).withColumn("at_us", micros(F.col("ts")))
+    return keyed.groupBy("state_key").transformWithStateInPandas(
         statefulProcessor=_LastSeen(to_micros(window), extend, expire),
         outputStructType=rows.schema,
         outputMode="Append",
@@ -113,10 +113,10 @@ class _LastRecord(StatefulProcessor):
         out = []
         for row in pdf.itertuples(index=False):
             if row.is_record:
-                held = (int(row.at), row.actor, row.kind)
+                held = (int(row.at_us), row.actor, row.kind)
                 continue
             actor = kind = None
-            if held is not None and row.at - held[0] <= self.ttl and held[1] is not None:
+            if held is not None and row.at_us - held[0] <= self.ttl and held[1] is not None:
                 if not self.accept or held[2] in self.accept:
                     actor, kind = held[1], held[2]
             out.append((row.id, actor, kind))
@@ -139,7 +139,7 @@ _FOUND = T.StructType([
 
 def _last_record(events: DataFrame, ttl: timedelta, take: bool, accept=()) -> DataFrame:
     rows = events.select(
-        "key", "id", micros(F.col("ts")).alias("at"), micros(F.col("ts")).alias("_at"), "is_record", "actor", "kind"
+        "key", "id", micros(F.col("ts")).alias("at_us"), "is_record", "actor", "kind"
     )
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_LastRecord(to_micros(ttl), take, tuple(accept)),
