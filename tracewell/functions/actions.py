@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.literals import look_up
 from tracewell.functions.timing import MICROS_PER_SECOND, micros, ts_lit
 from tracewell.schema import (
     COMMAND,
@@ -167,18 +168,13 @@ def previous_name(target: Column) -> Column:
     return F.when(F.instr(target, " -> ") > 0, F.substring_index(target, " -> ", 1)).otherwise("?")
 
 
-def _literal_lookup(mapping: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(v) for item in mapping.items() for v in item]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
 def cause_tag(cause: Column) -> Column:
-    return _literal_lookup(CAUSE_TAGS, cause)
+    return look_up(CAUSE_TAGS, cause)
 
 
 def entity_tag(entity: Column) -> Column:
     """A known kind's tag, else ``#mob:<id>``."""
-    known = F.coalesce(_literal_lookup(ENTITY_TAGS, entity), F.concat(F.lit(MOB_PREFIX), entity))
+    known = F.coalesce(look_up(ENTITY_TAGS, entity), F.concat(F.lit(MOB_PREFIX), entity))
     return F.when(entity.isNotNull(), known)
 
 

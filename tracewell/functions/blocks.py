@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.literals import look_up
+
 # Category per block id or id ending.
 CATEGORY_IDS = {
     "fire": ("minecraft:fire", "minecraft:soul_fire"),
@@ -27,17 +29,13 @@ FLUID_PRODUCTS = ("obsidian", "cobblestone", "stone", "basalt")
 NO_CATEGORY = "-"
 
 
-def _lookup(mapping: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for item in mapping.items() for v in item]), key)
-
-
 def block_category(block: Column) -> Column:
     """Category of a block id; null for the many ids that are not watched."""
     by_id = {i: category for category, ids in CATEGORY_IDS.items() for i in ids}
     by_ending = F.lit(None).cast("string")
     for category, ending in CATEGORY_ENDINGS.items():
         by_ending = F.when(block.endswith(ending), category).otherwise(by_ending)
-    return F.coalesce(_lookup(by_id, block), by_ending)
+    return F.coalesce(look_up(by_id, block), by_ending)
 
 
 def is_hot_category(category: Column) -> Column:
@@ -77,4 +75,4 @@ def natural_change(prev_block: Column, block: Column) -> Column:
     first = {f"?>{c}": "IGNITE" for c in ("fire",)}
     before = F.when(prev_block.isNull(), F.lit("?")).otherwise(named(prev_block))
     pair = F.concat(before, F.lit(">"), named(block))
-    return F.when(~prev_block.eqNullSafe(block), _lookup({**known, **first}, pair))
+    return F.when(~prev_block.eqNullSafe(block), look_up({**known, **first}, pair))

@@ -60,6 +60,9 @@ def greedy_chain(
     types = {f.name: f.dataType for f in rows.schema.fields}
     keys = [T.StructField(g, types[g]) for g in group]
 
+    # A fixed number of tasks: groups are work for Python, however few bytes
+    # they have, so partitions must not be merged by size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     home = F.floor(F.col(pos) / F.lit(segment))
     ahead = F.pmod(F.col(pos), F.lit(segment)) < F.lit(lookahead)
     spread = (
@@ -67,6 +70,7 @@ def greedy_chain(
         .withColumn("_seg", F.explode(F.when(ahead, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))))
         .withColumn("_own", F.col("_seg") == F.col("_home"))
         .drop("_home")
+        .repartition(tasks, *group, "_seg")
     )
 
     def prepared(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +120,7 @@ def greedy_chain(
         step_function,
         T.StructType([*keys, seg, *[T.StructField(n, longs) for n in ("upto", "bound", "last")]]),
     )
-    entries = steps.groupBy(*group).applyInPandas(
+    entries = steps.repartition(tasks, *group).groupBy(*group).applyInPandas(
         fold, T.StructType([*keys, seg, T.StructField("entry", T.LongType()), T.StructField("carried", T.LongType())])
     )
     return (

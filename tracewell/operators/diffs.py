@@ -127,7 +127,7 @@ def diff_regions(before: DataFrame, after: DataFrame, keys: list[str] = ()) -> D
     return both.select(*cell, F.explode(rows).alias("c")).select(*cell, "c.type", "c.block")
 
 
-def _remembered(rows: DataFrame, keys: list[str], order: list[str], always: str, block: str) -> DataFrame:
+def _remembered(rows: DataFrame, keys: list[str], order: list[str], always: str, category: str) -> DataFrame:
     """Which rows the watcher remembers, within ``keys``.
 
     An ``always`` row is remembered; any other row only if what is remembered
@@ -140,9 +140,10 @@ def _remembered(rows: DataFrame, keys: list[str], order: list[str], always: str,
     until_here = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = timeline.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_rn", F.row_number().over(timeline))
-    blank = F.when(block_category(F.col(block)).isNull(), F.col("_rn"))
-    rows = rows.withColumn("_hot", F.max(F.when(F.col(always), F.col("_rn"))).over(until_here))
-    rows = rows.withColumn("_null", F.max(blank).over(earlier))
+    blank = F.when(F.col(category).isNull(), F.col("_rn"))
+    rows = rows.withColumns({
+        "_hot": F.max(F.when(F.col(always), F.col("_rn"))).over(until_here), "_null": F.max(blank).over(earlier),
+    })
     lasting = F.col("_hot").isNotNull() & (F.coalesce("_null", F.lit(0)) < F.col("_hot"))
     return rows.withColumn("_kept", F.col(always) | lasting)
 
@@ -157,29 +158,29 @@ def classify_block_changes(observations: DataFrame, span: timedelta = DAY) -> Da
     second window over one summary row per cell and segment.
     """
     part, order = [*CELL, "_seg"], ["ts", "id"]
-    rows = observations.withColumn("_seg", segment_of(F.col("ts"), span))
-    rows = rows.withColumn("_cat", block_category(F.col("block")))
-    rows = rows.withColumn("_always", is_hot_category(F.col("_cat")))
-    rows = _remembered(rows, part, order, "_always", "block")
+    category = block_category(F.col("block"))
+    rows = observations.withColumns({"_seg": segment_of(F.col("ts"), span), "_cat": category})
+    rows = _remembered(rows.withColumn("_always", is_hot_category(F.col("_cat"))), part, order, "_always", "_cat")
     timeline = Window.partitionBy(*part).orderBy(*order)
     earlier = timeline.rowsBetween(Window.unboundedPreceding, -1)
     # Before the segment's first hot row it depends on what came in: if that has
     # a category, rows are kept up to and including the first without one.
     opening = F.col("_hot").isNull()
     if_open = F.when(opening & F.col("_null").isNull(), F.col("block"))
-    rows = rows.withColumn("_if_open", if_open)
-    rows = rows.withColumn("_prev_open", F.last("_if_open", ignorenulls=True).over(earlier))
-    rows = rows.withColumn("_settled", F.when(F.col("_kept"), F.col("block")))
-    rows = rows.withColumn("_prev", F.last("_settled", ignorenulls=True).over(earlier))
+    rows = rows.withColumns({"_if_open": if_open, "_settled": F.when(F.col("_kept"), F.col("block"))})
+    rows = rows.withColumns({
+        "_prev_open": F.last("_if_open", ignorenulls=True).over(earlier),
+        "_prev": F.last("_settled", ignorenulls=True).over(earlier),
+    })
 
     at = F.struct("ts", "id")
     summary = rows.groupBy(*part).agg(
         F.max_by("_settled", F.when(F.col("_settled").isNotNull(), at)).alias("_out"),
         F.max_by("_if_open", F.when(F.col("_if_open").isNotNull(), at)).alias("_out_open"),
     )
-    summary = summary.withColumn("_always", F.col("_out").isNotNull())
-    summary = summary.withColumn("_block", F.coalesce("_out", "_out_open"))
-    summary = _remembered(summary, CELL, ["_seg"], "_always", "_block")
+    left = F.coalesce("_out", "_out_open")
+    summary = summary.withColumns({"_always": F.col("_out").isNotNull(), "_block": left, "_cat": block_category(left)})
+    summary = _remembered(summary, CELL, ["_seg"], "_always", "_cat")
     before = Window.partitionBy(*CELL).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *part, F.last(F.when(F.col("_kept"), F.col("_block")), ignorenulls=True).over(before).alias("_in")

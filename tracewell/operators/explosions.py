@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.affected import any_affected_in_box, parse_affected, serialize_affected
@@ -84,12 +84,27 @@ def pack_affected(blocks: DataFrame, group: list[str]) -> DataFrame:
     entries = blocks.select(
         *group, F.col("seq").cast("long").alias("seq"), F.when(named, F.concat(text, F.lit("="), "block")).alias("text")
     ).withColumn("size", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long"))
+    # Most lists fit one chunk: those need no chain. Later segments of such a
+    # list, if it has gaps, begin anew anyway.
+    part = Window.partitionBy(*group, "_part")
+    sized = entries.withColumn("_part", F.floor(F.col("seq") / F.lit(PACK_SEGMENT))).withColumns({
+        "_first": F.min("seq").over(part), "_last": F.max("seq").over(part), "_total": F.sum("size").over(part),
+    })
+    fits = (
+        (F.col("_part") == 0)
+        & (F.col("_last") - F.col("_first") < MAX_ENTRIES)
+        & (F.col("_first") + MAX_ENTRIES <= PACK_SEGMENT)
+        & (F.col("_total") <= MAX_CHARS + 1)
+    )
+    whole = sized.filter(fits).select(*group, "seq", "text", F.col("_first").alias("start"))
+    cut = sized.filter(~fits).select(*group, "seq", "text", "size")
     placed = greedy_chain(
-        entries.select(*group, "seq", "size"),
+        cut.select(*group, "seq", "size"),
         group, "seq", _next_chunk, segment=PACK_SEGMENT, reach=MAX_ENTRIES, lookahead=MAX_ENTRIES,
     )
     return (
-        entries.join(placed, [*group, "seq"])
+        cut.drop("size").join(placed, [*group, "seq"])
+        .unionByName(whole)
         .filter(F.col("text").isNotNull())
         .groupBy(*group, F.col("start").alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))  # at most 96

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.literals import pick
+
 
 @dataclass(frozen=True)
 class ActionType:
@@ -193,8 +195,7 @@ def type_attribute(name: str, type_col: Column | str = "type") -> Column:
     """Attribute of the action type as an array lookup: ids are dense from 1,
     so no join is needed. Unknown ids give null."""
     column = F.col(type_col) if isinstance(type_col, str) else type_col
-    values = F.array(*[F.lit(getattr(t, name)) for t in ACTION_TYPES])
-    return F.get(values, column - 1)
+    return pick([getattr(t, name) for t in ACTION_TYPES], column - 1)
 
 
 def action_type_table(spark: SparkSession) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +51,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_shipped: SparkContext | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context: the grouped
+    pandas functions are looked up there by module name."""
+    global _shipped
+    context = spark.sparkContext
+    if _shipped is context:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tracewell-package-"), "tracewell")
+    context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped = context
