@@ -18,6 +18,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions=8,
         spark__ui__enabled="false",
+        spark__sql__maxMetadataStringLength=10_000,
         spark__driver__memory="8g",
         spark__sql__streaming__stateStore__providerClass=(
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

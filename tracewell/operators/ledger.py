@@ -17,6 +17,7 @@ from tracewell.functions.timing import ts_lit
 from tracewell.operators.lookups import newest_first
 from tracewell.operators.rollback import RESTORE, ROLLBACK, is_rollbackable, newest_per_position
 from tracewell.schema import BATCH_ACTIONS, BATCHES, CONSOLE_ACTOR, EXPLOSION, KILL
+from tracewell.session import broadcast_if_small
 from tracewell.sources.tables import read_table
 
 # Fixed value: operations kept per actor.
@@ -33,12 +34,19 @@ def effective_flags(actions: DataFrame, batches: DataFrame, bridge: DataFrame) -
     ``batches`` has batch_id, mode; ``bridge`` batch_id, action_id. The bridge
     is reduced to one row per action before it meets the facts.
     """
+    return _with_flags(actions, _applied_flags(batches, bridge))
+
+
+def _applied_flags(batches: DataFrame, bridge: DataFrame) -> DataFrame:
     modes = batches.select("batch_id", "mode").distinct()
-    flags = (
+    return (
         bridge.join(modes, "batch_id")
         .groupBy(F.col("action_id").alias("id"))
         .agg(F.max_by((F.col("mode") == ROLLBACK).cast("int"), "batch_id").alias("_flag"))
     )
+
+
+def _with_flags(actions: DataFrame, flags: DataFrame) -> DataFrame:
     return (
         actions.join(flags, "id", "left")
         .withColumn("rolled_back", F.coalesce("_flag", "rolled_back"))
@@ -176,8 +184,13 @@ class Ledger:
         return True
 
     def effective(self, actions: DataFrame) -> DataFrame:
-        """Facts under all applied steps so far."""
-        return effective_flags(actions, self.batches(), self.bridge(APPLIED))
+        """Facts under all applied steps so far.
+
+        The flags are counted first: while they are few, facts are not
+        shuffled to meet them.
+        """
+        flags = _applied_flags(self.batches(), self.bridge(APPLIED))
+        return _with_flags(actions, broadcast_if_small(flags))
 
 
 def step_results(plan_rows: DataFrame, mode: int, failed_ids: DataFrame | None = None) -> DataFrame:

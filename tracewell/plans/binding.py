@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.schema import EVENTS as PRODUCED
+
 # The clock of every registered query.
 NOW = datetime(2024, 1, 31)
 MID = datetime(2024, 1, 16)
@@ -84,14 +86,28 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
+def bind(events: DataFrame) -> DataFrame:
+    numbered = events.select("event_id", "ts", "user_id", "value", F.explode(F.array(F.expr(NUMBER))).alias("k"))
+    return events.sparkSession.sql("WITH " + BINDING + "SELECT * FROM a", numbered=numbered)
+
+
 @functools.lru_cache(maxsize=4)
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All derived columns, as a plan (no data is kept); callers select what
     they need and the scan prunes."""
-    numbered = events_of(spark, sf_dir).select(
-        "event_id", "ts", "user_id", "value", F.explode(F.array(F.expr(NUMBER))).alias("k")
+    return bind(events_of(spark, sf_dir))
+
+
+def fact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts as a stream over the event files."""
+    return bind(spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/event*.parquet"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    """What a producer would hand in: columns the facts lack are null."""
+    return rows.select(
+        *[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PRODUCED.fields]
     )
-    return spark.sql("WITH " + BINDING + "SELECT * FROM a", numbered=numbered)
 
 
 def shown(df: DataFrame) -> DataFrame:

@@ -41,4 +41,6 @@ def load_all() -> None:
         lookups,
         maintenance,
         rollbacks,
+        storage,
+        streams,
     )

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def build_session(app: str = "tracewell", master: str | None = None, **conf) -> SparkSession:
@@ -34,25 +36,48 @@ def build_session(app: str = "tracewell", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+_local_folder: str | None = None
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master with nothing configured (tests) gets a folder of its own: on a
-    cluster a machine-local folder would be lost with its executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master with nothing configured (tests) gets a folder of its
+    own: on a cluster a machine-local folder would be lost with its executor.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    global _local_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can read")
+    _local_folder = _local_folder or tempfile.mkdtemp(prefix="tracewell-")
+    return _local_folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name for the tables of one run."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can read")
-            folder = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+# Rows a side may have and still be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting (the count stops past the bound);
+    a larger side is joined by shuffle."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _shipped: SparkContext | None = None
 
 

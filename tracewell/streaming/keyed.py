@@ -5,10 +5,12 @@ State is one small value per key with a time to live, in the RocksDB store.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from tracewell.operators.attribution import HIT_WINDOW, PLAYER_KINDS, PRIME_TTL
 from tracewell.operators.gate import COALESCE_WINDOW, SPAWN_WINDOW
 from tracewell.schema import ENTITY_CHANGE, SPAWN
 
+# The state runner does not look into files added to the context, so processors
+# travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
