@@ -126,8 +126,9 @@ def test_coalescing_equals_fold(spark, seed):
     assert sorted(ids(got)) == expected
 
 
-@pytest.mark.parametrize("seed,step", [(1, 0.3), (2, 0.001), (3, 2.0), (4, 0.25)])
-def test_throttle_equals_fold(spark, seed, step):
+@pytest.mark.parametrize("seed,step,block", [(1, 0.3, 2), (2, 0.001, 1024), (3, 2.0, 3), (4, 0.25, 4)])
+def test_throttle_equals_fold(spark, monkeypatch, seed, step, block):
+    monkeypatch.setattr("tracewell.operators.chains.BLOCK", block)
     rng = random.Random(seed)
     t, rows = 0.0, []
     for i in range(2000):
@@ -165,6 +166,7 @@ def fold_pack(blocks):
 @pytest.mark.parametrize("segment", [MAX_ENTRIES, 3 * MAX_ENTRIES])
 def test_packing_equals_fold(spark, monkeypatch, segment):
     monkeypatch.setattr("tracewell.operators.explosions.PACK_SEGMENT", segment)
+    monkeypatch.setattr("tracewell.operators.chains.BLOCK", 2)
     rng = random.Random(segment)
     groups, rows = {}, []
     for name, n, longest in (("short", 700, 12), ("mixed", 900, 200), ("long", 300, 1500), ("huge", 60, 5000), ("one", 1, 5), ("gaps", 500, 90)):

@@ -4,8 +4,11 @@
 on" depends on order, so it has no window form, and one group may be too large
 for one task. It does split: inside a segment of positions the outcome depends
 only on where the chain enters. Pass one turns every segment into a small step
-function (entry row -> bound and last pick at its end), pass two folds those
-along each group, pass three marks the rows of every segment from its entry.
+function (entry row -> bound and last pick at its end). Step functions of
+neighbouring segments compose, so they are first joined into blocks, then the
+blocks of a group are folded in order, then the segments of each block; the
+last pass marks the rows of every segment from its entry. The largest thing a
+task holds is a segment, or the summaries of one block.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from pyspark.sql import types as T
 
 NO_PICK = -(1 << 62)
 
+# Segments per block.
+BLOCK = 1_024
+
 
 def _hops(pos: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Index of the row picked after each row; its own index at the end."""
@@ -38,6 +44,13 @@ def _last_pick(nxt: np.ndarray) -> np.ndarray:
         reach = further
 
 
+def _steps(upto: np.ndarray, bound: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A step function without steps that lead to the same place."""
+    differs = (bound[1:] != bound[:-1]) | (last[1:] != last[:-1])
+    edge = np.append(np.flatnonzero(differs), len(bound) - 1)
+    return upto[edge], bound[edge], last[edge]
+
+
 def greedy_chain(
     rows: DataFrame,
     group: list[str],
@@ -63,6 +76,7 @@ def greedy_chain(
     # A fixed number of tasks: groups are work for Python, however few bytes
     # they have, so partitions must not be merged by size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = BLOCK
     home = F.floor(F.col(pos) / F.lit(segment))
     ahead = F.pmod(F.col(pos), F.lit(segment)) < F.lit(lookahead)
     spread = (
@@ -83,24 +97,47 @@ def greedy_chain(
     def step_function(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, at, bound, nxt = prepared(pdf)
         if not len(at):
-            return pd.DataFrame(columns=[*group, "_seg", "upto", "bound", "last"])
+            return pd.DataFrame(columns=[*group, "_seg", "_block", "upto", "bound", "last"])
         first = int(mine["_seg"].iloc[0]) * segment
         entries = np.arange(min(len(at), int(np.searchsorted(at, first + reach)) + 1))
         ends = _last_pick(nxt)[entries]
-        edge = np.append(np.flatnonzero(ends[1:] != ends[:-1]), len(ends) - 1)
         head = mine.iloc[[0]][[*group, "_seg"]].reset_index(drop=True)
-        return head.assign(upto=[at[entries[edge]]], bound=[bound[ends[edge]]], last=[at[ends[edge]]])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seg").reset_index(drop=True)
-        entry, carried = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-        bound, last = NO_PICK, NO_PICK
-        for i, (upto, bounds, lasts) in enumerate(zip(pdf["upto"], pdf["bound"], pdf["last"])):
-            entry[i], carried[i] = bound, last
-            step = int(np.searchsorted(upto, bound, side="left"))
-            if step < len(upto):
-                bound, last = int(bounds[step]), int(lasts[step])
-        return pdf[[*group, "_seg"]].assign(entry=entry, carried=carried)
+        upto, exits, lasts = _steps(at[entries], bound[ends], at[ends])
+        return head.assign(_block=head["_seg"] // block, upto=[upto], bound=[exits], last=[lasts])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One step function for all segments of a block, from the last back."""
+        pdf = pdf.sort_values("_seg", ascending=False).reset_index(drop=True)
+        upto = exits = lasts = np.empty(0, np.int64)
+        for seg, u, b, e in zip(pdf["_seg"], pdf["upto"], pdf["bound"], pdf["last"]):
+            then = np.searchsorted(upto, b, side="left")
+            goes_on = then < len(upto)
+            b, e = b.copy(), e.copy()
+            b[goes_on], e[goes_on] = exits[then[goes_on]], lasts[then[goes_on]]
+            later = upto > u[-1]  # entries past every row of this segment
+            upto, exits, lasts = (np.concatenate(p) for p in ((u, upto[later]), (b, exits[later]), (e, lasts[later])))
+            near = int(np.searchsorted(upto, int(seg) * segment + reach)) + 1
+            upto, exits, lasts = _steps(upto[:near], exits[:near], lasts[:near])
+        head = pdf.iloc[[0]][[*group, "_block"]].reset_index(drop=True)
+        return head.assign(upto=[upto], bound=[exits], last=[lasts])
+
+    def fold(part: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """Entry bound and pick in force at each part, in order; starts from
+        the ``entry`` and ``carried`` of the whole, if it has them."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(part).reset_index(drop=True)
+            entry, carried = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+            bound = int(pdf["entry"].iloc[0]) if "entry" in pdf else NO_PICK
+            last = int(pdf["carried"].iloc[0]) if "carried" in pdf else NO_PICK
+            for i, (upto, bounds, lasts) in enumerate(zip(pdf["upto"], pdf["bound"], pdf["last"])):
+                entry[i], carried[i] = bound, last
+                step = int(np.searchsorted(upto, bound, side="left"))
+                if step < len(upto):
+                    bound, last = int(bounds[step]), int(lasts[step])
+            return pdf[[*group, part]].assign(entry=entry, carried=carried)
+
+        return run
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, at, _, nxt = prepared(pdf)
@@ -114,17 +151,25 @@ def greedy_chain(
             start = np.where(under >= 0, at[np.asarray(picks)[np.maximum(under, 0)]], start)
         return mine[[*group, pos]].assign(start=start)
 
-    longs = T.ArrayType(T.LongType())
-    seg = T.StructField("_seg", T.LongType())
+    def long(*names: str) -> list[T.StructField]:
+        return [T.StructField(n, T.LongType()) for n in names]
+
+    functions = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("upto", "bound", "last")]
     steps = spread.groupBy(*group, "_seg").applyInPandas(
-        step_function,
-        T.StructType([*keys, seg, *[T.StructField(n, longs) for n in ("upto", "bound", "last")]]),
+        step_function, T.StructType([*keys, *long("_seg", "_block"), *functions])
+    )
+    of_block = [*group, "_block"]
+    blocks = steps.groupBy(*of_block).applyInPandas(compose, T.StructType([*keys, *long("_block"), *functions]))
+    heads = blocks.groupBy(*group).applyInPandas(
+        fold("_block"), T.StructType([*keys, *long("_block", "entry", "carried")])
     )
-    entries = steps.repartition(tasks, *group).groupBy(*group).applyInPandas(
-        fold, T.StructType([*keys, seg, T.StructField("entry", T.LongType()), T.StructField("carried", T.LongType())])
+    entries = (
+        steps.join(heads, of_block)
+        .groupBy(*of_block)
+        .applyInPandas(fold("_seg"), T.StructType([*keys, *long("_seg", "entry", "carried")]))
     )
     return (
         spread.join(entries, [*group, "_seg"])
         .groupBy(*group, "_seg")
-        .applyInPandas(mark, T.StructType([*keys, T.StructField(pos, T.LongType()), T.StructField("start", T.LongType())]))
+        .applyInPandas(mark, T.StructType([*keys, *long(pos, "start")]))
     )
