@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.affected import any_affected_in_box, any_affected_is, parse_affected
 from tracewell.functions.timing import ts_lit
-from tracewell.schema import ENTITY_CHANGE, EXPLOSION, ACTION_TYPES, types_in
+from tracewell.schema import ACTION_TYPES, ENTITY_CHANGE, EXPLOSION, type_is, types_in
 
 # Names that stand for several types, and short world names.
 TYPE_ALIASES = {"login": (12,), "logout": (13,), "inventory": (27, 28)}
@@ -142,7 +142,7 @@ def resolve_types(names: list[str | int]) -> list[int]:
 
 
 def by_types(names: list[str | int]) -> Column:
-    return F.col("type").isin(resolve_types(names))
+    return type_is(resolve_types(names))
 
 
 def by_family(category: str) -> Column:

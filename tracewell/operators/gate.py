@@ -19,7 +19,18 @@ from tracewell.functions.predicates import any_of
 from tracewell.functions.timing import micros, interval, to_micros
 from tracewell.operators.chains import greedy_chain
 from tracewell.operators.segments import with_reach_back
-from tracewell.schema import COMMAND, ENTITY_CHANGE, EXPLOSION, FLUID, SPAWN, type_attribute
+from tracewell.schema import (
+    ACTION_TYPES,
+    CHAT,
+    COMMAND,
+    ENTITY_CHANGE,
+    EXPLOSION,
+    FLUID,
+    SIGN,
+    SPAWN,
+    type_is,
+    types_in,
+)
 
 MAX_LITERAL_RULES = 2_000
 
@@ -64,28 +75,24 @@ class GateConfig:
     strict: bool = True
 
 
+# Which toggle a category or a single type obeys.
+CATEGORY_TOGGLES = {
+    "BLOCK": "blocks", "CONTAINER": "containers", "ITEM": "items", "ENTITY": "entities", "WORLD": "world_events",
+    "SESSION": "sessions", "INTERACT": "interactions",
+}
+TYPE_TOGGLES = {EXPLOSION: "explosions", CHAT: "chat", COMMAND: "commands", SIGN: "signs"}
+
+
 def type_enabled(toggles: Toggles) -> Column:
     """One toggle per category, with finer ones for explosions, messages and
-    fluids."""
-    category = type_attribute("category")
-    t, target = F.col("type"), F.col("target")
-    lava = F.coalesce(F.lower(target).contains("lava"), F.lit(False))
-    by_type = {EXPLOSION: toggles.explosions, 9: toggles.chat, COMMAND: toggles.commands, 11: toggles.signs}
-    by_category = {
-        "BLOCK": toggles.blocks,
-        "CONTAINER": toggles.containers,
-        "ITEM": toggles.items,
-        "ENTITY": toggles.entities,
-        "WORLD": toggles.world_events,
-        "SESSION": toggles.sessions,
-        "INTERACT": toggles.interactions,
-    }
-    expr = F.when(t == FLUID, F.when(lava, F.lit(toggles.lava_flow)).otherwise(F.lit(toggles.water_flow)))
-    for type_id, on in by_type.items():
-        expr = expr.when(t == type_id, F.lit(on))
-    for name, on in by_category.items():
-        expr = expr.when(category == name, F.lit(on))
-    return F.coalesce(expr, F.lit(False))
+    fluids (by whether the target is lava)."""
+    on = [
+        t.id for t in ACTION_TYPES
+        if t.id != FLUID and getattr(toggles, TYPE_TOGGLES.get(t.id) or CATEGORY_TOGGLES[t.category])
+    ]
+    lava = F.coalesce(F.lower("target").contains("lava"), F.lit(False))
+    fluid = F.when(lava, F.lit(toggles.lava_flow)).otherwise(F.lit(toggles.water_flow))
+    return F.coalesce(F.when(F.col("type") == FLUID, fluid).otherwise(type_is(on)), F.lit(False))
 
 
 def _in(column: Column, values) -> Column:
@@ -96,7 +103,7 @@ def list_reason(toggles: Toggles) -> Column:
     """Why the lists drop a row; null if they do not."""
     return (
         F.when(_in(F.col("world_key"), toggles.worlds), "world")
-        .when((type_attribute("category") == "BLOCK") & _in(F.col("target"), toggles.block_ids), "block")
+        .when(type_is(types_in("BLOCK")) & _in(F.col("target"), toggles.block_ids), "block")
         .when(_in(F.col("source_tag"), toggles.tags), "source")
     )
 
@@ -152,7 +159,7 @@ def mark_blacklisted(actions: DataFrame, rules: DataFrame, flag: str = "blacklis
     rules than that are joined kind by kind; rows a kind cannot apply to get a
     key of their own so they do not pile up on the null key.
     """
-    wanted = rules.select("kind", F.lower("value").alias("value")).distinct()
+    wanted = rules.select("kind", F.lower("value").alias("value"))
     few = wanted.limit(MAX_LITERAL_RULES + 1).collect()
     keys = _rule_keys()
     if len(few) <= MAX_LITERAL_RULES:
@@ -163,9 +170,8 @@ def mark_blacklisted(actions: DataFrame, rules: DataFrame, flag: str = "blacklis
         return actions.withColumn(flag, any_of(hits))
     out, flags = actions, []
     for kind in RULE_KINDS:
-        values = wanted.filter(F.col("kind") == kind).select(
-            F.concat(F.lit("k"), "value").alias("_key"), F.lit(True).alias(f"_{kind}")
-        )
+        values = wanted.filter(F.col("kind") == kind).select(F.concat(F.lit("k"), "value").alias("_key")).distinct()
+        values = values.withColumn(f"_{kind}", F.lit(True))
         key = F.coalesce(F.concat(F.lit("k"), keys[kind]), F.concat(F.lit("-"), F.col("id").cast("string")))
         out = out.withColumn("_key", key).join(values, "_key", "left").drop("_key")
         flags.append(f"_{kind}")

@@ -10,7 +10,7 @@ from tracewell.functions.affected import parse_affected
 from tracewell.functions.predicates import ActionFilter, guard_time, all_of
 from tracewell.functions.timing import micros
 from tracewell.operators.lookups import CELL, newest_first
-from tracewell.schema import AIR, ENTITY_CHANGE, EXPLOSION, KILL, MUTATION_COLUMNS, NEWEST_WINS, ROLLBACKABLE
+from tracewell.schema import AIR, ENTITY_CHANGE, EXPLOSION, KILL, MUTATION_COLUMNS, NEWEST_WINS, ROLLBACKABLE, type_is
 
 ROLLBACK, RESTORE = 0, 1
 
@@ -26,8 +26,8 @@ WITHDRAWALS = (4, 30)
 HANGING_PLACED, HANGING_BROKEN = 34, 35
 
 
-def is_rollbackable(type_col: Column | str = "type") -> Column:
-    return F.col(type_col).isin(*ROLLBACKABLE) if isinstance(type_col, str) else type_col.isin(*ROLLBACKABLE)
+def is_rollbackable() -> Column:
+    return type_is(ROLLBACKABLE)
 
 
 def split_rollbackable(actions: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def newest_per_position(actions: DataFrame) -> DataFrame:
     applied per task before the shuffle (window group limit): a cell with a
     third of all rows sends one row per task.
     """
-    alone = F.when(F.col("type").isin(*NEWEST_WINS), F.lit(None)).otherwise(F.col("id"))
+    alone = F.when(type_is(NEWEST_WINS), F.lit(None)).otherwise(F.col("id"))
     ranked = Window.partitionBy(*CELL, alone).orderBy(*newest_first())
     return actions.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= 1).drop("_rank")
 
@@ -78,7 +78,7 @@ def plan_with_explosions(actions: DataFrame, flt: ActionFilter, mode: int, reach
     flt = guard_time(flt.but(rolled_back=(mode == RESTORE)))
     primary = flt.spatial()
     if flt.types:
-        primary.append(F.col("type").isin(flt.type_ids()))
+        primary.append(type_is(flt.type_ids()))
     outside = flt.widened_explosions(reach)
     scan = flt.but(radius=flt.radius + reach, box=None, types=()).apply(actions)
     rows = (
@@ -196,8 +196,8 @@ def inverse_mutations(plan_rows: DataFrame, sidecar: DataFrame | None = None) ->
     t, none = F.col("type"), F.lit(None)
     rows = _plain_rows(plan_rows)
     plain = rows.filter(is_rollbackable() & (t != EXPLOSION))
-    cleared, rebuilt = t.isin(*CLEARED_ON_ROLLBACK), t.isin(*REBUILT_ON_ROLLBACK, ENTITY_CHANGE)
-    moved = t.isin(*DEPOSITS, *WITHDRAWALS)
+    cleared, rebuilt = type_is(CLEARED_ON_ROLLBACK), type_is((*REBUILT_ON_ROLLBACK, ENTITY_CHANGE))
+    moved = type_is((*DEPOSITS, *WITHDRAWALS))
     respawned = t.isin(KILL, HANGING_BROKEN)
     verb = (
         F.when(cleared | rebuilt, "set")
@@ -229,9 +229,9 @@ def forward_mutations(plan_rows: DataFrame) -> DataFrame:
     t, none = F.col("type"), F.lit(None)
     rows = _plain_rows(plan_rows)
     plain = rows.filter(is_rollbackable() & (t != EXPLOSION))
-    replaced, removed = t.isin(*CLEARED_ON_ROLLBACK), t.isin(*REBUILT_ON_ROLLBACK)
+    replaced, removed = type_is(CLEARED_ON_ROLLBACK), type_is(REBUILT_ON_ROLLBACK)
     changed = t == ENTITY_CHANGE
-    moved = t.isin(*DEPOSITS, *WITHDRAWALS)
+    moved = type_is((*DEPOSITS, *WITHDRAWALS))
     verb = (
         F.when(replaced | removed | changed, "set")
         .when(t.isin(*DEPOSITS), "give_item")

@@ -191,6 +191,11 @@ def types_with(direction: str) -> list[int]:
     return [t.id for t in ACTION_TYPES if t.direction == direction]
 
 
+def type_is(ids) -> Column:
+    """Membership in a list of type ids."""
+    return F.expr(f"type IN ({', '.join(str(int(i)) for i in ids)})") if ids else F.lit(False)
+
+
 def type_attribute(name: str, type_col: Column | str = "type") -> Column:
     """Attribute of the action type as an array lookup: ids are dense from 1,
     so no join is needed. Unknown ids give null."""
