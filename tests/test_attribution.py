@@ -4,7 +4,6 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import action, actions, make
 from tracewell.operators import attribution as att

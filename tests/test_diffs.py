@@ -4,7 +4,6 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import make
 from tracewell.functions.blocks import CATEGORY_IDS, HOT_CATEGORIES, NO_CATEGORY, change_between

@@ -8,7 +8,7 @@ from tracewell.functions.predicates import ActionFilter
 from tracewell.operators import ledger as led
 from tracewell.operators import rollback as rb
 from tracewell.operators.explosions import merge_sidecar, explode_affected
-from tracewell.schema import ACTION_TYPES, NEWEST_WINS, ROLLBACKABLE
+from tracewell.schema import ACTION_TYPES, ROLLBACKABLE
 
 SINCE = ActionFilter(since=START)
 

@@ -3,15 +3,13 @@
 import random
 from datetime import timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
-from conftest import START, action, actions, at, ids, make
+from conftest import action, actions, at, ids, make
 from test_attribution import CAUSER, CELLED, fire_data, fire_fold
 from test_storage import events
 from tracewell.operators import attribution as att
 from tracewell.operators import gate as g
-from tracewell.schema import EVENTS
 from tracewell.sources import facts
 from tracewell.streaming import carried, ingest, keyed, windows
 from tracewell.streaming.ingest import quarantine_replay

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from tracewell.functions import predicates as pred
 from tracewell.operators import dimensions, lookups, visibility
 from tracewell.plans.binding import DISPLAY, NOW, facts, oracle, shown
 from tracewell.plans.registry import query
-from tracewell.schema import ACTION_TYPES, type_attribute
+from tracewell.schema import ACTION_TYPES, action_type_table
 
 COLS = ", ".join(DISPLAY)
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -46,8 +46,6 @@ FROM a WHERE coalesce(actor_uuid, actor_name) NOT IN
 GROUP BY 1"""))
 def resolve_users_new(spark, sf):
     rows = facts(spark, sf)
-    from datetime import datetime
-
     known = dimensions.resolve_users(rows.filter(F.col("ts") < pred.ts_lit(datetime(2024, 1, 3))))
     return dimensions.resolve_users(rows, known)
 
@@ -84,8 +82,6 @@ def decode_type(spark, sf):
 SELECT d.type, d.name, d.token, d.category, d.direction, count(a.id) AS n
 FROM {TYPES_SQL} LEFT JOIN a ON a.type = d.type GROUP BY ALL"""))
 def action_types(spark, sf):
-    from tracewell.schema import action_type_table
-
     counts = facts(spark, sf).groupBy("type").agg(F.count("*").alias("c"))
     rows = action_type_table(spark).join(counts, "type", "left")
     return rows.select("type", "name", "token", "category", "direction", F.coalesce("c", F.lit(0)).alias("n"))
