@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +128,27 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def per_text(
+    docs: DataFrame, keep: Sequence[str], compute: Callable[[list[str]], Sequence[pa.Array]], schema: str,
+    text: str = "text",
+) -> DataFrame:
+    """The ``keep`` columns unchanged, and what ``compute`` makes of the texts of a
+    batch: one Arrow array per column of ``schema``. No shuffle; null texts are empty."""
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    width = len(keep)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            # Bounded pieces: a batch of very long texts is not held twice at once.
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                new = compute(part.column(width).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], names=names)
+
+    names = [*keep, *(c.strip().split(" ")[0] for c in schema.split(","))]
+    kept = [f"`{c}` {types[c]}" for c in keep]
+    return docs.select(*(f"`{c}`" for c in keep), text_of(text).alias("_text")).mapInArrow(
+        batches, ", ".join([*kept, schema])
+    )
