@@ -36,5 +36,6 @@ def load_all() -> None:
         pii,
         quality,
         rules,
+        simhash,
         toxicity,
     )
