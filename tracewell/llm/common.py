@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewell.session import checkpointed
 
@@ -147,7 +148,7 @@ def per_text(
                 new = compute(part.column(width).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], names=names)
 
-    names = [*keep, *(c.strip().split(" ")[0] for c in schema.split(","))]
+    names = [*keep, *StructType.fromDDL(schema).names]
     kept = [f"`{c}` {types[c]}" for c in keep]
     return docs.select(*(f"`{c}`" for c in keep), text_of(text).alias("_text")).mapInArrow(
         batches, ", ".join([*kept, schema])
