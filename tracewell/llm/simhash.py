@@ -172,25 +172,29 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def linked(fps: DataFrame, distance: int = 4, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(a, b): edges among the distinct fingerprints ``fps`` (fp) whose connected groups
-    are those of all pairs that differ in at most ``distance`` bits.
+    are those of all pairs that differ in at most ``distance`` bits."""
+    return linked_within(_filed(fps, plan_segments(fps.count() if rows is None else rows, distance)), distance, block)
+
+
+def linked_within(filed: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges whose connected groups are those of all pairs of ``filed`` (bucket,
+    probe, fp) that meet in a bucket, not both as probes, and differ in at most
+    ``distance`` bits.
 
     All pairs are compared, but a dense bucket gives a spanning forest, not its
     pairs. A bucket of more than ``block`` homes is dealt out: homes into blocks by
     hash, and every home and probe also as a probe of the other blocks.
     """
-    plan = plan_segments(fps.count() if rows is None else rows, distance)
-    filed = _filed(fps, plan)
     sizes = filed.filter(~F.col("probe")).groupBy("bucket").count().filter(F.col("count") > block)
     hot = checkpointed(sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     if hot.isEmpty():
         dealt = filed.withColumn("block", F.lit(0))
     else:
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        later = F.sequence(F.lit(0), F.col("blocks") - 1)
         dealt = (
             filed.join(broadcast_if_small(hot, 100_000), "bucket", "left")
             .withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
-            .withColumn("block", F.explode(later))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             # A home meets the homes of blocks before its own there; probes meet all.
             .filter(F.col("probe") | (F.col("block") <= F.col("own")))
             .withColumn("probe", F.col("probe") | (F.col("block") < F.col("own")))
