@@ -1,31 +1,71 @@
-"""From raw documents to packed training sequences: the stages of the pipeline, in order."""
+"""From raw documents to packed training sequences: the stages of the pipeline, in order.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``;
+the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm.mixing import mixed
+from tracewell.llm import lines, mixing, packing, quality, simhash
+from tracewell.llm.common import labels, remainder
 from tracewell.session import scratch_folder, ship_package
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score of at least 0.3)."""
+    ship_package(spark)
+    model = quality.learn(docs, labels(spark, sf_dir), remainder("doc_id", 5) != 0)
+    return quality.keep_good(docs, model)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that occur before, in them or in another document.
+    Those that lose all their words that way go; ``n_chars`` follows the text."""
+    ship_package(spark)
+    left = lines.deduplicated(docs)
+    lost = (F.col(left.columns[-1]) > 0) & (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) == "")
+    chars = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return left.filter(~F.coalesce(lost, F.lit(False))).withColumns(chars).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each near-duplicate group."""
+    ship_package(spark)
+    return simhash.first_of_each(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     ship_package(spark)
-    return mixed(docs)
+    return mixing.mixed(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    ship_package(spark)
+    return packing.pack(docs)
 
 
 STAGES = [
-    ("mixing sources", mix_sources),
+    ("quality classifier", good_documents),
+    ("line dedup", without_repeated_lines),
+    ("SimHash near-dedup", one_of_each),
+    ("mixing sources", mixed_sources),
+    ("best-fit packing", packed_sequences),
 ]
 
-# Learned models and fuzzy links are not expressible in SQL; see tests/llm/test_pipeline.py.
+# Learned models and fuzzy links are not expressible in SQL; tests/llm/test_pipeline.py
+# checks the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             folder = scratch_folder(spark, f"pipeline-{number}")
