@@ -150,7 +150,7 @@ def test_ingest_stream_and_replay(spark, tmp_path):
     )
     stream = as_stream(spark, rows, str(tmp_path / "in"), 3)
     cfg = g.GateConfig(g.Toggles(items=False), entity_allow_list=())
-    query = ingest.ingest_stream(ingest.deduplicated(stream), root, str(tmp_path / "cp"), ONCE, cfg=cfg, salt="s")
+    query = ingest.ingest_stream(stream, root, str(tmp_path / "cp"), ONCE, cfg=cfg, salt="s")
     query.awaitTermination()
     got = {r.id: r for r in facts.scan_actions(spark, root).collect()}
     assert sorted(got) == [1, 4, 5, 8]

@@ -23,19 +23,84 @@ CELL = ["world_key", "x", "y", "z"]
 DAY = timedelta(days=1)
 
 
+def pair_sessions(
+    opens: DataFrame, closes: DataFrame, session: list[str], expiry: timedelta | None = CONTAINER_EXPIRY,
+    span: timedelta = DAY,
+) -> DataFrame:
+    """session columns, opened, closed, before, after: which open each close ends.
+
+    Both sides have the session columns, ts, id and ``slots``. The newest open of a
+    session counts, a close takes it, and it must follow within ``expiry``: so a close
+    pairs with the event right before it if that is an open. At one instant opens come
+    before closes. A long session key is cut into stretches of ``span``.
+    """
+    columns = [*session, "ts", "id", "slots"]
+    events = opens.select(*columns, F.lit(0).alias("closing")).unionByName(
+        closes.select(*columns, F.lit(1).alias("closing"))
+    )
+    pairs = with_previous(events, session, ["ts", "closing", "id"], ["closing", "ts", "slots"], span)
+    pairs = pairs.filter((F.col("closing") == 1) & F.col("has_prev") & (F.col("prev_closing") == 0))
+    if expiry is not None:
+        pairs = pairs.filter(F.col("ts") - F.col("prev_ts") <= interval(expiry))
+    return pairs.select(
+        *session, F.col("prev_ts").alias("opened"), F.col("ts").alias("closed"),
+        F.col("prev_slots").alias("before"), F.col("slots").alias("after"),
+    )
+
+
+def slot_changes(pairs: DataFrame, keys: list[str], max_slots: int | None = None) -> DataFrame:
+    """keys, slot, item, type, amount of ``pairs`` (keys, before, after: arrays of slot,
+    item, count): deposits (3) and withdrawals (4). A slot that swapped its item nets
+    under the old one. Slots from ``max_slots`` on are left out if it is given."""
+
+    def full(s: Column) -> Column:
+        held = s["item"].isNotNull() & (s["count"] > 0)
+        return held if max_slots is None else held & (s["slot"] < max_slots)
+
+    def as_map(c: str) -> Column:
+        filled = F.transform(F.filter(c, full), lambda s: F.struct(s["slot"], F.struct(s["item"], s["count"])))
+        return F.map_from_entries(filled)
+
+    rows = pairs.select(*keys, as_map("before").alias("b"), as_map("after").alias("a"))
+    slots = rows.select(*keys, "a", "b", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))).alias("slot"))
+    was, now = F.try_element_at("b", F.col("slot")), F.try_element_at("a", F.col("slot"))
+    delta = F.coalesce(now["count"], F.lit(0)) - F.coalesce(was["count"], F.lit(0))
+    return (
+        slots.select(*keys, "slot", F.coalesce(was["item"], now["item"]).alias("item"), delta.alias("delta"))
+        .filter(F.col("delta") != 0)
+        .select(
+            *keys, "slot", "item", F.when(F.col("delta") > 0, 3).otherwise(4).alias("type"),
+            F.abs("delta").cast("int").alias("amount"),
+        )
+    )
+
+
+def container_sessions(
+    opens: DataFrame, closes: DataFrame, session: list[str], expiry: timedelta | None = CONTAINER_EXPIRY,
+    max_slots: int | None = None,
+) -> DataFrame:
+    """Changes of each session from its open to its close: snapshots are one row each
+    (see ``pair_sessions``), with all slots."""
+    return slot_changes(pair_sessions(opens, closes, session, expiry), [*session, "closed"], max_slots)
+
+
 def diff_containers(
-    opens: DataFrame, closes: DataFrame, session: list[str], expiry: timedelta | None = CONTAINER_EXPIRY
+    opens: DataFrame, closes: DataFrame, session: list[str], expiry: timedelta | None = CONTAINER_EXPIRY,
+    max_slots: int | None = None,
 ) -> DataFrame:
-    """Deposits (3) and withdrawals (4) per session and slot.
+    """Deposits (3) and withdrawals (4) per session and slot, for sessions of one open and
+    one close that are given slot by slot.
 
     Both sides have the session columns, slot, item, count (no item: null or
-    0) and ``at``, the time of the snapshot. A slot that swapped its item nets
-    under the old one. Only sessions with both snapshots, the close at most
-    ``expiry`` after the open, are compared; slots beyond 216 are not watched.
+    0) and ``at``, the time of the look. A slot that swapped its item nets
+    under the old one. Only sessions with both looks, the close after the open and
+    at most ``expiry`` later, are compared. Sessions that open several times are for
+    ``container_sessions``.
     """
     def side(df: DataFrame, prefix: str) -> DataFrame:
         filled = F.col("item").isNotNull() & (F.coalesce("count", F.lit(0)) > 0)
-        return df.filter(F.col("slot") < MAX_SLOTS).select(
+        seen = df if max_slots is None else df.filter(F.col("slot") < max_slots)
+        return seen.select(
             *session, "slot",
             F.when(filled, F.col("item")).alias(f"{prefix}_item"),
             F.when(filled, F.col("count")).otherwise(0).alias(f"{prefix}_count"),
@@ -45,6 +110,7 @@ def diff_containers(
         return df.groupBy(*session).agg(F.max("at").alias(name))
 
     paired = sessions(opens, "opened").join(sessions(closes, "closed"), session)
+    paired = paired.filter(F.col("closed") >= F.col("opened"))
     if expiry is not None:
         paired = paired.filter(F.col("closed") - F.col("opened") <= interval(expiry))
     delta = F.coalesce("after_count", F.lit(0)) - F.coalesce("before_count", F.lit(0))
@@ -105,7 +171,8 @@ def diff_hopper_samples(samples: DataFrame, span: timedelta = DAY) -> DataFrame:
 
 
 def small_regions(regions: DataFrame, most: int = MAX_REGION_CELLS) -> DataFrame:
-    """Regions few enough cells large to be compared (min_x .. max_z)."""
+    """Regions of at most ``most`` cells (min_x .. max_z): a filter for callers that want
+    one, ``diff_regions`` itself has no limit."""
     volume = F.lit(1).cast("long")
     for c in "xyz":
         volume = volume * (F.col(f"max_{c}") - F.col(f"min_{c}") + 1).cast("long")

@@ -214,13 +214,17 @@ def gate_entity_changes(actions: DataFrame, allow_list: tuple[str, ...], log_all
 COALESCE_KEY = ["_actor", "world_key", "x", "y", "z"]
 
 
+def coalesce_actor() -> Column:
+    return F.coalesce("actor_uuid", "actor_name", F.lit(""))
+
+
 def mark_coalesced(
     rows: DataFrame, window: timedelta = COALESCE_WINDOW, span: timedelta | None = None, flag: str = "coalesced"
 ) -> DataFrame:
     """Flag rows that follow a row of the same actor and cell by less than
     ``window``. A flagged row extends the window too, so it is the gap to the
     row before that counts; a gap of exactly the window starts anew."""
-    spread = rows.withColumn("_actor", F.coalesce("actor_uuid", "actor_name", F.lit("")))
+    spread = rows if "_actor" in rows.columns else rows.withColumn("_actor", coalesce_actor())
     spread = with_reach_back(spread, "ts", window, span)
     before = F.lag("ts").over(Window.partitionBy(*COALESCE_KEY, "seg").orderBy("ts", "id"))
     close = F.coalesce(F.col("ts") - before < interval(window), F.lit(False))
@@ -240,6 +244,7 @@ def gate(
     rules: DataFrame | None = None,
     predicates: list[Column] = (),
     before=None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``gate_reason``: null if the row is accepted.
 
@@ -247,14 +252,22 @@ def gate(
     redaction, the hot switch, toggles and lists; rows of hot sources skip the
     rest (per-world, block rules, predicates). ``before`` is a callback
     DataFrame -> DataFrame that runs ahead of everything (cancel by filtering,
-    annotate by replacing columns).
+    annotate by replacing columns). ``earlier`` (_actor, world_key, x, y, z, ts) are last
+    changes from before the events: coalescing counts gaps from them as well.
     """
     rows = before(events) if before is not None else events
     if cfg.strict:
         rows = rows.withColumn("_entity", entity_reason(cfg))
         changes = rows.filter((F.col("type") == ENTITY_CHANGE) & F.col("_entity").isNull())
         others = rows.filter(~((F.col("type") == ENTITY_CHANGE) & F.col("_entity").isNull()) | F.col("type").isNull())
-        rows = mark_coalesced(changes, cfg.coalesce_window).unionByName(others.withColumn("coalesced", F.lit(False)))
+        if earlier is not None:
+            changes = changes.withColumn("_actor", coalesce_actor()).withColumn("_earlier", F.lit(False)).unionByName(
+                earlier.withColumn("_earlier", F.lit(True)), allowMissingColumns=True
+            )
+            marked = mark_coalesced(changes, cfg.coalesce_window).filter(~F.col("_earlier")).drop("_earlier")
+        else:
+            marked = mark_coalesced(changes, cfg.coalesce_window)
+        rows = marked.unionByName(others.withColumn("coalesced", F.lit(False)))
     else:
         rows = rows.withColumn("_entity", F.lit(None).cast("string")).withColumn("coalesced", F.lit(False))
     rows = rows.withColumn("target", redact_command(F.col("type"), F.col("target")))

@@ -27,8 +27,8 @@ from tracewell.schema import (
     types_in,
 )
 
-# Page size when none is asked for, most rows of a cell lookup,
-# and seconds of the rate window.
+# Page size when none is asked for, cap of ``page_capped``, and seconds
+# of the rate window.
 DEFAULT_PAGE = 7
 MAX_ROWS = 100_000
 RATE_SECONDS = 30
@@ -43,8 +43,11 @@ def display(actions: DataFrame) -> DataFrame:
     return actions.drop(*PAYLOAD_COLUMNS)
 
 
-def page_newest(actions: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One page, newest first: a bounded top-k per task, no full sort."""
+def page_newest(actions: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """One page, newest first: a bounded top-k per task, no full sort. Without a limit
+    (None) all rows, in no order; 0 is the default page."""
+    if limit is None:
+        return actions
     limit = limit if limit > 0 else DEFAULT_PAGE
     return actions.orderBy(*newest_first()).offset(offset).limit(limit)
 
@@ -144,7 +147,7 @@ def at_cell(actions: DataFrame, world: str, x: int, y: int, z: int, types, now,
     return flt.apply(actions)
 
 
-def block_lookup(actions, world, x, y, z, now, window=None, limit=MAX_ROWS) -> DataFrame:
+def block_lookup(actions, world, x, y, z, now, window=None, limit=None) -> DataFrame:
     rows = page_newest(at_cell(actions, world, x, y, z, types_in("BLOCK"), now, window), limit)
     return rows.select(
         "id", "ts", "actor_uuid", "actor_name", *CELL, "target", "meta",
@@ -157,7 +160,7 @@ def signed_amount() -> Column:
     return F.when(type_attribute("direction") == "-", -F.col("amount")).otherwise(F.col("amount"))
 
 
-def container_lookup(actions, world, x, y, z, now, window=None, limit=MAX_ROWS) -> DataFrame:
+def container_lookup(actions, world, x, y, z, now, window=None, limit=None) -> DataFrame:
     rows = page_newest(at_cell(actions, world, x, y, z, types_in("CONTAINER"), now, window), limit)
     return rows.select(
         "id", "ts", "actor_uuid", "actor_name", *CELL, "target", "meta",
@@ -214,7 +217,7 @@ def username_lookup(actions, uuid, now, window=None, limit=0) -> DataFrame:
     )
 
 
-def sign_lookup(actions, world, x, y, z, now, window=None, limit=MAX_ROWS) -> DataFrame:
+def sign_lookup(actions, world, x, y, z, now, window=None, limit=None) -> DataFrame:
     rows = page_newest(at_cell(actions, world, x, y, z, [SIGN], now, window), limit)
     return rows.select(
         "id", "ts", "actor_uuid", "actor_name", *CELL, F.col("target").alias("line"), "source_tag",

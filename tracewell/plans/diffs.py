@@ -20,7 +20,7 @@ MID_SQL = "TIMESTAMP '2024-01-16 00:00:00'"
 , o AS (SELECT user_id, CAST(ts AS date) AS day, amount % 5 AS slot, arg_max(block, ts) AS item, arg_max(amount % 9, ts) AS n, max(ts) AS seen FROM a WHERE type IN (3, 27, 29) GROUP BY ALL),
 c AS (SELECT user_id, CAST(ts AS date) AS day, amount % 5 AS slot, arg_max(block, ts) AS item, arg_max(amount % 9, ts) AS n, max(ts) AS seen FROM a WHERE type IN (4, 28, 30) GROUP BY ALL),
 ok AS (SELECT x.user_id, x.day FROM (SELECT user_id, day, max(seen) AS seen FROM o GROUP BY ALL) x JOIN (SELECT user_id, day, max(seen) AS seen FROM c GROUP BY ALL) y
-       ON x.user_id = y.user_id AND x.day = y.day WHERE y.seen - x.seen <= INTERVAL 6 HOUR),
+       ON x.user_id = y.user_id AND x.day = y.day WHERE y.seen >= x.seen AND y.seen - x.seen <= INTERVAL 6 HOUR),
 d AS (SELECT coalesce(o.user_id, c.user_id) AS user_id, coalesce(o.day, c.day) AS day, coalesce(o.slot, c.slot) AS slot,
              coalesce(CASE WHEN o.n > 0 THEN o.item END, CASE WHEN c.n > 0 THEN c.item END) AS item, coalesce(c.n, 0) - coalesce(o.n, 0) AS delta
       FROM o FULL JOIN c ON o.user_id = c.user_id AND o.day = c.day AND o.slot = c.slot)
@@ -37,6 +37,36 @@ def diff_containers(spark, sf):
     return diffs.diff_containers(snapshot((3, 27, 29)), snapshot((4, 28, 30)), ["user_id", "day"], timedelta(hours=6))
 
 
+# Every change of a container is a snapshot of one slot; opens and closes of a user
+# follow each other in any order. A close ends the event right before it, if that is
+# an open (the newest open counts, a close takes it) at most a day old.
+SESSIONS_SQL = """
+, s AS (SELECT user_id AS session, ts, id, type IN (4, 28, 30) AS closing, amount % 5 AS slot, block AS item, amount % 9 AS n FROM a WHERE type IN (3, 4, 27, 28, 29, 30)),
+w AS (SELECT *, lag(closing) OVER e AS pclosing, lag(ts) OVER e AS pts, lag(slot) OVER e AS oslot, lag(item) OVER e AS oitem, lag(n) OVER e AS on_
+      FROM s WINDOW e AS (PARTITION BY session ORDER BY ts, closing, id)),
+p AS (SELECT session, ts AS closed, oslot, oitem, on_, slot AS cslot, item AS citem, n AS cn FROM w
+      WHERE closing AND NOT pclosing AND ts - pts <= INTERVAL 24 HOUR),
+d AS (SELECT session, closed, oslot AS slot, CASE WHEN on_ > 0 THEN oitem ELSE citem END AS item, cn - on_ AS delta FROM p WHERE oslot = cslot
+      UNION ALL SELECT session, closed, oslot, oitem, -on_ FROM p WHERE oslot <> cslot
+      UNION ALL SELECT session, closed, cslot, citem, cn FROM p WHERE oslot <> cslot)
+SELECT session, closed, slot, item, CASE WHEN delta > 0 THEN 3 ELSE 4 END AS type, CAST(abs(delta) AS int) AS amount FROM d WHERE delta <> 0"""
+
+
+def snapshots(rows, types):
+    slot = F.struct((F.col("amount") % 5).alias("slot"), F.col("block").alias("item"), (F.col("amount") % 9).alias("count"))
+    return rows.filter(F.col("type").isin(*types)).select(
+        F.col("user_id").alias("session"), "ts", "id", F.array(slot).alias("slots")
+    )
+
+
+@query("container_sessions", oracle(SESSIONS_SQL))
+def container_sessions(spark, sf):
+    rows = facts(spark, sf)
+    return diffs.container_sessions(
+        snapshots(rows, (3, 27, 29)), snapshots(rows, (4, 28, 30)), ["session"], timedelta(hours=24)
+    )
+
+
 def _slot(i: int) -> str:
     return f"CASE WHEN (amount + {i}) % 3 <> 0 THEN concat(block, '|', (amount + {i}) % 7) END"
 

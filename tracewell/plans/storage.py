@@ -32,9 +32,10 @@ def scanned(spark, root):
 
 @query("append_actions", oracle(f"SELECT {STORED_SQL} FROM a"))
 def append_actions(spark, sf):
-    """Written twice under one batch number: the second replaces the first."""
-    root = stored(spark, sf, "append")
-    store.append_actions(as_events(facts(spark, sf)), root)
+    """Written twice as one batch: the second is recognised as a retry."""
+    root = scratch_folder(spark, "append")
+    for _ in range(2):
+        store.append_actions(as_events(facts(spark, sf)), root, 0)
     return scanned(spark, root)
 
 
@@ -83,6 +84,50 @@ def compact(spark, sf):
     return scanned(spark, root)
 
 
+@query("two_appends", oracle(f"SELECT {STORED_SQL} FROM a"))
+def two_appends(spark, sf):
+    """Different events of the same days, in two appends that name no batch."""
+    root = scratch_folder(spark, "two-appends")
+    for i in range(2):
+        store.append_actions(as_events(facts(spark, sf).filter(F.col("id") % 2 == i)), root)
+    return scanned(spark, root)
+
+
+@query("append_after_compact", oracle(f"SELECT {STORED_SQL} FROM a"))
+def append_after_compact(spark, sf):
+    """Two commits are merged; the first is then tried again, and a third one comes."""
+    root = scratch_folder(spark, "after-compact")
+    thirds = [as_events(facts(spark, sf).filter(F.col("id") % 3 == i)) for i in range(3)]
+    for i in (0, 1):
+        store.append_actions(thirds[i], root, i)
+    maintenance.compact(spark, root)
+    for i in (0, 2):
+        store.append_actions(thirds[i], root, i)
+    return scanned(spark, root)
+
+
+@query("compact_shared_ids", oracle("SELECT id, ts, amount FROM a UNION ALL SELECT id, ts, amount + 1 FROM a"))
+def compact_shared_ids(spark, sf):
+    """Different facts that share an id all stay."""
+    root = stored(spark, sf, "shared-ids")
+    store.append_actions(as_events(facts(spark, sf).withColumn("amount", F.col("amount") + 1)), root)
+    maintenance.compact(spark, root)
+    return store.facts(spark, root).select("id", "ts", "amount")
+
+
+@query("upgrade_keeps_flags", oracle(f"""{planned_sql(f'{NEARBY_SQL} AND rolled_back = 0')}
+SELECT id, CASE WHEN id IN (SELECT id FROM plan) THEN 1 ELSE rolled_back END AS rolled_back FROM a"""))
+def upgrade_keeps_flags(spark, sf):
+    root, new = stored(spark, sf, "upgrade"), scratch_folder(spark, "upgraded")
+    book = ledger.Ledger(spark, root)
+    plan = rollback.plan_rollback(store.scan_actions(spark, root), NEARBY)
+    book.open_batch(plan, rollback.ROLLBACK, None, NOW, NEARBY, 1)
+    book.close_batch(ledger.step_results(plan, rollback.ROLLBACK), 1, NOW)
+    maintenance.write_version(spark, root, 4)
+    maintenance.upgrade_dataset(spark, root, new)
+    return store.scan_actions(spark, new).select("id", "rolled_back")
+
+
 @query("copy_dataset", oracle("""
 SELECT 'users' AS tab, count(DISTINCT coalesce(actor_uuid, actor_name)) AS n FROM a UNION ALL SELECT 'worlds', count(DISTINCT world_key) FROM a
 UNION ALL SELECT 'actions', count(*) FROM a UNION ALL SELECT 'rollback_batches', 0 UNION ALL SELECT 'rollback_batch_actions', 0"""))

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tracewell.operators.attribution import couple_entity_changes
-from tracewell.operators.gate import GateConfig
+from tracewell.functions.timing import ts_lit
+from tracewell.operators.gate import GateConfig, Toggles
 from tracewell.plans.attribution import ALLOW as MOBS
-from tracewell.plans.binding import as_events, fact_stream, facts, oracle
-from tracewell.plans.gating import ALLOW, GATE_SQL, OVERRIDES, TOGGLES, rules
+from tracewell.plans.binding import NOW, as_events, fact_stream, facts, oracle
+from tracewell.plans.diffs import SESSIONS_SQL, snapshots
+from tracewell.plans.gating import ALLOW, GATE_SQL, LISTED, OVERRIDES, TOGGLES, rules
 from tracewell.plans.registry import ORACLES, query
 from tracewell.session import scratch_folder
 from tracewell.sources import facts as store
 from tracewell.streaming import carried, ingest, keyed, windows
 
 ONCE = {"availableNow": True}
+START = datetime(2024, 1, 1)
 CELL = ["world_key", "x", "y", "z"]
 
 
@@ -119,24 +122,87 @@ def fluid_stream(spark, sf):
     return _carried(carried.fluid_stream, fact_stream(spark, sf), split, columns, timedelta(hours=6), "fluid")
 
 
-@query("container_stream", oracle("""
-, s AS (SELECT user_id AS session, ts, type, amount % 5 AS slot, block AS item, amount % 9 AS n FROM a WHERE type IN (3, 4, 27, 28, 29, 30)),
-p AS (SELECT o.session, c.ts AS closed, o.slot AS oslot, o.item AS oitem, o.n AS on_, c.slot AS cslot, c.item AS citem, c.n AS cn
-      FROM s o JOIN s c ON c.session = o.session AND c.ts >= o.ts AND c.ts <= o.ts + INTERVAL 24 HOUR WHERE o.type IN (3, 27, 29) AND c.type IN (4, 28, 30)),
-d AS (SELECT session, closed, oslot AS slot, CASE WHEN on_ > 0 THEN oitem ELSE citem END AS item, cn - on_ AS delta FROM p WHERE oslot = cslot
-      UNION ALL SELECT session, closed, oslot, oitem, -on_ FROM p WHERE oslot <> cslot
-      UNION ALL SELECT session, closed, cslot, citem, cn FROM p WHERE oslot <> cslot)
-SELECT session, closed, slot, item, CASE WHEN delta > 0 THEN 3 ELSE 4 END AS type, CAST(abs(delta) AS int) AS amount FROM d WHERE delta <> 0"""))
+@query("container_stream", oracle(SESSIONS_SQL))
 def container_stream(spark, sf):
-    """Every change of a container is a snapshot of one slot."""
-    slot = F.struct((F.col("amount") % 5).alias("slot"), F.col("block").alias("item"), (F.col("amount") % 9).alias("count"))
+    rows = fact_stream(spark, sf)
+    moves = windows.container_stream(snapshots(rows, (3, 27, 29)), snapshots(rows, (4, 28, 30)), timedelta(hours=24))
+    return finished(moves, "containers").withColumn("closed", F.col("closed").cast("timestamp_ntz"))
 
-    def snapshots(types):
-        rows = fact_stream(spark, sf).filter(F.col("type").isin(*types))
-        return rows.select(F.col("user_id").alias("session"), "ts", F.array(slot).alias("slots"))
 
-    moves = windows.container_stream(snapshots((3, 27, 29)), snapshots((4, 28, 30)), timedelta(hours=24))
-    return finished(moves, "containers").withColumn("closed", F.col("closed").cast("timestamp_ntz"))
+def _in_files(spark, rows, name, parts=4):
+    """The events in files that arrive one after the other, each a stretch of time."""
+    folder = scratch_folder(spark, name)
+    edges = [START + (NOW - START) * i / parts for i in range(1, parts)]
+    for i in range(parts):
+        part = rows
+        if i:
+            part = part.filter(F.col("ts") >= ts_lit(edges[i - 1]))
+        if i < parts - 1:
+            part = part.filter(F.col("ts") < ts_lit(edges[i]))
+        as_events(part).coalesce(1).write.parquet(f"{folder}/part={i}")
+    return ingest.read_events(spark, f"{folder}/part=*", files_per_trigger=1)
+
+
+def _cfg():
+    cfg = GateConfig(TOGGLES, True, OVERRIDES, ALLOW, coalesce_window=timedelta(hours=72))
+    preds = [F.when(F.col("type").isin(34, 35), F.lit(True)), F.when(F.col("y") == 60, F.lit(False))]
+    return cfg, preds
+
+
+# A name that no store takes, for some of the rows: they wait in the quarantine.
+LONG_NAME = "n" * 80
+TOO_LONG = "a.id % 7 = 0 AND a.actor_uuid IS NOT NULL"
+
+
+@query("ingest_files", oracle(f"""{GATE_SQL.replace(f"coalesce({LISTED}, false)", "false")}
+SELECT gated.id, a.type, gated.target, CASE WHEN {TOO_LONG} THEN 'name' END AS refused
+FROM gated JOIN a ON a.id = gated.id WHERE gate_reason IS NULL"""))
+def ingest_files(spark, sf):
+    """Four files, one per micro-batch: coalescing goes across them; what is stored and
+    what waits in the quarantine. No block rules: they would see the long names."""
+    long = F.when((F.col("id") % 7 == 0) & F.col("actor_uuid").isNotNull(), F.lit(LONG_NAME))
+    rows = facts(spark, sf)
+    stream = _in_files(spark, rows, "files")
+    cfg, preds = _cfg()
+    folder = scratch_folder(spark, "ingest-files")
+    root = f"{folder}/root"
+    ingest.ingest_stream(
+        stream.withColumn("actor_name", F.coalesce(long, F.col("actor_name"))), root, f"{folder}/checkpoint", ONCE,
+        cfg=cfg, rules=None, predicates=preds,
+    ).awaitTermination()
+    kept = store.facts(spark, root).select("id", "type", "target", F.lit(None).cast("string").alias("refused"))
+    waiting = ingest.quarantined(spark, root)
+    return kept.unionByName(waiting.select("id", "type", "target", F.col("quarantine_reason").alias("refused")))
+
+
+@query("two_streams", oracle(f"""{GATE_SQL}
+SELECT gated.id, a.type, a.actor_name, gated.target FROM gated JOIN a ON a.id = gated.id WHERE gate_reason IS NULL"""))
+def two_streams(spark, sf):
+    """Two streams with checkpoints of their own write into one root."""
+    folder = scratch_folder(spark, "two")
+    cfg, preds = _cfg()
+    for i in range(2):
+        mine = F.pmod(F.xxhash64("actor_name"), F.lit(2)) == i
+        ingest.ingest_stream(
+            as_events(fact_stream(spark, sf).filter(mine)), f"{folder}/root", f"{folder}/checkpoint-{i}", ONCE,
+            cfg=cfg, rules=rules(spark), predicates=preds,
+        ).awaitTermination()
+    return store.scan_actions(spark, f"{folder}/root").select("id", "type", "actor_name", "target")
+
+
+@query("replay_gated", oracle("""
+SELECT id, CASE WHEN id % 3 = 0 THEN 10 ELSE type END AS type,
+       CASE WHEN id % 3 = 0 OR type = 10 THEN concat('/', regexp_extract(target, '^/*([^ ]+)', 1)) ELSE target END AS target
+FROM a WHERE NOT (id % 3 <> 0 AND type = 9)"""))
+def replay_gated(spark, sf):
+    """Rows that wait for a type become commands: the replay redacts them like the
+    ingest, and chat is switched off for both."""
+    root = scratch_folder(spark, "replay")
+    rows = as_events(facts(spark, sf).withColumn("type", F.when(F.col("id") % 3 != 0, F.col("type"))))
+    cfg = GateConfig(Toggles(chat=False), strict=False)
+    ingest.process_batch(rows, root, 0, cfg=cfg)
+    ingest.quarantine_replay(spark, root, 1, lambda df: df.withColumn("type", F.coalesce("type", F.lit(10))), cfg=cfg)
+    return store.facts(spark, root).select("id", "type", "target")
 
 
 @query("quarantine_replay", oracle("SELECT id, actor_name FROM a"))

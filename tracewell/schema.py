@@ -109,7 +109,7 @@ ACTIONS = T.StructType(
         T.StructField("item_nbt", T.BinaryType()),
         T.StructField("entity_nbt", T.BinaryType()),
         T.StructField("dt", T.DateType()),
-        T.StructField("batch", T.LongType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
 

@@ -2,12 +2,13 @@
 
 Layout under one root::
 
-    actions/dt=2024-01-31/batch=17/…   facts, by day and ingest batch
-    users/batch=17/…                   sightings of actors
-    worlds/batch=17/…                  sightings of worlds
+    actions/dt=2024-01-31/batch=main-17/…   facts, by day and commit
+    users/batch=main-17/…                   sightings of actors
+    worlds/batch=main-17/…                  sightings of worlds
+    commits/commit=main-17/…                what counts (see ``commits``)
 
-An append replaces the partitions of its own batch, so a retried batch leaves
-the same rows. Dimension tables hold sightings; readers fold them.
+Every append is a commit of its own, so appends never touch each other's rows.
+Dimension tables hold sightings; readers fold them.
 """
 
 from __future__ import annotations
@@ -22,16 +23,23 @@ from tracewell.functions.actions import default_world
 from tracewell.operators.dimensions import normalize_actions, user_id, user_key, with_dimensions, world_id
 from tracewell.operators.ledger import Ledger
 from tracewell.schema import ACTIONS, PAYLOAD_COLUMNS, USERS, WORLDS
+from tracewell.sources.commits import commit_key, is_published, live, publish
 from tracewell.sources.tables import read_table
 
-BATCHED_USERS = T.StructType([*USERS.fields, T.StructField("user_key", T.StringType()), T.StructField("batch", T.LongType())])
-BATCHED_WORLDS = T.StructType([*WORLDS.fields, T.StructField("batch", T.LongType())])
+BATCHED_USERS = T.StructType([*USERS.fields, T.StructField("user_key", T.StringType()), T.StructField("batch", T.StringType())])
+BATCHED_WORLDS = T.StructType([*WORLDS.fields, T.StructField("batch", T.StringType())])
+
+
+def sightings(spark: SparkSession, root: str, tab: str) -> DataFrame:
+    """Stored rows of ``users`` or ``worlds`` that count."""
+    schema = BATCHED_USERS if tab == "users" else BATCHED_WORLDS
+    return live(read_table(spark, f"{root}/{tab}", schema), spark, root, tab)
 
 
 def users(spark: SparkSession, root: str) -> DataFrame:
     """One row per actor: first-seen name, first and last sighting."""
     return (
-        read_table(spark, f"{root}/users", BATCHED_USERS)
+        sightings(spark, root, "users")
         .groupBy("user_id")
         .agg(
             F.max("user_key").alias("user_key"),
@@ -44,13 +52,13 @@ def users(spark: SparkSession, root: str) -> DataFrame:
 
 
 def worlds(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, f"{root}/worlds", BATCHED_WORLDS).select("world_id", "world_key").distinct()
+    return sightings(spark, root, "worlds").select("world_id", "world_key").distinct()
 
 
 def id_collisions(spark: SparkSession, root: str) -> DataFrame:
     """Surrogates shared by two natural keys (none is expected)."""
     return (
-        read_table(spark, f"{root}/users", BATCHED_USERS)
+        sightings(spark, root, "users")
         .groupBy("user_id")
         .agg(F.min("user_key").alias("one"), F.max("user_key").alias("other"))
         .filter(F.col("one") != F.col("other"))
@@ -58,7 +66,7 @@ def id_collisions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, f"{root}/actions", ACTIONS)
+    return live(read_table(spark, f"{root}/actions", ACTIONS), spark, root, "actions")
 
 
 def scan_actions(
@@ -85,7 +93,8 @@ def scan_actions(
     return with_dimensions(rows, users(spark, root), worlds(spark, root)) if names else rows
 
 
-def _replace_batch(rows: DataFrame, path: str, *partition: str) -> None:
+def write_partitions(rows: DataFrame, path: str, *partition: str) -> None:
+    """Write, replacing what the same commit may have left unpublished."""
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -94,18 +103,24 @@ def _replace_batch(rows: DataFrame, path: str, *partition: str) -> None:
     )
 
 
-def append_actions(events: DataFrame, root: str, batch: int = 0) -> None:
-    """Store events: defaults, dimension sightings, then facts.
+def append_actions(events: DataFrame, root: str, batch: int | str | None = None, writer: str = "main") -> str:
+    """Store events: defaults, dimension sightings, then facts; returns the commit.
 
-    Dimensions are written first: a fact that can be read can be resolved.
+    ``writer`` and ``batch`` name the commit. A commit that is stored already is left
+    as it is, so a retry stores nothing twice; two writers must have two names. Without
+    a batch every call is a commit of its own. Nothing is visible before everything
+    is written.
     """
+    spark, commit = events.sparkSession, commit_key(writer, batch)
+    if is_published(spark, root, commit):
+        return commit
     rows = (
         normalize_actions(events)
         .withColumn("user_key", user_key())
         .withColumn("user_id", user_id())
         .withColumn("world_key", default_world(F.col("world_key")))
         .withColumn("world_id", world_id())
-        .withColumn("batch", F.lit(batch).cast("long"))
+        .withColumn("batch", F.lit(commit))
     )
     seen = rows.groupBy("user_id", "user_key", "batch").agg(
         F.max("actor_uuid").alias("uuid"),
@@ -113,9 +128,11 @@ def append_actions(events: DataFrame, root: str, batch: int = 0) -> None:
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
     )
-    _replace_batch(seen, f"{root}/users", "batch")
-    _replace_batch(rows.select("world_id", "world_key", "batch").distinct(), f"{root}/worlds", "batch")
+    write_partitions(seen, f"{root}/users", "batch")
+    write_partitions(rows.select("world_id", "world_key", "batch").distinct(), f"{root}/worlds", "batch")
     stored = rows.withColumn("rolled_back", F.coalesce("rolled_back", F.lit(0))).withColumn("dt", F.col("ts").cast("date"))
     # Rebalancing splits a heavy day over several tasks and joins light ones.
     stored = stored.select(*ACTIONS.fieldNames()).hint("rebalance", "dt")
-    _replace_batch(stored, f"{root}/actions", "dt", "batch")
+    write_partitions(stored, f"{root}/actions", "dt", "batch")
+    publish(spark, root, commit, "append")
+    return commit

@@ -13,7 +13,7 @@ from tracewell.functions.timing import ts_lit
 from tracewell.schema import ACTIONS, SCHEMA_VERSION
 from tracewell.session import checkpointed
 from tracewell.sources import facts as store
-from tracewell.sources.folders import drop, partitions
+from tracewell.sources.commits import COMMITS, commit_key, drop_retired, publish
 
 # Least age a purge may name, from a console and in game.
 CONSOLE_MIN_AGE, GAME_MIN_AGE = timedelta(hours=24), timedelta(days=30)
@@ -46,31 +46,22 @@ def auto_purge_survivors(actions: DataFrame, now: datetime, retention: timedelta
 def delete_rows(spark: SparkSession, root: str, victims: DataFrame) -> int:
     """Remove facts by (id, dt, batch); returns how many went.
 
-    Only partitions that lose rows are touched: those that lose all of them are
-    dropped, the others rewritten without the victims. Running it again after a
-    failure finishes the job.
+    The survivors of every partition that loses rows are written under a new commit,
+    which retires those partitions; others are not read. Readers see the facts before
+    or after, and a run that failed before its commit left nothing that counts.
     """
     gone = checkpointed(victims.select("id", "dt", "batch"))
-    losses = gone.groupBy("dt", "batch").agg(F.count("*").alias("lost"))
-    table = store.facts(spark, root)
-    sizes = table.groupBy("dt", "batch").agg(F.count("*").alias("had"))
-    touched = losses.join(sizes, ["dt", "batch"]).collect()  # one row per partition
-    total = sum(r.lost for r in touched)
-    partial = [(r.dt, r.batch) for r in touched if r.lost < r.had]
-    if partial:
-        where = spark.createDataFrame(partial, "dt date, batch long")
-        kept = table.join(F.broadcast(where), ["dt", "batch"], "left_semi")  # a list of partitions
-        kept = kept.join(gone.select("id"), "id", "left_anti").select(*ACTIONS.fieldNames())
-        (
-            kept.hint("rebalance", "dt", "batch")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt", "batch")
-            .parquet(f"{root}/actions")
-        )
-    for r in touched:
-        if r.lost == r.had:
-            drop(spark, f"{root}/actions/dt={r.dt.isoformat()}/batch={r.batch}")
+    total = gone.count()
+    if not total:
+        return 0
+    commit = commit_key("purge")
+    touched = gone.select("dt", "batch").distinct()
+    kept = store.facts(spark, root).join(touched, ["dt", "batch"], "left_semi")
+    kept = kept.join(gone, ["id", "dt", "batch"], "left_anti").withColumn("batch", F.lit(commit))
+    store.write_partitions(kept.select(*ACTIONS.fieldNames()).hint("rebalance", "dt"), f"{root}/actions", "dt", "batch")
+    publish(spark, root, commit, "purge", touched.withColumn("tab", F.lit("actions")))
+    days = [r.dt.isoformat() for r in gone.select("dt").distinct().collect()]  # one row per day
+    drop_retired(spark, root, "actions", days)
     return total
 
 
@@ -87,51 +78,68 @@ def purge(
 
 
 def auto_purge(spark: SparkSession, root: str, now: datetime, retention: timedelta) -> int:
-    """Delete facts older than the retention: whole days are dropped as
-    folders, only the boundary day is rewritten."""
+    """Delete facts older than the retention: whole days are retired as they are, only
+    the boundary day is rewritten."""
     cutoff = now - retention
-    table = store.facts(spark, root)
-    old = table.filter(F.col("dt") < F.lit(cutoff.date()))
-    removed = old.count()
-    for day, folder in partitions(spark, f"{root}/actions").items():
-        if day < cutoff.date().isoformat():
-            drop(spark, folder)
+    old = store.facts(spark, root).filter(F.col("dt") < F.lit(cutoff.date())).groupBy("dt", "batch").agg(
+        F.count("*").alias("n")
+    )
+    old = checkpointed(old)
+    removed = old.agg(F.sum("n")).first()[0] or 0
+    if removed:
+        retired = old.select("dt", "batch", F.lit("actions").alias("tab"))
+        publish(spark, root, commit_key("purge"), "purge", retired)
+        drop_retired(spark, root, "actions", [r.dt.isoformat() for r in old.select("dt").distinct().collect()])
     edge = store.facts(spark, root).filter((F.col("dt") == F.lit(cutoff.date())) & (F.col("ts") < ts_lit(cutoff)))
     return removed + delete_rows(spark, root, edge)
 
 
 def compact(spark: SparkSession, root: str, before: datetime | None = None) -> list[str]:
-    """Merge the batches of every day (optionally only of days before a time)
-    into one partition, ordered by place so that min/max statistics skip files.
-
-    Days a stream still writes to must not be compacted. Rows are deduplicated
-    by id, so a run that died half-way is finished by the next one; until then
-    such a day may show rows twice.
+    """Merge the commits of every day (optionally only of days before a time) into one
+    partition, ordered by place so that min/max statistics skip files, and fold the
+    sightings of actors and worlds. Days of one commit are left alone.
+
+    Facts stored twice with all columns equal (one event delivered to two commits) become
+    one; facts that only share an id all stay. The new commit retires what it merged, in
+    one step, and the merged commits stay known, so that a batch retried afterwards is
+    not stored again. Batches that arrive meanwhile are not touched.
     """
-    days = {
-        day: partitions(spark, folder)
-        for day, folder in partitions(spark, f"{root}/actions").items()
-        if before is None or day < before.date().isoformat()
+    pairs = store.facts(spark, root).select("dt", "batch").distinct()
+    if before is not None:
+        pairs = pairs.filter(F.col("dt") < F.lit(before.date()))
+    several = pairs.groupBy("dt").count().filter("count > 1").select("dt")
+    merged_pairs = checkpointed(pairs.join(several, "dt"))
+    seen = {
+        tab: checkpointed(store.sightings(spark, root, tab).select("batch").distinct()) for tab in ("users", "worlds")
     }
-    if not days:
+    days = sorted(r.dt.isoformat() for r in merged_pairs.select("dt").distinct().collect())
+    foldable = {tab: table for tab, table in seen.items() if table.count() > 1}
+    if not days and not foldable:
         return []
-    chosen = [F.lit(d).cast("date") for d in sorted(days)]
-    rows = store.facts(spark, root).filter(F.col("dt").isin(*chosen))
-    merged = rows.dropDuplicates(["id", "dt"]).withColumn("batch", F.lit(0).cast("long"))
-    (
-        merged.select(*ACTIONS.fieldNames())
-        .hint("rebalance", "dt")
-        .sortWithinPartitions("dt", "batch", "world_id", "x", "z", "y", "ts")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt", "batch")
-        .parquet(f"{root}/actions")
-    )
-    for batches in days.values():
-        for batch, folder in batches.items():
-            if batch != "0":
-                drop(spark, folder)
-    return sorted(days)
+    commit = commit_key("compact")
+    retired = merged_pairs.select(F.lit("actions").alias("tab"), "dt", "batch")
+    if days:
+        rows = store.facts(spark, root).join(merged_pairs, ["dt", "batch"], "left_semi")
+        stored = [c for c in ACTIONS.fieldNames() if c != "batch"]
+        rows = rows.select(*stored).distinct().withColumn("batch", F.lit(commit)).select(*ACTIONS.fieldNames())
+        rows = rows.hint("rebalance", "dt").sortWithinPartitions("dt", "batch", "world_id", "x", "z", "y", "ts")
+        store.write_partitions(rows, f"{root}/actions", "dt", "batch")
+    for tab, old in foldable.items():
+        kept = store.sightings(spark, root, tab).join(old, "batch", "left_semi")
+        if tab == "users":
+            kept = kept.groupBy("user_id", "user_key").agg(
+                F.max("uuid").alias("uuid"), F.min_by("name", "first_seen").alias("name"),
+                F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+            )
+        else:
+            kept = kept.select("world_id", "world_key").distinct()
+        store.write_partitions(kept.withColumn("batch", F.lit(commit)), f"{root}/{tab}", "batch")
+        retired = retired.unionByName(old.select(F.lit(tab).alias("tab"), F.lit(None).cast("date").alias("dt"), "batch"))
+    publish(spark, root, commit, "compact", retired)
+    drop_retired(spark, root, "actions", days)
+    for tab in foldable:
+        drop_retired(spark, root, tab)
+    return days
 
 
 # --- schema steps ------------------------------------------------------------
@@ -178,7 +186,8 @@ def write_version(spark: SparkSession, root: str, version: int = SCHEMA_VERSION)
 
 
 def upgrade_dataset(spark: SparkSession, old_root: str, new_root: str) -> int:
-    """Rewrite an older dataset under a new root, which gets its version last."""
+    """Rewrite an older dataset, with its ledger and quarantine, under a new root, which
+    gets its version last. Facts of a dataset without commits all count."""
     version = read_version(spark, old_root)
     if version is None or version >= SCHEMA_VERSION:
         raise ValueError(f"nothing to upgrade at version {version}")
@@ -187,8 +196,15 @@ def upgrade_dataset(spark: SparkSession, old_root: str, new_root: str) -> int:
     rows.select(*[F.col(f.name).cast(f.dataType) for f in ACTIONS.fields]).write.mode("overwrite").partitionBy(
         "dt", "batch"
     ).parquet(f"{new_root}/actions")
-    for name in ("users", "worlds"):
-        spark.read.parquet(f"{old_root}/{name}").write.mode("overwrite").partitionBy("batch").parquet(f"{new_root}/{name}")
+    for name, partition in CARRIED.items():
+        source = Backend(spark, old_root).read(name)
+        if source is not None:
+            source.write.mode("overwrite").partitionBy(*partition).parquet(f"{new_root}/{name}")
+    if Backend(spark, old_root).read("commits") is None:
+        keys = old.select(F.col("batch").cast("string").alias("commit")).distinct()
+        retired = F.array().cast(COMMITS["retired"].dataType)
+        keys = keys.select(F.lit("append").alias("kind"), retired.alias("retired"), "commit")
+        keys.write.mode("overwrite").partitionBy("commit").parquet(f"{new_root}/commits")
     write_version(spark, new_root)
     return version
 
@@ -205,6 +221,10 @@ TABLES = {
 }
 
 
+# What an upgrade takes over as it is.
+CARRIED = {**{t: p for t, p in TABLES.items() if t != "actions"}, "quarantine": ("batch",), "commits": ("commit",)}
+
+
 class CopyRefused(ValueError):
     pass
 
@@ -238,8 +258,9 @@ class Backend:
         if self.fmt == "jdbc":
             writer.option("dbtable", table).option("truncate", "true").save()
         else:
-            if table in TABLES:
-                writer = writer.option("partitionOverwriteMode", "static").partitionBy(*TABLES[table])
+            parts = TABLES.get(table) or CARRIED.get(table)
+            if parts:
+                writer = writer.option("partitionOverwriteMode", "static").partitionBy(*parts)
             writer.save(f"{self.location}/{table}")
 
     def version(self) -> int | None:
@@ -275,5 +296,9 @@ def copy_dataset(source: Backend, target: Backend, force: bool = False) -> dict[
         if arrived != expected:
             raise CopyRefused(f"{table}: {arrived} rows arrived of {expected}")
         copied[table] = arrived
+    for table in ("quarantine", "commits"):
+        rows = source.read(table)
+        if rows is not None:
+            target.write(table, rows)
     target.write("schema_version", source.read("schema_version"))
     return copied

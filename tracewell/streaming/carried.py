@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell.functions.timing import interval
+from tracewell.functions.timing import ts_lit
 from tracewell.operators.attribution import (
     FIRE_RADIUS,
     FIRE_TTL,
@@ -42,9 +42,8 @@ def _newest_per_cell(records: DataFrame, now: DataFrame, ttl: timedelta) -> Data
     """What can still matter: the last record of each cell, if fresh."""
     columns = records.columns
     last = records.groupBy(*CELL).agg(F.max_by(F.struct(*columns), F.struct("ts", "rid")).alias("_r")).select("_r.*")
-    late = now.agg(F.max("ts").alias("_now"))
-    fresh = F.col("_now").isNull() | (F.col("ts") >= F.col("_now") - interval(ttl))
-    return last.withColumn("_k", F.lit(0)).join(late.withColumn("_k", F.lit(0)), "_k").filter(fresh).drop("_k", "_now")
+    newest = now.agg(F.max("ts")).first()[0]
+    return last if newest is None else last.filter(F.col("ts") >= ts_lit(newest - ttl))
 
 
 def _run(events, split, match, sink, checkpoint, schema, ttl, trigger) -> StreamingQuery:
@@ -52,16 +51,18 @@ def _run(events, split, match, sink, checkpoint, schema, ttl, trigger) -> Stream
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        batch, found = batch.persist(), None
         try:
             records, probes = split(batch)
-            held = read_table(spark, f"{state}/v={batch_id - 1}", schema).unionByName(records)
+            held = read_table(spark, f"{state}/v={batch_id - 1}", schema, may_be_new=batch_id == 0).unionByName(records)
             found, left = match(probes, held)
             sink(found, batch_id)
             _newest_per_cell(left, batch, ttl).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
             drop(spark, f"{state}/v={batch_id - 2}")
         finally:
             batch.unpersist()
+            if found is not None:
+                found.unpersist()
 
     return (
         events.writeStream.foreachBatch(step)

@@ -1,20 +1,29 @@
-"""Ingest: validate, pseudonymise, gate, store; quarantine what cannot be."""
+"""Ingest: redact, pseudonymise, gate, validate, store; quarantine what cannot be.
+
+One chain for streams and for replays. Redaction comes first of all: what is refused
+later is kept in its redacted form.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell.functions.actions import pseudonymize_join
-from tracewell.operators.gate import GateConfig, gate, quarantine_reason, validate_rows
-from tracewell.schema import EVENTS
-from tracewell.sources.facts import append_actions, facts
+from tracewell.functions.actions import pseudonymize_join, redact_command
+from tracewell.functions.timing import ts_lit
+from tracewell.operators.gate import GateConfig, coalesce_actor, gate, quarantine_reason
+from tracewell.schema import ENTITY_CHANGE, EVENTS
+from tracewell.sources.commits import commit_key, is_published, live
+from tracewell.sources.facts import append_actions, facts, write_partitions
+from tracewell.sources.folders import drop
 from tracewell.sources.tables import read_table
 
 QUARANTINE = T.StructType(
-    [*EVENTS.fields, T.StructField("quarantine_reason", T.StringType()), T.StructField("batch", T.LongType())]
+    [*EVENTS.fields, T.StructField("quarantine_reason", T.StringType()), T.StructField("batch", T.StringType())]
 )
 
 
@@ -36,65 +45,124 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def process_batch(
+def quarantined(spark: SparkSession, root: str) -> DataFrame:
+    return live(read_table(spark, f"{root}/quarantine", QUARANTINE), spark, root, "quarantine")
+
+
+def chain(
     events: DataFrame,
-    root: str,
-    batch: int,
     cfg: GateConfig = GateConfig(),
     rules: DataFrame | None = None,
     predicates=(),
     salt: str | None = None,
     before=None,
+    earlier: DataFrame | None = None,
+) -> DataFrame:
+    """``events`` with gate_reason and, for accepted rows, quarantine_reason. ``earlier``
+    has the last changes of the batches before (see ``gate``)."""
+    rows = events.withColumn("target", redact_command(F.col("type"), F.col("target")))
+    if salt is not None:
+        rows = rows.withColumn("target", pseudonymize_join(F.col("type"), F.col("target"), salt))
+    gated = gate(rows, cfg, rules, list(predicates), before, earlier)
+    # Without a type or a world no gate can judge a row: it waits in the quarantine.
+    unknown = F.col("type").isNull() | F.col("world_key").isNull()
+    gated = gated.withColumn("gate_reason", F.when(~unknown, F.col("gate_reason")))
+    return gated.withColumn("quarantine_reason", F.when(F.col("gate_reason").isNull(), quarantine_reason()))
+
+
+def _store(rows: DataFrame, root: str, batch, writer: str) -> None:
+    """Refused rows first: once the facts of a commit count, all of it is stored."""
+    accepted = rows.filter(F.col("gate_reason").isNull()).drop("gate_reason")
+    bad = accepted.filter(F.col("quarantine_reason").isNotNull())
+    bad = bad.withColumn("batch", F.lit(commit_key(writer, batch))).select(*QUARANTINE.fieldNames())
+    write_partitions(bad, f"{root}/quarantine", "batch")
+    append_actions(accepted.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason"), root, batch, writer)
+
+
+_LAST = "_actor string, world_key string, x int, y int, z int, ts timestamp_ntz"
+
+
+def _carried(spark: SparkSession, folder: str, batch: int) -> DataFrame:
+    """What the batch before left; only the very first batch has none."""
+    return read_table(spark, f"{folder}/v={batch - 1}", T.StructType.fromDDL(_LAST), may_be_new=batch <= 0)
+
+
+def process_batch(
+    events: DataFrame, root: str, batch: int, cfg: GateConfig = GateConfig(), writer: str = "main",
+    state: str | None = None, **chain_args
 ) -> None:
-    """One micro-batch. Both sinks replace the partitions of this batch, so a
-    batch that is run again after a failure leaves the same rows."""
-    rows = validate_rows(events).persist()
+    """One micro-batch, as one commit of ``writer``: a batch that is run again after it
+    was stored is left as it is, one that failed before is written whole.
+
+    With a ``state`` folder the last change of every actor and cell is handed from batch
+    to batch, so a run of changes is coalesced across batches as it is within one.
+    """
+    spark = events.sparkSession
+    if is_published(spark, root, commit_key(writer, batch)):
+        return
+    earlier = _carried(spark, state, batch) if state and cfg.strict else None
+    rows = chain(events, cfg, earlier=earlier, **chain_args).persist()
     try:
-        bad = rows.filter(F.col("quarantine_reason").isNotNull())
-        (
-            bad.withColumn("batch", F.lit(batch).cast("long"))
-            .select(*QUARANTINE.fieldNames())
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(f"{root}/quarantine")
-        )
-        good = rows.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason")
-        if salt is not None:
-            good = good.withColumn("target", pseudonymize_join(F.col("type"), F.col("target"), salt))
-        gated = gate(good, cfg, rules, list(predicates), before)
-        append_actions(gated.filter(F.col("gate_reason").isNull()).drop("gate_reason"), root, batch)
+        if earlier is not None:
+            changes = rows.filter(F.col("type") == ENTITY_CHANGE).filter(
+                F.col("gate_reason").isNull() | (F.col("gate_reason") != "entity")
+            )
+            last = changes.select(coalesce_actor().alias("_actor"), "world_key", "x", "y", "z", "ts").unionByName(earlier)
+            last = last.groupBy("_actor", "world_key", "x", "y", "z").agg(F.max("ts").alias("ts"))
+            newest = events.agg(F.max("ts")).first()[0]
+            if newest is not None:
+                last = last.filter(F.col("ts") > ts_lit(newest - cfg.coalesce_window))
+            last.write.mode("overwrite").parquet(f"{state}/v={batch}")
+            drop(spark, f"{state}/v={batch - 2}")
+        _store(rows, root, batch, writer)
     finally:
         rows.unpersist()
 
 
+def _writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that a checkpoint belongs to, made up when it is new: a
+    fresh checkpoint starts its batches at 0 again and must not be taken for a retry."""
+    folder = f"{checkpoint}/writer"
+    known = read_table(spark, folder, T.StructType.fromDDL("writer string")).first()
+    if known is None:
+        name = f"stream-{uuid.uuid4().hex[:12]}"
+        spark.range(1).select(F.lit(name).alias("writer")).coalesce(1).write.mode("overwrite").parquet(folder)
+        return name
+    return known.writer
+
+
 def ingest_stream(
-    events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, **gate_args
+    events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, delay: str | None = "10 minutes", **gate_args
 ) -> StreamingQuery:
-    """Start the ingest. Without a trigger it runs every five seconds."""
+    """Start the ingest. Without a trigger it runs every five seconds. Repeated
+    deliveries of an id are dropped within ``delay``; None leaves them."""
+    writer = _writer_of(events.sparkSession, checkpoint)
+    rows = events if delay is None else deduplicated(events, delay)
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        process_batch(batch_df, root, batch_id, **gate_args)
+        process_batch(batch_df, root, batch_id, writer=writer, state=f"{checkpoint}/coalescing", **gate_args)
 
     return (
-        events.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
+        rows.writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{checkpoint}/query")
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()
     )
 
 
-def quarantine_replay(spark: SparkSession, root: str, batch: int, repair=None) -> DataFrame:
+def quarantine_replay(spark: SparkSession, root: str, batch: int, repair=None, **chain_args) -> DataFrame:
     """Try quarantined rows again, once per call, after an optional repair.
 
-    Rows that now pass are appended under ``batch`` (negative numbers keep
-    clear of stream batches); rows already stored are not written twice. What
-    still fails is returned.
+    Rows go through the chain of the ingest, with the same settings; those that now
+    pass are stored as commit ``batch`` of the writer ``replay``, rows already stored
+    are not written twice. What still fails is returned.
     """
-    waiting = read_table(spark, f"{root}/quarantine", QUARANTINE).drop("quarantine_reason", "batch")
+    waiting = quarantined(spark, root).drop("quarantine_reason", "batch")
     rows = repair(waiting) if repair is not None else waiting
-    checked = rows.withColumn("quarantine_reason", quarantine_reason())
-    stored = facts(spark, root).filter(F.col("batch") != batch).select("id")
+    checked = chain(rows, **chain_args).filter(F.col("gate_reason").isNull()).drop("gate_reason")
+    # Only the days that rows wait for are read.
+    days = waiting.select(F.col("ts").cast("date").alias("dt")).distinct()
+    stored = facts(spark, root).join(days, "dt", "left_semi").select("id")
     fit = checked.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason")
-    append_actions(fit.join(stored, "id", "left_anti").dropDuplicates(["id"]), root, batch)
+    append_actions(fit.join(stored, "id", "left_anti").dropDuplicates(["id"]), root, batch, "replay")
     return checked.filter(F.col("quarantine_reason").isNotNull())

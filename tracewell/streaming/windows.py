@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 from datetime import timedelta
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tracewell.functions.timing import interval
-from tracewell.operators.diffs import CONTAINER_EXPIRY, MAX_SLOTS
+from tracewell.functions.timing import micros, to_micros
+from tracewell.operators.diffs import CONTAINER_EXPIRY, slot_changes
 from tracewell.operators.lookups import RATE_SECONDS
 
+# As in ``keyed``: processors travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def rate_stream(
     events: DataFrame, window: timedelta = timedelta(seconds=RATE_SECONDS), slide: timedelta = timedelta(seconds=1),
@@ -31,42 +40,72 @@ def rate_stream(
     )
 
 
+class _OpenSession(StatefulProcessor):
+    """Keeps a session's newest open until a close takes it or it is too old."""
+
+    def __init__(self, expiry: int, slots: T.DataType):
+        self.expiry, self.slots = expiry, slots
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [T.StructField("at", T.LongType()), T.StructField("slots", T.BinaryType())]
+        self.open = handle.getValueState("open", T.StructType(fields))
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "closing"], kind="stable")
+        held = self.open.get() if self.open.exists() else None
+        pairs = []
+        for at, closing, slots, ts in zip(pdf["at_us"], pdf["closing"], pdf["slots"], pdf["ts"], strict=True):
+            if not closing:
+                held = (int(at), pickle.dumps(slots))
+            elif held is not None:
+                if 0 <= at - held[0] <= self.expiry:
+                    pairs.append((key[0], ts, pickle.loads(held[1]), slots))
+                held = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held is None:
+            self.open.clear()
+        else:
+            self.open.update(held)
+            # Once the watermark is past the expiry no close can take it.
+            self.handle.registerTimer((held[0] + self.expiry) // 1_000 + 1)
+        yield pd.DataFrame(pairs, columns=["session", "closed", "before", "after"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.open.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def container_stream(
-    opens: DataFrame, closes: DataFrame, expiry: timedelta = CONTAINER_EXPIRY, delay: str = "1 minute"
+    opens: DataFrame, closes: DataFrame, expiry: timedelta = CONTAINER_EXPIRY, delay: str = "1 minute",
+    max_slots: int | None = None,
 ) -> DataFrame:
     """Deposits and withdrawals of sessions whose close follows the open within
-    ``expiry``.
+    ``expiry``; the newest open counts and a close takes it, as in the batch form.
 
     One row per snapshot: session, ts and ``slots``, an array of (slot, item,
-    count). Both watermarks and the time bound let Spark forget old snapshots.
+    count). State is one snapshot per open session, dropped in event time.
     """
-    left = opens.select(
-        "session", F.col("ts").cast("timestamp").alias("opened"), F.col("slots").alias("before")
-    ).withWatermark("opened", delay)
-    right = closes.select(
-        F.col("session").alias("_session"), F.col("ts").cast("timestamp").alias("closed"), F.col("slots").alias("after")
-    ).withWatermark("closed", delay)
-    paired = left.join(
-        right,
-        (F.col("session") == F.col("_session"))
-        & (F.col("closed") >= F.col("opened"))
-        & (F.col("closed") <= F.col("opened") + interval(expiry)),
-    )
-    full = lambda s: s["item"].isNotNull() & (s["count"] > 0) & (s["slot"] < MAX_SLOTS)
-    as_map = lambda c: F.map_from_entries(
-        F.transform(F.filter(c, full), lambda s: F.struct(s["slot"], F.struct(s["item"], s["count"])))
+    columns = ["session", "ts", "slots"]
+    events = opens.select(*columns, F.lit(False).alias("closing")).unionByName(
+        closes.select(*columns, F.lit(True).alias("closing"))
     )
-    rows = paired.select("session", "closed", as_map("before").alias("b"), as_map("after").alias("a"))
-    slots = rows.select(
-        "session", "closed", "a", "b", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))).alias("slot")
+    timed = (
+        events.withColumn("at_us", micros(F.col("ts"))).withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
     )
-    was, now = F.try_element_at("b", F.col("slot")), F.try_element_at("a", F.col("slot"))
-    delta = F.coalesce(now["count"], F.lit(0)) - F.coalesce(was["count"], F.lit(0))
-    return (
-        slots.select("session", "closed", "slot", F.coalesce(was["item"], now["item"]).alias("item"), delta.alias("delta"))
-        .filter(F.col("delta") != 0)
-        .select(
-            "session", "closed", "slot", "item",
-            F.when(F.col("delta") > 0, 3).otherwise(4).alias("type"), F.abs("delta").cast("int").alias("amount"),
-        )
+    slots = timed.schema["slots"].dataType
+    session = timed.schema["session"].dataType
+    out = T.StructType([
+        T.StructField("session", session), T.StructField("closed", T.TimestampType()),
+        T.StructField("before", slots), T.StructField("after", slots),
+    ])
+    pairs = timed.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=_OpenSession(to_micros(expiry), slots), outputStructType=out, outputMode="Append",
+        timeMode="EventTime",
     )
+    return slot_changes(pairs, ["session", "closed"], max_slots)
