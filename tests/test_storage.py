@@ -57,6 +57,36 @@ def test_day_bound_prunes_partitions(spark, tmp_path):
     assert "dt#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_keys_reach_the_stored_facts(spark, tmp_path):
+    root = str(tmp_path)
+    facts.append_actions(events(spark, *[action(i, i, 1 + i % 2, x=i, uuid=f"u{i % 3}") for i in range(9)]), root)
+    flt = ActionFilter(since=START, world="overworld", x=0, z=0, radius=4, types=(1,), uuids=("u0",))
+    rows = flt.apply(facts.scan_actions(spark, root, flt=flt))
+    assert sorted(ids(rows)) == [0]
+    pushed = [p.split("]")[0] for p in rows._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1:]]
+    scan = max(pushed, key=len)
+    assert all(f"({c}," in scan or f"({c})" in scan for c in ("world_id", "user_id", "type", "x", "z", "ts"))
+
+
+def test_commits(spark, tmp_path):
+    root = str(tmp_path)
+    first, second = events(spark, action(1, 0, 1)), events(spark, action(2, 1, 1), action(1, 1, 2))
+    facts.append_actions(first, root)
+    facts.append_actions(second, root)  # no batch named: never the same commit
+    assert sorted(ids(facts.facts(spark, root))) == [1, 1, 2]
+    key = facts.append_actions(events(spark, action(3, 2, 1)), root, 0, "w")
+    maintenance.compact(spark, root)
+    assert facts.append_actions(events(spark, action(3, 2, 1)), root, 0, "w") == key  # a retry
+    facts.append_actions(events(spark, action(4, 3, 1)), root, 1, "w")
+    assert sorted(ids(facts.facts(spark, root))) == [1, 1, 2, 3, 4]
+    # What was written without a commit does not count.
+    extra = facts.facts(spark, root).limit(1).withColumn("batch", F.lit("lost")).select(*ACTIONS.fieldNames())
+    facts.write_partitions(extra, f"{root}/actions", "dt", "batch")
+    assert facts.facts(spark, root).count() == 5
+    with pytest.raises(ValueError):
+        facts.append_actions(first, root, "a/b")
+
+
 def test_scan_applies_the_ledger(spark, tmp_path):
     root = str(tmp_path)
     facts.append_actions(events(spark, action(1, 0, 1, x=1), action(2, 1, 1, x=2)), root)

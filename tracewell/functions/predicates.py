@@ -268,6 +268,24 @@ class ActionFilter:
             parts.append(rolled_back_state(self.rolled_back))
         return parts
 
+    def stored_bounds(self) -> list[Column]:
+        """What of this filter the columns of stored facts express: day, time, place, type,
+        and world and users as their surrogates, so that all of it reaches the scan. A
+        bound, not the filter: names that are looked up and other conditions are left
+        to ``apply``."""
+        parts = self.spatial()
+        if self.since is not None:
+            parts.append(since(self.since, "dt"))
+        if self.until is not None:
+            parts.append(until(self.until, "dt"))
+        if self.types:
+            parts.append(by_types(list(self.types)))
+        if self.world is not None and self.world != "#global":
+            parts.append(F.col("world_id") == F.xxhash64(F.lit(world_key(self.world))))
+        if self.uuids and not self.names:
+            parts.append(F.col("user_id").isin(*(F.xxhash64(F.lit(f"u:{u}")) for u in self.uuids)))
+        return parts
+
     def apply(self, df: DataFrame) -> DataFrame:
         parts = self.non_spatial() + self.spatial()
         if self.types:
@@ -293,6 +311,13 @@ class ActionFilter:
         return json.dumps(shown, sort_keys=True)
 
 
+def filter_from_json(text: str | None) -> ActionFilter:
+    """The filter that a batch was planned with (see ``ActionFilter.to_json``)."""
+    kept = json.loads(text) if text else {}
+    times = {k: datetime.fromisoformat(kept[k]) for k in ("since", "until") if kept.get(k)}
+    return ActionFilter(**{k: tuple(v) if isinstance(v, list) else v for k, v in kept.items()} | times)
+
+
 def guard_radius(flt: ActionFilter, maximum: int) -> ActionFilter:
     if flt.radius is not None and flt.radius > maximum:
         raise ValueError(f"radius {flt.radius} is over the maximum {maximum}")

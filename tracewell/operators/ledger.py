@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.affected import parse_affected
-from tracewell.functions.predicates import ActionFilter
+from tracewell.functions.predicates import ActionFilter, filter_from_json
 from tracewell.functions.timing import ts_lit
 from tracewell.operators.lookups import newest_first
 from tracewell.operators.rollback import RESTORE, ROLLBACK, is_rollbackable, newest_per_position
 from tracewell.schema import BATCH_ACTIONS, BATCHES, CONSOLE_ACTOR, EXPLOSION, KILL
-from tracewell.session import broadcast_if_small
 from tracewell.sources.tables import read_table
 
 # Fixed value: operations kept per actor.
@@ -85,18 +84,28 @@ def undo_history(batches: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
     )
 
 
+def undoable(batches: DataFrame, actor: str | None) -> DataFrame:
+    """The actor's batches that an undo may still revert: an undo takes the batch it
+    reverts off the stack and is not put on it."""
+    mine = batches.filter(_actor() == (actor or CONSOLE_ACTOR))
+    if "undoes" not in batches.columns:
+        return mine
+    done = mine.filter(F.col("undoes").isNotNull()).select(F.col("undoes").alias("batch_id")).distinct()
+    return mine.filter(F.col("undoes").isNull()).join(done, "batch_id", "left_anti")
+
+
 def undo_plan(
     actions: DataFrame, batches: DataFrame, bridge: DataFrame, actor: str | None, flt: ActionFilter = ActionFilter()
 ) -> DataFrame:
-    """Plan that reverts the actor's newest batch: exactly its rows, in the
-    other mode, still under the filter the batch was made with.
+    """Plan that reverts the actor's newest batch that is not undone yet: exactly its
+    rows, in the other mode, still under the filter the batch was made with.
 
     ``actions`` carries effective flags. The newest batch is an aggregate, and
     the mode it implies is compared with each row's flag inside the join, so
     nothing is fetched to the driver.
     """
     newest = (
-        batches.filter(_actor() == (actor or CONSOLE_ACTOR))
+        undoable(batches, actor)
         .groupBy()
         .agg(F.max("batch_id").alias("batch_id"), F.max_by("mode", "batch_id").alias("mode"))
     )
@@ -140,13 +149,14 @@ class Ledger:
             .parquet(self.bridge_path)
         )
 
-    def _write_batch(self, batch_id, ts, actor, mode, affected, filter_json, status) -> None:
+    def _write_batch(self, batch_id, ts, actor, mode, affected, filter_json, status, undoes) -> None:
         row = self.spark.range(1).select(
             ts_lit(ts).alias("ts"),
             F.lit(actor).cast("string").alias("actor_uuid"),
             F.lit(mode).alias("mode"),
             F.lit(affected).cast("long").alias("affected"),
             F.lit(filter_json).cast("string").alias("filter_json"),
+            F.lit(undoes).cast("long").alias("undoes"),
             F.lit(status).alias("status"),
             F.lit(batch_id).cast("long").alias("batch_id"),
         )
@@ -161,12 +171,14 @@ class Ledger:
         return (self.batches().agg(F.max("batch_id")).first()[0] or 0) + 1
 
     def open_batch(
-        self, plan_rows: DataFrame, mode: int, actor: str | None, ts: datetime, flt: ActionFilter, batch_id: int
+        self, plan_rows: DataFrame, mode: int, actor: str | None, ts: datetime, flt: ActionFilter, batch_id: int,
+        undoes: int | None = None,
     ) -> int:
-        """Record a plan before anything is applied; returns its size."""
+        """Record a plan before anything is applied; returns its size. ``undoes`` names the
+        batch that an undo reverts."""
         self._write_bridge(plan_rows, batch_id, PLANNED)
         planned = self.bridge(PLANNED).filter(F.col("batch_id") == batch_id).count()
-        self._write_batch(batch_id, ts, actor, mode, planned, flt.to_json(), OPENED)
+        self._write_batch(batch_id, ts, actor, mode, planned, flt.to_json(), OPENED, undoes)
         return planned
 
     def close_batch(self, results: DataFrame, batch_id: int, ts: datetime) -> bool:
@@ -180,17 +192,23 @@ class Ledger:
         if missing.limit(1).count():
             return False
         opened = self.batches().filter((F.col("batch_id") == batch_id) & (F.col("status") == OPENED)).first()
-        self._write_batch(batch_id, ts, opened.actor_uuid, opened.mode, applied.count(), opened.filter_json, CLOSED)
+        self._write_batch(batch_id, ts, opened.actor_uuid, opened.mode, applied.count(), opened.filter_json, CLOSED, opened.undoes)
         return True
 
-    def effective(self, actions: DataFrame) -> DataFrame:
-        """Facts under all applied steps so far.
+    def plan_undo(self, actions: DataFrame, actor: str | None) -> tuple[int, ActionFilter, DataFrame] | None:
+        """(batch, its filter, plan) of the actor's next undo, or None: the newest closed
+        batch not undone yet, under the filter stored with it. One row comes to the driver."""
+        closed = self.batches().filter(F.col("status") == CLOSED)
+        newest = undoable(closed, actor).orderBy(F.col("batch_id").desc()).first()
+        if newest is None:
+            return None
+        flt = filter_from_json(newest.filter_json)
+        return newest.batch_id, flt, undo_plan(actions, closed, self.bridge(APPLIED), actor, flt)
 
-        The flags are counted first: while they are few, facts are not
-        shuffled to meet them.
-        """
-        flags = _applied_flags(self.batches(), self.bridge(APPLIED))
-        return _with_flags(actions, broadcast_if_small(flags))
+    def effective(self, actions: DataFrame) -> DataFrame:
+        """Facts under all applied steps so far; how the flags are joined is left to their
+        size at run time."""
+        return _with_flags(actions, _applied_flags(self.batches(), self.bridge(APPLIED)))
 
 
 def step_results(plan_rows: DataFrame, mode: int, failed_ids: DataFrame | None = None) -> DataFrame:

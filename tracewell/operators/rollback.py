@@ -225,7 +225,8 @@ def inverse_mutations(plan_rows: DataFrame, sidecar: DataFrame | None = None) ->
 
 
 def forward_mutations(plan_rows: DataFrame) -> DataFrame:
-    """What redoes each planned row. A kill is a no-op that counts as done."""
+    """What redoes each planned row. A kill cannot be redone: its row does nothing, and
+    ``step_results`` reports it as not carried out."""
     t, none = F.col("type"), F.lit(None)
     rows = _plain_rows(plan_rows)
     plain = rows.filter(is_rollbackable() & (t != EXPLOSION))

@@ -7,12 +7,13 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from tracewell.functions.predicates import ActionFilter, default_rollback_scope, guard_radius, guard_time
 from tracewell.operators import ledger, rollback
 from tracewell.plans.binding import NOW, as_events, facts, oracle
 from tracewell.plans.maintenance import OLD
 from tracewell.plans.registry import ORACLES, query
-from tracewell.plans.rollbacks import NEARBY, NEARBY_SQL, planned_sql
-from tracewell.session import scratch_folder
+from tracewell.plans.rollbacks import NEARBY, NEARBY_SQL, SINCE_SQL, planned_sql
+from tracewell.session import checkpointed, scratch_folder
 from tracewell.sources import exports, maintenance
 from tracewell.sources import facts as store
 
@@ -128,6 +129,54 @@ def upgrade_keeps_flags(spark, sf):
     return store.scan_actions(spark, new).select("id", "rolled_back")
 
 
+NETHER = ActionFilter(since=NEARBY.since, world="the_nether", x=0, z=0, radius=4)
+NETHER_SQL = NEARBY_SQL.replace("overworld", "the_nether")
+
+
+BOTH_SQL = f"(({NEARBY_SQL}) OR ({NETHER_SQL})) AND rolled_back = 0"
+
+
+@query("undo_twice", oracle(f"""{planned_sql(BOTH_SQL)}
+SELECT CASE WHEN world_key = 'minecraft:overworld' THEN 2 ELSE 1 END AS batch_id, id FROM plan"""))
+def undo_twice(spark, sf):
+    """Two rollbacks; the first undo reverts the second of them, the next one goes one
+    further back and is not led astray by the undo itself."""
+    root = stored(spark, sf, "undo-twice")
+    book = ledger.Ledger(spark, root)
+    for number, flt in ((1, NETHER), (2, NEARBY)):
+        plan = rollback.plan_rollback(store.scan_actions(spark, root), flt)
+        book.open_batch(plan, rollback.ROLLBACK, None, NOW, flt, number)
+        book.close_batch(ledger.step_results(plan, rollback.ROLLBACK), number, NOW)
+    found = []
+    for number in (3, 4):
+        undone, flt, plan = book.plan_undo(store.scan_actions(spark, root), None)
+        plan = checkpointed(plan)
+        found.append(plan.select(F.lit(undone).cast("int").alias("batch_id"), "id"))
+        book.open_batch(plan, rollback.RESTORE, None, NOW, flt, number, undoes=undone)
+        # Restored kills cannot be carried out; the batch counts as done all the same.
+        book.close_batch(plan.select("id", F.lit(True).alias("ok")), number, NOW)
+    return found[0].unionByName(found[1])
+
+
+@query("stored_lookup", oracle(f"SELECT {STORED_SQL} FROM a WHERE {NEARBY_SQL} AND type IN (1, 2) AND user_id = 7 AND actor_uuid IS NOT NULL"))
+def stored_lookup(spark, sf):
+    """World, user, type and place of a filter reach the stored facts."""
+    root = stored(spark, sf, "lookup")
+    flt = NEARBY.but(types=(1, 2), uuids=("00000000-0000-4000-8000-000000000007",))
+    return flt.apply(store.scan_actions(spark, root, flt=flt)).select(*STORED)
+
+
+@query("scoped_rollback", oracle(f"""{planned_sql(f'{SINCE_SQL} AND x BETWEEN -10 AND 10 AND z BETWEEN -10 AND 10 AND y BETWEEN 52 AND 72 AND rolled_back = 0')}
+SELECT id FROM plan"""))
+def scoped_rollback(spark, sf):
+    """A rollback that names no place: ten blocks around the caller, within the limits."""
+    rows = facts(spark, sf)
+    flt = guard_time(guard_radius(default_rollback_scope(ActionFilter(since=NEARBY.since), (0, 62, 0)), 100))
+    plan = rollback.plan_rollback(rows, flt)
+    rollback.check_limits(flt.apply(rows), plan, 1_000_000, 1_000_000)
+    return plan.select("id")
+
+
 @query("copy_dataset", oracle("""
 SELECT 'users' AS tab, count(DISTINCT coalesce(actor_uuid, actor_name)) AS n FROM a UNION ALL SELECT 'worlds', count(DISTINCT world_key) FROM a
 UNION ALL SELECT 'actions', count(*) FROM a UNION ALL SELECT 'rollback_batches', 0 UNION ALL SELECT 'rollback_batch_actions', 0"""))

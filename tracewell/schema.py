@@ -137,6 +137,7 @@ BATCHES = T.StructType(
         T.StructField("mode", T.IntegerType(), False),
         T.StructField("affected", T.LongType(), False),
         T.StructField("filter_json", T.StringType()),
+        T.StructField("undoes", T.LongType()),  # the batch that this one reverts
         T.StructField("status", T.StringType(), False),
         T.StructField("batch_id", T.LongType(), False),
     ]

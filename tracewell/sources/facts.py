@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.actions import default_world
+from tracewell.functions.predicates import ActionFilter, all_of
 from tracewell.operators.dimensions import normalize_actions, user_id, user_key, with_dimensions, world_id
 from tracewell.operators.ledger import Ledger
 from tracewell.schema import ACTIONS, PAYLOAD_COLUMNS, USERS, WORLDS
@@ -76,11 +77,13 @@ def scan_actions(
     names: bool = True,
     since: datetime | None = None,
     until: datetime | None = None,
+    flt: ActionFilter | None = None,
 ) -> DataFrame:
     """Facts with effective rolled-back flags and, by default, names.
 
     Without ``payload`` the five payload columns are never read. Time bounds
-    given here prune day partitions before the ledger join.
+    given here prune day partitions before the ledger join. Of a filter ``flt`` that the
+    caller applies, the part that stored columns express is applied to the scan already.
     """
     rows = facts(spark, root)
     if not payload:
@@ -89,6 +92,8 @@ def scan_actions(
         rows = rows.filter(F.col("dt") >= F.lit(since.date()))
     if until is not None:
         rows = rows.filter(F.col("dt") <= F.lit(until.date()))
+    if flt is not None and (bounds := flt.stored_bounds()):
+        rows = rows.filter(all_of(bounds))
     rows = Ledger(spark, root).effective(rows)
     return with_dimensions(rows, users(spark, root), worlds(spark, root)) if names else rows
 

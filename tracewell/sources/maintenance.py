@@ -70,7 +70,7 @@ def purge(
 ) -> int:
     """Delete what a filter selects; optionally reclaim space afterwards."""
     wanted = purge_filter(flt.but(day_column="dt"), now, min_age)
-    victims = wanted.apply(store.scan_actions(spark, root))
+    victims = wanted.apply(store.scan_actions(spark, root, flt=wanted))
     removed = delete_rows(spark, root, victims)
     if compact_after and removed:
         compact(spark, root)
