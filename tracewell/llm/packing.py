@@ -10,11 +10,13 @@ them, and best-fits what was displaced. Elites move on to the next island.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,49 @@ SHARD = 4096
 REMEMBERED = 300_000
 
 
+# How the tokenizer file cuts a lower-case word, and the signs that stand
+# for bytes in its vocabulary (those without a sign of their own come after 255).
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_SIGNS = {**{b: chr(b) for b in _SHOWN}, **{b: chr(256 + n) for n, b in enumerate(_HIDDEN)}}
+_BYTES = [_SIGNS[b] for b in range(256)]
+# Words of these characters are cut here; others, and those that may hold the name of a
+# special token, go through the whole tokenizer.
+_COMMON = regex.compile(r"[!-~\u00c0-\u024f]+")
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it,
-    so ids are looked up word by word; only words not seen lately are tokenized."""
+    """Ids of whole texts. The tokenizer drops white space and never joins across it, so
+    ids are looked up word by word, and those of new words piece by piece: the
+    tokenizer's model is asked only for pieces not seen lately."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else "".join([_BYTES[b] for b in piece.encode()])
+        found = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+        self.pieces[piece] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or not _COMMON.fullmatch(word):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+            word = "".join([c.lower() for c in word])
+        else:
+            word = word.lower()
+        pieces = self.pieces
+        return b"".join([pieces.get(p) or self._piece(p) for p in _CUT.findall(word)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit numbers."""
@@ -53,9 +88,11 @@ class Encoder:
             except KeyError:
                 if len(known) > REMEMBERED:
                     self.known = known = {"": b""}
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+                if len(self.pieces) > REMEMBERED:
+                    self.pieces.clear()
+            for word in words:
+                if word not in known:
+                    known[word] = self._word(word)
             out.append(b"".join([known[w] for w in words]))
         return out
 
