@@ -79,6 +79,11 @@ def running_total(df: DataFrame, order: Sequence[Column], sums: dict[str, str])
     )
 
 
+def _state(links: DataFrame) -> tuple:
+    """Number and hash of a set of edges, the same in any order."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): the root is
     the smallest node of its connected group. Nodes are any orderable type.
@@ -94,6 +99,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
         .distinct()
     )
+    before = _state(links)
     while True:
         # Large step: both directions, smallest of the neighbourhood and the node.
         both = links.select("v", "u").unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -110,11 +116,11 @@ def connected_groups(edges: DataFrame) -> DataFrame:
             .unionByName(smallest.select("v", F.col("m").alias("u")))
             .distinct()
         )
-        after = checkpointed(small)
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if same == links.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first():
+        links = checkpointed(small)
+        state = _state(links)
+        if state == before:
             break
-        links = after
+        before = state
     roots = links.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
@@ -131,20 +137,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+# Bytes of one Arrow batch: texts have no bound, so rows alone must not decide.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, unless it names a bound itself."""
+    if int(spark.conf.get(_BATCH_SETTING, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def per_text(
     docs: DataFrame, keep: Sequence[str], compute: Callable[[list[str]], Sequence[pa.Array]], schema: str,
     text: str = "text",
 ) -> DataFrame:
     """The ``keep`` columns unchanged, and what ``compute`` makes of the texts of a
     batch: one Arrow array per column of ``schema``. No shuffle; null texts are empty."""
+    bound_batches(docs.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     width = len(keep)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             # Bounded pieces: a batch of very long texts is not held twice at once.
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 new = compute(part.column(width).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], names=names)
 

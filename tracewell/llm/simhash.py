@@ -134,15 +134,23 @@ def _links(distance: int):
             nonlocal closed, labels
             if closed is not None or not homes:
                 return []
-            closed = np.concatenate(homes)
+            # Smallest first: the forest then points at the same nodes in every bucket.
+            closed = np.sort(np.concatenate(homes).view(np.int64)).view(np.uint64)
             labels = np.arange(len(closed))
             return _forest(closed, labels, closed, distance) if len(closed) > 1 else []
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bucket = batch.column(0).to_numpy()
             block = batch.column(1).to_numpy()
             probe = batch.column(2).to_numpy(zero_copy_only=False)
             fp = batch.column(3).to_numpy().view(np.uint64)
+            # Most buckets hold one row, which meets nobody; only rows at the ends of the
+            # batch may belong to a bucket that goes on.
+            alike = (np.diff(bucket) == 0) & (np.diff(block) == 0)
+            some = np.concatenate([[True], alike]) | np.concatenate([alike, [True]])
+            bucket, block, probe, fp = bucket[some], block[some], probe[some], fp[some]
             cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0)) + 1
             edges: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
