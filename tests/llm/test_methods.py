@@ -227,3 +227,25 @@ def test_model_beats_add_one_on_documents_it_has_not_seen(spark):
 
     found = {r.held_out: r for r in hpylm.perplexity(hpylm.score(docs, remainder("doc_id", 7) == 2)).collect()}
     assert found[True].perplexity < found[True].base_perplexity
+
+
+def test_words_are_scored_in_their_order(spark):
+    """Contexts count: the same words in an order that training texts have are likelier."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    after = {w: rng.sample("abcdefghij", 2) for w in "abcdefghij"}
+    rows = []
+    for i in range(120):
+        words = [rng.choice("abcdefghij")]
+        while len(words) < 30:
+            words.append(rng.choice(after[words[-1]]))
+        rows.append((i, " ".join(words)))
+    shuffled = rows[0][1].split()
+    rng.shuffle(shuffled)
+    rows += [(1000, rows[0][1]), (1001, " ".join(shuffled))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in hpylm.score(docs, F.col("doc_id") >= 1000).collect()}
+    assert found[1000].score > found[1001].score + 5
+    assert found[1000].base_score == pytest.approx(found[1001].base_score)
+    assert found[1000].train_tokens == 120 * 31
