@@ -161,6 +161,14 @@ def test_fuzzy_lines_form_groups(spark):
         assert lines.similar(lines.normalised(texts[3 * i])[0], lines.normalised(texts[3 * i + 1])[0], 0.8)
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    """Equal lines of any length are one; a script without spaces is compared by characters."""
+    signs = "".join(chr(0x4E00 + 37 * i % 20000) for i in range(1500))
+    rows = [(0, "And ornd.\n\n---\n" + signs), (1, "and  ORND!\n\n---\nanother"), (2, signs), (3, signs[:60] + "X" + signs[60:])]
+    left = {r.doc_id: r.text for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0: rows[0][1], 1: "\n---\nanother", 2: "", 3: ""}
+
+
 def test_very_long_line_is_hashed_in_pieces():
     long = " ".join(f"w{i}" for i in range(70_000)).encode()
     lo, hi = lines._simhashes([b"a b c d e", long, b"a b c d f"])
