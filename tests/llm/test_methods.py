@@ -169,6 +169,45 @@ def test_short_lines_and_lines_without_spaces(spark):
     assert left == {0: rows[0][1], 1: "\n---\nanother", 2: "", 3: ""}
 
 
+def test_large_clusters_are_streamed():
+    """Visitors meet the homes of a block, are not kept, and link nobody among themselves."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    class Text(str):
+        pass
+
+    held = []
+
+    class Batch:
+        def __init__(self, rows):
+            self.columns = [self.Column(c) for c in zip(*rows, strict=True)]
+
+        class Column(list):
+            def to_pylist(self):
+                return list(self)
+
+    def rows():
+        home = "the words of this one line are the same everywhere"
+        yield Batch([(1, 0, False, 1, 0, home), (1, 0, False, 2, 0, home + "s")])
+        for start in range(100, 1100, 100):
+            texts = [Text(home[:-1] + "x") if n % 2 else Text("visitors that are alike among themselves %d" % (n % 4)) for n in range(start, start + 100)]
+            held.extend(map(weakref.ref, texts))
+            yield Batch([(1, 0, True, n, 0, t) for n, t in zip(range(start, start + 100), texts, strict=True)])
+            del texts
+
+    edges, most = [], 0
+    for batch in lines._verified(0.8, 10)(rows()):
+        assert isinstance(batch, pa.RecordBatch)
+        edges += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        gc.collect()
+        most = max(most, sum(r() is not None for r in held))
+    assert {a for a, _ in edges} == {2, *range(101, 1100, 2)} and {b for _, b in edges} <= {1, 2}
+    assert most <= 200
+
+
 def test_very_long_line_is_hashed_in_pieces():
     long = " ".join(f"w{i}" for i in range(70_000)).encode()
     lo, hi = lines._simhashes([b"a b c d e", long, b"a b c d f"])
