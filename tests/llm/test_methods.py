@@ -84,6 +84,18 @@ def test_hidden_insults_raise_features():
     assert toxicity.features("you idiot", toxicity.Lexicon())[near] > 0
 
 
+@pytest.mark.parametrize("sign", " .-_*")
+def test_spelled_out_insults_count_in_every_text(sign):
+    at = toxicity.FEATURES.index("hidden_hits")
+    assert toxicity.features(f"you {sign.join('idiot')} over there", toxicity.Lexicon())[at] == 1
+
+
+def test_capital_words_of_long_texts_count():
+    at = toxicity.FEATURES.index("capital_words")
+    text = "some quiet words " * 200 + "GET OUT NOW"
+    assert toxicity.features(text, toxicity.Lexicon())[at] == pytest.approx(3 / 603)
+
+
 def test_additive_model_learns_pairs():
     rng = np.random.default_rng(5)
     x = rng.random((2500, 3))

@@ -83,12 +83,12 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         near = int((np.minimum(at - you[gaps], you[gaps + 1] - at) <= NEAR).sum())
     hidden = _HIDDEN.findall(text)
     shown = [w.lower().translate(LEET).replace("*", "") for w in hidden]
-    spaced = [re.sub(r"[ .\-_*]", "", w).lower() for w in _SPACED.findall(text)] if hidden or "." in text else []
+    spaced = [re.sub(r"[ .\-_*]", "", w).lower() for w in _SPACED.findall(text)]
     unveiled = sum(w in INSULTS or w in known for w in shown) + sum(w in INSULTS or w in known for w in spaced)
     raw = text.encode("utf-8", "replace")
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)
     capitals, small = int(seen[65:91].sum()), int(seen[97:123].sum())
-    upper = sum(1 for w in set(text.split()) if len(w) > 2 and w.isupper()) if capitals > small // 20 else 0
+    upper = sum(1 for w in set(text.split()) if len(w) > 2 and w.isupper())
     counts = [sum(map(s.__contains__, words)) if s else 0 for s in (by_list, by_word, by_stem)]
     return [
         counts[0] / n, float(counts[0] > 0), counts[1] / n, float(counts[1] > 0), counts[2] / n, float(counts[2] > 0),
