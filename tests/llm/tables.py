@@ -13,6 +13,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = (
     "score", "size", "fp", "root", "y", "f", "word", "chunk", "copies", "k", "item", "shard", "norm", "node", "n_lines",
     "n_removed", "_text_hash", "_text", "_kept", "_quality", "_mix_size", "component_id", "place", "bucket", "target",
+    "_of", "_of_hash", "_gone", "_winner", "_winner_hash", "_i", "_s", "_n", "_mix_id", "_mix_source", "_mix_words",
+    "_place", "_mix_lot", "_mix_number", "block", "visitor", "lines", "copies_", "text_hash", "lo", "hi", "first",
 )
 
 

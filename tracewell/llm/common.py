@@ -168,6 +168,6 @@ def per_text(
 
     names = [*keep, *StructType.fromDDL(schema).names]
     kept = [f"`{c}` {types[c]}" for c in keep]
-    return docs.select(*(f"`{c}`" for c in keep), text_of(text).alias("_text")).mapInArrow(
+    return docs.select(*(f"`{c}`" for c in keep), text_of(text).alias(free_name(docs, "_text"))).mapInArrow(
         batches, ", ".join([*kept, schema])
     )

@@ -146,16 +146,16 @@ def _copies(sized: DataFrame, weights: tuple[int, ...], most: int, draws: int, s
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with the
     columns of ``docs`` only. Takes the settings of ``mix``."""
-    key, lot, number = (free_name(docs, f"_mix_{n}") for n in ("size", "lot", "number"))
+    key, lot, number, i, s, n = (free_name(docs, f"_mix_{x}") for x in ("size", "lot", "number", "id", "source", "words"))
     lots = (
         mix(docs, **settings).groupBy("doc_id", "source", "size")
         .agg(F.sort_array(F.collect_list("copies")).alias(lot))
-        .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), lot)
+        .select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), lot)
     )
     same = Window.partitionBy("doc_id", "source", key).orderBy("doc_id")
     numbered = docs.withColumn(key, word_count()).join(
         lots,
-        F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col(key) == F.col("_n")),
+        F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(key) == F.col(n)),
     ).withColumn(number, F.row_number().over(same))
     times = F.element_at(F.col(lot), F.col(number)).cast("int")
     return numbered.withColumn(

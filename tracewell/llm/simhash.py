@@ -243,15 +243,15 @@ def first_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
     """One document of each group, the one with the smallest id, with the columns of ``docs``."""
     found = near_duplicates(docs, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = Window.partitionBy("root").orderBy("text_hash")
+    mark, place, winner, its_hash = (free_name(docs, n) for n in ("_text_hash", "_place", "_winner", "_winner_hash"))
     winners = (
         found.withColumn("place", F.row_number().over(best)).filter("place = 1")
-        .select(F.col("doc_id").alias("_winner"), F.col("text_hash").alias("_winner_hash"))
+        .select(F.col("doc_id").alias(winner), F.col("text_hash").alias(its_hash))
     )
-    mark, place = free_name(docs, "_text_hash"), free_name(docs, "_place")
     again = Window.partitionBy("doc_id", mark).orderBy("doc_id")
     return (
         docs.withColumn(mark, F.xxhash64(text_of()))
-        .join(winners, F.col("doc_id").eqNullSafe(F.col("_winner")) & (F.col(mark) == F.col("_winner_hash")), "left_semi")
+        .join(winners, F.col("doc_id").eqNullSafe(F.col(winner)) & (F.col(mark) == F.col(its_hash)), "left_semi")
         .withColumn(place, F.row_number().over(again)).filter(F.col(place) == 1)
         .select(*(F.col(f"`{c}`") for c in docs.columns))
     )
