@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import pytest
 
-from conftest import action, actions, make
+from helpers import action, actions, make
 from tracewell.operators import attribution as att
 
 HIT = "victim string, attacker string, ts timestamp_ntz, id long"

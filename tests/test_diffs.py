@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import pytest
 
-from conftest import make
+from helpers import make
 from tracewell.functions.blocks import CATEGORY_IDS, HOT_CATEGORIES, NO_CATEGORY, change_between
 from tracewell.operators import diffs
 from tracewell.operators.segments import with_previous
@@ -16,7 +16,7 @@ SAMPLE = "id long, ts timestamp_ntz, world_key string, x int, y int, z int, slot
 
 
 def snapshots(spark, rows):
-    from conftest import at
+    from helpers import at
 
     return spark.createDataFrame([(*r[:4], at(r[4])) for r in rows], SNAP)
 

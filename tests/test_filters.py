@@ -3,7 +3,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import START, action, actions, at, ids, make
+from helpers import START, action, actions, at, ids, make
 from tracewell.functions import actions as act
 from tracewell.functions import predicates as p
 from tracewell.functions.affected import parse_affected, serialize_affected

@@ -6,7 +6,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import action, actions, ids
+from helpers import action, actions, ids
 from tracewell.operators import gate as g
 from tracewell.operators.explosions import MAX_CHARS, MAX_ENTRIES, pack_affected
 from tracewell.schema import ACTION_TYPES

@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import action, actions, at
+from helpers import action, actions, at
 from tracewell.functions import predicates as p
 from tracewell.operators import diffs, lookups, rollback
 from tracewell.plans import registry

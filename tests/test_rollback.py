@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import START, action, actions, at, ids
+from helpers import START, action, actions, at, ids
 from tracewell.functions.predicates import ActionFilter
 from tracewell.operators import ledger as led
 from tracewell.operators import rollback as rb

@@ -5,7 +5,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import action, actions, at, ids, make
+from helpers import action, actions, at, ids, make
 from test_attribution import CAUSER, CELLED, fire_data, fire_fold
 from test_storage import events
 from tracewell.operators import attribution as att
