@@ -35,11 +35,13 @@ def load_all() -> None:
         hpylm,
         lines,
         mixing,
+        negatives,
         orderhash,
         packing,
         pii,
         quality,
         rules,
+        search,
         simhash,
         toxicity,
     )
