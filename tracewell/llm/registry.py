@@ -33,6 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     from tracewell.llm import (  # noqa: F401
         hpylm,
+        jaccard,
         lines,
         mixing,
         negatives,
