@@ -5,16 +5,17 @@ their prefixes share a token; prefixes lengthened by l - 1 tokens share at least
 orders are used, one after the other, each on what the ones before have left:
 
 1. by hash, over all documents: a document whose lengthened prefix shares too few tokens
-   with other prefixes has no partner at all and is done;
-2. rare tokens first, over the distinct sets that are left: sets whose prefixes share a
-   token are filed together, in clusters;
+   with other prefixes has no partner at all and is done; so is a distinct set of which too
+   few tokens stand in any other that is left;
+2. rare tokens first, over what is left: sets whose prefixes share a token are filed
+   together, in clusters;
 3. within a cluster, a pair is verified if its prefixes share a token under the rare
    order, under the hash order and under the hash order from its other end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,18 @@ def _row_numbers() -> int:
 
 def _deal(tokens: np.ndarray, owners: np.ndarray, chunks: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(chunk, tokens, owners) of one batch. A token that several of the batch own is sent
-    once, without owner: they know already that it is shared, and a token that very many
-    documents hold stays a few rows."""
+    once, without owner, and so stays a few rows however many documents hold it; that it is
+    shared is known already, and goes with a chunk below zero as (counts, owners)."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    again = np.zeros(len(tokens), bool)
+    again[1:] = tokens[1:] == tokens[:-1]
+    shared = again.copy()
+    shared[:-1] |= again[1:]
+    credited, credits = np.unique(owners[shared], return_counts=True)
+    if len(credited):
+        yield -1 - int(credited[0]) % (1 << 16), credits.astype(np.int64).tobytes(), credited.tobytes()
+    tokens, owners = tokens[~again], np.where(shared, _LONE, owners)[~again]
     chunk = (tokens & np.uint64(chunks - 1)).astype(np.int64)
     order = np.argsort(chunk, kind="stable")
     chunk, tokens, owners = chunk[order], tokens[order], owners[order]
@@ -89,6 +100,16 @@ def _deal(tokens: np.ndarray, owners: np.ndarray, chunks: int) -> Iterator[tuple
             yield int(chunk[a]), tokens[a:b].tobytes(), owners[a:b].tobytes()
 
 
+def _chunks(tokens: int) -> int:
+    return 1 << (tokens // CHUNK).bit_length()
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """(row, shared) of what ``_deal`` gives."""
+    sorted_ = dealt.repartition("chunk").sortWithinPartitions("chunk")
+    return sorted_.mapInArrow(_credited, "row long, shared long").groupBy("row").agg(F.sum("shared").alias("shared"))
+
+
 def _hashed(chunks: int, percent: int, size: int):
     """Per batch of (doc_id, text_hash, text): one row per document, and the tokens of the
     lengthened prefixes by chunk."""
@@ -110,18 +131,7 @@ def _hashed(chunks: int, percent: int, size: int):
                 kind=np.zeros(n_docs, np.int32), doc_id=batch.column(0), text_hash=batch.column(1), row=rows, n=sizes,
                 print_a=two[:, 0], print_b=two[:, 1],
             )
-            tokens = np.concatenate(prefixes)
-            owners = np.repeat(rows, [len(p) for p in prefixes])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owners = tokens[order], owners[order]
-            again = np.concatenate([[False], tokens[1:] == tokens[:-1]]) if len(tokens) else np.empty(0, bool)
-            shared = again.copy()
-            shared[:-1] |= again[1:]
-            credited, credits = np.unique(owners[shared], return_counts=True)
-            sent = ~again
-            out = list(_deal(tokens[sent], np.where(shared, _LONE, owners)[sent], chunks))
-            if len(credited):
-                out.append((-1 - int(rows[0]) % (1 << 16), credits.astype(np.int64).tobytes(), credited.tobytes()))
+            out = list(_deal(np.concatenate(prefixes), np.repeat(rows, [len(p) for p in prefixes]), chunks))
             if out:
                 chunk, a, b = zip(*out, strict=True)
                 yield _table(kind=np.ones(len(out), np.int32), chunk=np.array(chunk), tokens=a, owners=b)
@@ -185,15 +195,13 @@ def hashed(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     spark = docs.sparkSession
     bound_batches(spark)
     letters = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    tokens = letters // 6 * (100 - percent + 10) // 100
-    chunks = 1 << max(0, (tokens // CHUNK)).bit_length()
+    chunks = _chunks(letters // 6 * (100 - percent + 10) // 100)
     keyed = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     folder = scratch_folder(spark, "shingles")
     keyed.mapInArrow(_hashed(chunks, percent, size), _HASHED).write.parquet(folder)
     table = spark.read.parquet(folder)
     rows = table.filter("kind = 0").select("doc_id", "text_hash", "row", "n", "print_a", "print_b")
-    dealt = table.filter("kind = 1").select("chunk", "tokens", "owners").repartition("chunk").sortWithinPartitions("chunk")
-    shared = dealt.mapInArrow(_credited, "row long, shared long").groupBy("row").agg(F.sum("shared").alias("shared"))
+    shared = _shared(table.filter("kind = 1").select("chunk", "tokens", "owners"))
     # A partner has at least ``smaller`` tokens, which bounds its spare from below.
     smaller = F.ceil(F.col("n") * percent / 100)
     needed = F.greatest(F.lit(1), F.floor(smaller / 10))
@@ -219,9 +227,41 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(compute, "node long, n int, tokens binary").dropDuplicates(["node"])
 
 
+def _mixed(tokens: np.ndarray, group: int) -> np.ndarray:
+    """Tokens that are only equal within one group."""
+    return tokens ^ np.uint64(xxhash.xxh64_intdigest(group.to_bytes(8, "little", signed=True)))
+
+
+def supported(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``sets`` (node, n, tokens, cluster) of which others in the cluster hold
+    as many tokens, each alone or together, as a partner would."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chunks = _chunks(total)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, groups = (batch.column(i).to_pylist() for i in (0, 1))
+            found = [_mixed(np.frombuffer(t, np.uint64), g) for t, g in zip(batch.column(2).to_pylist(), groups, strict=True)]
+            if not found:
+                continue
+            out = list(_deal(np.concatenate(found), np.repeat(np.array(nodes, np.int64), [len(f) for f in found]), chunks))
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                names=["chunk", "tokens", "owners"],
+            )
+
+    dealt = sets.select("node", "cluster", "tokens").mapInArrow(deal, "chunk long, tokens binary, owners binary")
+    shared = _shared(dealt)
+    enough = sets.select("node", "n").join(shared, F.col("node") == F.col("row"))
+    enough = enough.filter(100 * F.col("shared") >= percent * F.col("n")).select("node")
+    return sets.join(enough, "node", "left_semi")
+
+
 def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """For each of SLOTS hash slots the bit length of the number of tokens in it, 0 if
-    that is below COMMON: a fixed table, which orders tokens from rare to common."""
+    """For each of SLOTS hash slots the bit length of the number of tokens in it, 0 if it
+    is not COMMON times as full as the mean: a table of fixed size that orders tokens from
+    rare to common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(SLOTS, np.int64)
@@ -232,9 +272,12 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at])], names=["slot", "held"])
 
     sums = sets.select("tokens").mapInArrow(count, "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held"))
-    found = sums.filter(F.col("held") >= COMMON).toPandas()  # at most SLOTS rows
+    sums = checkpointed(sums)
+    total = sums.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    # Fewer than SLOTS / COMMON slots can hold that many times the mean.
+    found = sums.filter(F.col("held") >= COMMON * (1 + total // SLOTS)).toArrow()
     classes = np.zeros(SLOTS, np.uint8)
-    classes[found["slot"].to_numpy(np.int64)] = np.frexp(found["held"].to_numpy(float))[1]
+    classes[found["slot"].to_numpy()] = np.frexp(found["held"].to_numpy().astype(float))[1]
     return classes
 
 
@@ -246,22 +289,24 @@ def rare_first(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return tokens[np.lexsort((tokens, classes[_slots(tokens)]))]
 
 
-def clusters(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """(node, root): sets joined by tokens that their prefixes share, rare tokens first."""
+def clusters(sets: DataFrame, order: Callable[[np.ndarray], np.ndarray], percent: int) -> DataFrame:
+    """(node, cluster): ``sets`` (node, tokens, cluster) of a cluster joined by tokens that
+    their prefixes under ``order`` share. Sets that share none are left out."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = []
-            for tokens in batch.column(1).to_pylist():
+            for group, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = np.frombuffer(tokens, np.uint64)
-                heads.append(rare_first(found, classes)[: prefix_length(len(found), 1, percent)])
+                heads.append(_mixed(order(found)[: prefix_length(len(found), 1, percent)], group))
             nodes = np.repeat(batch.column(0).to_numpy(), [len(h) for h in heads])
             flat = np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(nodes, pa.int64())], names=["token", "node"])
 
-    filed = checkpointed(sets.select("node", "tokens").mapInArrow(file, "token long, node long"))
+    filed = checkpointed(sets.select("node", "cluster", "tokens").mapInArrow(file, "token long, node long"))
     hubs = filed.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("token", "a")
-    return connected_groups(filed.join(hubs, "token").select("a", F.col("node").alias("b")).distinct())
+    links = filed.join(hubs, "token").select("a", F.col("node").alias("b")).distinct()
+    return connected_groups(links).select("node", F.col("root").alias("cluster"))
 
 
 def overlaps(homes: list[np.ndarray], visitors: list[np.ndarray]) -> np.ndarray:
@@ -384,9 +429,10 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     A cluster is cut into blocks of bounded size along the sizes of its sets, and every
     two blocks that may hold similar sizes meet in one task.
     """
+    sets = checkpointed(supported(sets.select("node", "n", "tokens", F.lit(0).cast("long").alias("cluster")), percent))
     classes = frequency_classes(sets)
-    found = clusters(sets, classes, percent).filter("node IS NOT NULL")
-    members = sets.select("node", "n").join(found.withColumnRenamed("root", "cluster"), "node")
+    found = clusters(sets, lambda tokens: rare_first(tokens, classes), percent)
+    members = sets.select("node", "n").join(found, "node")
     weighed = members.withColumn("weight", F.col("n").cast("long") + _ROW)
     order = [F.col("cluster").asc(), F.col("n").asc(), F.col("node").asc()]
     placed = running_total(weighed, order, {"before": "weight"}).withColumn("block", F.floor(F.col("before") / block))
