@@ -31,8 +31,9 @@ from tracewell.session import broadcast_if_small, checkpointed, scratch_folder
 SHINGLE = 5
 # A similarity of PERCENT / 100; whole numbers keep the test exact.
 PERCENT = 80
-# Tokens that a task groups at a time.
-CHUNK = 1 << 20
+# Tokens that are grouped at a time. So few that nearly every shared token is a row of its
+# own at any size: what is counted grows in proportion.
+CHUNK = 1 << 16
 # Counters of the rare order. More tokens than counters make it coarser, not wrong.
 SLOTS = 1 << 20
 COMMON = 8
