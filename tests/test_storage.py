@@ -13,7 +13,7 @@ from tracewell.operators import ledger as led
 from tracewell.operators import rollback as rb
 from tracewell.operators.lookups import pending_lookup
 from tracewell.schema import ACTIONS, EVENTS, SCHEMA_VERSION
-from tracewell.sources import exports, facts, maintenance
+from tracewell.sources import commits, exports, facts, maintenance
 
 DAY = 86_400
 
@@ -203,3 +203,103 @@ def test_pending(spark):
     landing = actions(spark, action(1, 0, 1), action(2, 0, 1), action(3, 0, 1, x=1))
     stored = landing.filter("id = 1")
     assert ids(pending_lookup(landing, stored, "overworld", 0, 64, 0)) == [2]
+
+
+def beside(monkeypatch, module, other):
+    """Run ``other`` once, between the work of a job and its commit."""
+    real, done = module.publish, []
+
+    def publish(*args, **kwargs):
+        if not done:
+            done.append(True)
+            other()
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(module, "publish", publish)
+
+
+def test_purge_during_compact(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    days(spark, root)
+    beside(monkeypatch, maintenance, lambda: maintenance.purge(spark, root, ActionFilter(since=at(DAY), types=(1,)), at(10 * DAY)))
+    maintenance.compact(spark, root)
+    assert sorted(ids(facts.facts(spark, root))) == [1, 2, 3, 101, 102, 103]
+    assert facts.scan_actions(spark, root).count() == 6
+
+
+def test_two_compactions_and_two_purges(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    days(spark, root)
+    beside(monkeypatch, maintenance, lambda: maintenance.compact(spark, root))
+    maintenance.compact(spark, root)
+    assert sorted(ids(facts.facts(spark, root))) == [0, 1, 2, 3, 100, 101, 102, 103]
+    old = at(10 * DAY)
+    beside(monkeypatch, maintenance, lambda: maintenance.purge(spark, root, ActionFilter(since=at(2 * DAY), names=("p0",)), old))
+    assert maintenance.purge(spark, root, ActionFilter(since=at(DAY + 30), names=("p1",)), old) == 2
+    assert sorted(ids(facts.facts(spark, root))) == [2, 3, 102, 103]
+
+
+def test_compact_during_purge_and_append(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    days(spark, root)
+
+    def others():
+        facts.append_actions(events(spark, action(500, 5, 2)), root, 7)
+        maintenance.compact(spark, root)
+
+    beside(monkeypatch, maintenance, others)
+    assert maintenance.auto_purge(spark, root, at(10 * DAY), timedelta(days=8)) == 5
+    assert sorted(ids(facts.facts(spark, root))) == [2, 3, 102, 103]
+
+
+def test_purge_goes_by_row_not_by_id(spark, tmp_path):
+    root = str(tmp_path)
+    facts.append_actions(events(spark, action(1, 0, 1), action(1, 0, 2), action(2, 0, 2)), root)
+    assert maintenance.purge(spark, root, ActionFilter(since=at(5), types=(1,)), at(10 * DAY)) == 1
+    assert sorted((r.id, r.type) for r in facts.facts(spark, root).collect()) == [(1, 2), (2, 2)]
+
+
+def test_snapshots_bound_what_a_scan_opens(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    monkeypatch.setattr(commits, "SNAPSHOT", 4)
+    keys = [facts.append_actions(events(spark, action(i, i, 1)), root, i) for i in range(10)]
+    log = commits.read_log(spark, root)
+    assert (log.base, log.head, len(log.tail)) == (8, 10, 2)
+    assert all(commits.is_published(spark, root, k) for k in keys) and not commits.is_published(spark, root, "main-99")
+    facts.append_actions(events(spark, action(0, 0, 1)), root, 0)  # a retry, known from the snapshot
+    maintenance.compact(spark, root)
+    assert commits.read_log(spark, root).head == 11
+    facts.append_actions(events(spark, action(11, 11, 1)), root, 11)
+    assert commits.read_log(spark, root).tail == ()  # 12: all in a snapshot, with what was retired
+    assert sorted(ids(facts.scan_actions(spark, root))) == [*range(10), 11]
+    # A snapshot that was not finished does not count.
+    (tmp_path / "snapshots" / "n=12" / "retired" / "_SUCCESS").unlink()
+    assert commits.read_log(spark, root).base == 8
+    assert sorted(ids(facts.scan_actions(spark, root))) == [*range(10), 11]
+
+
+def test_entries_are_created_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tracewell.sources import folders
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: folders.create_new(spark, f"{tmp_path}/log/1", str(i)), range(8)))
+    assert sum(won) == 1 and folders.read_text(spark, f"{tmp_path}/log/1") == str(won.index(True))
+    assert folders.names(spark, f"{tmp_path}/log") == ["1"]
+    # The form for other file systems.
+    (tmp_path / "a").write_text("a"), (tmp_path / "b").write_text("b")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name, moved in (("a", True), ("b", False)):
+        assert folders._moved(spark, path(f"file:{tmp_path}/{name}"), path(f"file:{tmp_path}/c")) == moved
+    assert (tmp_path / "c").read_text() == "a"
+
+
+def test_appends_side_by_side(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: facts.append_actions(events(spark, action(i, i, 1)), root, i % 6), range(6)))
+    assert sorted(ids(facts.facts(spark, root))) == list(range(6))
+    assert commits.read_log(spark, root).head == 6

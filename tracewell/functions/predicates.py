@@ -286,13 +286,19 @@ class ActionFilter:
             parts.append(F.col("user_id").isin(*(F.xxhash64(F.lit(f"u:{u}")) for u in self.uuids)))
         return parts
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def _parts(self) -> list[Column]:
         parts = self.non_spatial() + self.spatial()
-        if self.types:
-            parts.append(by_types(list(self.types)))
+        return [*parts, by_types(list(self.types))] if self.types else parts
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        parts = self._parts()
         out = df.filter(all_of(parts)) if parts else df
         return with_ids(out, list(self.ids)) if self.ids else out
 
+    def condition(self) -> Column:
+        """The whole filter as one predicate; null where it is unknown."""
+        return all_of([*self._parts(), F.col("id").isin(list(self.ids))] if self.ids else self._parts())
+
     def widened_explosions(self, reach: int) -> Column:
         """Explosions centred outside the box but within ``reach`` of it, with
         an affected block inside it."""

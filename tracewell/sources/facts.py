@@ -5,7 +5,7 @@ Layout under one root::
     actions/dt=2024-01-31/batch=main-17/…   facts, by day and commit
     users/batch=main-17/…                   sightings of actors
     worlds/batch=main-17/…                  sightings of worlds
-    commits/commit=main-17/…                what counts (see ``commits``)
+    log/…  changes/…  snapshots/…           what counts (see ``commits``)
 
 Every append is a commit of its own, so appends never touch each other's rows.
 Dimension tables hold sightings; readers fold them.
@@ -24,23 +24,23 @@ from tracewell.functions.predicates import ActionFilter, all_of
 from tracewell.operators.dimensions import normalize_actions, user_id, user_key, with_dimensions, world_id
 from tracewell.operators.ledger import Ledger
 from tracewell.schema import ACTIONS, PAYLOAD_COLUMNS, USERS, WORLDS
-from tracewell.sources.commits import commit_key, is_published, live, publish
+from tracewell.sources.commits import Log, commit_key, is_published, live, publish, read_log
 from tracewell.sources.tables import read_table
 
 BATCHED_USERS = T.StructType([*USERS.fields, T.StructField("user_key", T.StringType()), T.StructField("batch", T.StringType())])
 BATCHED_WORLDS = T.StructType([*WORLDS.fields, T.StructField("batch", T.StringType())])
 
 
-def sightings(spark: SparkSession, root: str, tab: str) -> DataFrame:
-    """Stored rows of ``users`` or ``worlds`` that count."""
+def sightings(spark: SparkSession, root: str, tab: str, log: Log | None = None) -> DataFrame:
+    """Stored rows of ``users`` or ``worlds`` that count, by the ``log`` if one is given."""
     schema = BATCHED_USERS if tab == "users" else BATCHED_WORLDS
-    return live(read_table(spark, f"{root}/{tab}", schema), spark, root, tab)
+    return live(read_table(spark, f"{root}/{tab}", schema), spark, root, tab, log)
 
 
-def users(spark: SparkSession, root: str) -> DataFrame:
+def users(spark: SparkSession, root: str, log: Log | None = None) -> DataFrame:
     """One row per actor: first-seen name, first and last sighting."""
     return (
-        sightings(spark, root, "users")
+        sightings(spark, root, "users", log)
         .groupBy("user_id")
         .agg(
             F.max("user_key").alias("user_key"),
@@ -52,8 +52,8 @@ def users(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def worlds(spark: SparkSession, root: str) -> DataFrame:
-    return sightings(spark, root, "worlds").select("world_id", "world_key").distinct()
+def worlds(spark: SparkSession, root: str, log: Log | None = None) -> DataFrame:
+    return sightings(spark, root, "worlds", log).select("world_id", "world_key").distinct()
 
 
 def id_collisions(spark: SparkSession, root: str) -> DataFrame:
@@ -66,8 +66,8 @@ def id_collisions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, root: str) -> DataFrame:
-    return live(read_table(spark, f"{root}/actions", ACTIONS), spark, root, "actions")
+def facts(spark: SparkSession, root: str, log: Log | None = None) -> DataFrame:
+    return live(read_table(spark, f"{root}/actions", ACTIONS), spark, root, "actions", log)
 
 
 def scan_actions(
@@ -78,6 +78,7 @@ def scan_actions(
     since: datetime | None = None,
     until: datetime | None = None,
     flt: ActionFilter | None = None,
+    log: Log | None = None,
 ) -> DataFrame:
     """Facts with effective rolled-back flags and, by default, names.
 
@@ -85,7 +86,8 @@ def scan_actions(
     given here prune day partitions before the ledger join. Of a filter ``flt`` that the
     caller applies, the part that stored columns express is applied to the scan already.
     """
-    rows = facts(spark, root)
+    log = log or read_log(spark, root)
+    rows = facts(spark, root, log)
     if not payload:
         rows = rows.drop(*PAYLOAD_COLUMNS)
     if since is not None:
@@ -95,7 +97,13 @@ def scan_actions(
     if flt is not None and (bounds := flt.stored_bounds()):
         rows = rows.filter(all_of(bounds))
     rows = Ledger(spark, root).effective(rows)
-    return with_dimensions(rows, users(spark, root), worlds(spark, root)) if names else rows
+    return with_dimensions(rows, users(spark, root, log), worlds(spark, root, log)) if names else rows
+
+
+def named(spark: SparkSession, root: str, rows: DataFrame, log: Log) -> DataFrame:
+    """Stored facts with effective flags and names, as ``scan_actions`` gives them, and
+    all their columns."""
+    return with_dimensions(Ledger(spark, root).effective(rows), users(spark, root, log), worlds(spark, root, log))
 
 
 def write_partitions(rows: DataFrame, path: str, *partition: str) -> None:

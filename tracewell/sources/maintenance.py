@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.predicates import ActionFilter
+from tracewell.functions.predicates import ActionFilter, all_of
 from tracewell.functions.timing import ts_lit
 from tracewell.schema import ACTIONS, SCHEMA_VERSION
 from tracewell.session import checkpointed
 from tracewell.sources import facts as store
-from tracewell.sources.commits import COMMITS, commit_key, drop_retired, publish
+from tracewell.sources.commits import RETIRED, Log, commit_key, drop_retired, has_log, publish, read_log, repeated
 
 # Least age a purge may name, from a console and in game.
 CONSOLE_MIN_AGE, GAME_MIN_AGE = timedelta(hours=24), timedelta(days=30)
@@ -34,8 +34,14 @@ def purge_victims(actions: DataFrame, flt: ActionFilter, now: datetime, min_age=
 
 
 def purge_survivors(actions: DataFrame, flt: ActionFilter, now: datetime, min_age=CONSOLE_MIN_AGE) -> DataFrame:
-    victims = purge_victims(actions, flt, now, min_age).select("id")
-    return actions.join(victims, "id", "left_anti")
+    """What the purge leaves: rows that the filter does not select. A row goes by itself,
+    not by its id, which others may share."""
+    return actions.filter(~selected(purge_filter(flt, now, min_age)))
+
+
+def selected(flt: ActionFilter) -> Column:
+    """Whether a row is selected; where the filter is unknown (null), it is not."""
+    return F.coalesce(flt.condition(), F.lit(False))
 
 
 def auto_purge_survivors(actions: DataFrame, now: datetime, retention: timedelta) -> DataFrame:
@@ -43,35 +49,48 @@ def auto_purge_survivors(actions: DataFrame, now: datetime, retention: timedelta
     return actions.filter(F.col("ts") >= ts_lit(now - retention))
 
 
-def delete_rows(spark: SparkSession, root: str, victims: DataFrame) -> int:
-    """Remove facts by (id, dt, batch); returns how many went.
+def delete_rows(
+    spark: SparkSession, root: str, victim: Column, bounds: list[Column], log: Log, named: bool = True,
+    rewritten: Column | None = None,
+) -> int:
+    """Remove the facts for which ``victim`` holds; returns how many went. ``bounds`` are
+    predicates on stored columns that all victims meet; ``victim`` may also use the
+    effective flag and the names, unless ``named`` is off.
 
     The survivors of every partition that loses rows are written under a new commit,
-    which retires those partitions; others are not read. Readers see the facts before
+    which retires those partitions; others are not read. Days for which ``rewritten`` does
+    not hold have no survivors and are retired as they are. Readers see the facts before
     or after, and a run that failed before its commit left nothing that counts.
     """
-    gone = checkpointed(victims.select("id", "dt", "batch"))
-    total = gone.count()
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("stored_flag", F.col("rolled_back"))
+        return store.named(spark, root, rows, log) if named else rows
+
+    stored = store.facts(spark, root, log)
+    lost = scanned(stored.filter(all_of(bounds))).filter(victim).groupBy("dt", "batch").agg(F.count("*").alias("n"))
+    lost = checkpointed(lost)
+    total = lost.agg(F.sum("n")).first()[0] or 0
     if not total:
         return 0
     commit = commit_key("purge")
-    touched = gone.select("dt", "batch").distinct()
-    kept = store.facts(spark, root).join(touched, ["dt", "batch"], "left_semi")
-    kept = kept.join(gone, ["id", "dt", "batch"], "left_anti").withColumn("batch", F.lit(commit))
+    touched = (lost if rewritten is None else lost.filter(rewritten)).select("dt", "batch")
+    kept = scanned(stored.join(touched, ["dt", "batch"], "left_semi")).filter(~victim)
+    kept = kept.withColumn("rolled_back", F.col("stored_flag")).withColumn("batch", F.lit(commit))
     store.write_partitions(kept.select(*ACTIONS.fieldNames()).hint("rebalance", "dt"), f"{root}/actions", "dt", "batch")
-    publish(spark, root, commit, "purge", touched.withColumn("tab", F.lit("actions")))
-    days = [r.dt.isoformat() for r in gone.select("dt").distinct().collect()]  # one row per day
-    drop_retired(spark, root, "actions", days)
+    publish(spark, root, commit, "purge", lost.withColumn("tab", F.lit("actions")), log)
+    drop_retired(spark, root, commit)
     return total
 
 
 def purge(
     spark: SparkSession, root: str, flt: ActionFilter, now: datetime, min_age=CONSOLE_MIN_AGE, compact_after: bool = False
 ) -> int:
-    """Delete what a filter selects; optionally reclaim space afterwards."""
+    """Delete what a filter selects; optionally reclaim space afterwards. May run beside
+    appends, compactions and other purges: what they changed meanwhile is looked at again."""
     wanted = purge_filter(flt.but(day_column="dt"), now, min_age)
-    victims = wanted.apply(store.scan_actions(spark, root, flt=wanted))
-    removed = delete_rows(spark, root, victims)
+    bounds = wanted.stored_bounds()
+    removed = repeated(spark, root, lambda log: delete_rows(spark, root, selected(wanted), bounds, log))
     if compact_after and removed:
         compact(spark, root)
     return removed
@@ -81,17 +100,9 @@ def auto_purge(spark: SparkSession, root: str, now: datetime, retention: timedel
     """Delete facts older than the retention: whole days are retired as they are, only
     the boundary day is rewritten."""
     cutoff = now - retention
-    old = store.facts(spark, root).filter(F.col("dt") < F.lit(cutoff.date())).groupBy("dt", "batch").agg(
-        F.count("*").alias("n")
-    )
-    old = checkpointed(old)
-    removed = old.agg(F.sum("n")).first()[0] or 0
-    if removed:
-        retired = old.select("dt", "batch", F.lit("actions").alias("tab"))
-        publish(spark, root, commit_key("purge"), "purge", retired)
-        drop_retired(spark, root, "actions", [r.dt.isoformat() for r in old.select("dt").distinct().collect()])
-    edge = store.facts(spark, root).filter((F.col("dt") == F.lit(cutoff.date())) & (F.col("ts") < ts_lit(cutoff)))
-    return removed + delete_rows(spark, root, edge)
+    edge, old = F.lit(cutoff.date()), F.col("ts") < ts_lit(cutoff)
+    bounds, boundary = [F.col("dt") <= edge], F.col("dt") == edge
+    return repeated(spark, root, lambda log: delete_rows(spark, root, old, bounds, log, named=False, rewritten=boundary))
 
 
 def compact(spark: SparkSession, root: str, before: datetime | None = None) -> list[str]:
@@ -102,15 +113,20 @@ def compact(spark: SparkSession, root: str, before: datetime | None = None) -> l
     Facts stored twice with all columns equal (one event delivered to two commits) become
     one; facts that only share an id all stay. The new commit retires what it merged, in
     one step, and the merged commits stay known, so that a batch retried afterwards is
-    not stored again. Batches that arrive meanwhile are not touched.
+    not stored again. Batches that arrive meanwhile are not touched; what a purge or
+    another compaction retired meanwhile is not brought back: the work is done again.
     """
-    pairs = store.facts(spark, root).select("dt", "batch").distinct()
+    return repeated(spark, root, lambda log: _compact(spark, root, before, log))
+
+
+def _compact(spark: SparkSession, root: str, before: datetime | None, log: Log) -> list[str]:
+    pairs = store.facts(spark, root, log).select("dt", "batch").distinct()
     if before is not None:
         pairs = pairs.filter(F.col("dt") < F.lit(before.date()))
     several = pairs.groupBy("dt").count().filter("count > 1").select("dt")
     merged_pairs = checkpointed(pairs.join(several, "dt"))
     seen = {
-        tab: checkpointed(store.sightings(spark, root, tab).select("batch").distinct()) for tab in ("users", "worlds")
+        tab: checkpointed(store.sightings(spark, root, tab, log).select("batch").distinct()) for tab in ("users", "worlds")
     }
     days = sorted(r.dt.isoformat() for r in merged_pairs.select("dt").distinct().collect())
     foldable = {tab: table for tab, table in seen.items() if table.count() > 1}
@@ -119,13 +135,13 @@ def compact(spark: SparkSession, root: str, before: datetime | None = None) -> l
     commit = commit_key("compact")
     retired = merged_pairs.select(F.lit("actions").alias("tab"), "dt", "batch")
     if days:
-        rows = store.facts(spark, root).join(merged_pairs, ["dt", "batch"], "left_semi")
+        rows = store.facts(spark, root, log).join(merged_pairs, ["dt", "batch"], "left_semi")
         stored = [c for c in ACTIONS.fieldNames() if c != "batch"]
         rows = rows.select(*stored).distinct().withColumn("batch", F.lit(commit)).select(*ACTIONS.fieldNames())
         rows = rows.hint("rebalance", "dt").sortWithinPartitions("dt", "batch", "world_id", "x", "z", "y", "ts")
         store.write_partitions(rows, f"{root}/actions", "dt", "batch")
     for tab, old in foldable.items():
-        kept = store.sightings(spark, root, tab).join(old, "batch", "left_semi")
+        kept = store.sightings(spark, root, tab, log).join(old, "batch", "left_semi")
         if tab == "users":
             kept = kept.groupBy("user_id", "user_key").agg(
                 F.max("uuid").alias("uuid"), F.min_by("name", "first_seen").alias("name"),
@@ -135,10 +151,8 @@ def compact(spark: SparkSession, root: str, before: datetime | None = None) -> l
             kept = kept.select("world_id", "world_key").distinct()
         store.write_partitions(kept.withColumn("batch", F.lit(commit)), f"{root}/{tab}", "batch")
         retired = retired.unionByName(old.select(F.lit(tab).alias("tab"), F.lit(None).cast("date").alias("dt"), "batch"))
-    publish(spark, root, commit, "compact", retired)
-    drop_retired(spark, root, "actions", days)
-    for tab in foldable:
-        drop_retired(spark, root, tab)
+    publish(spark, root, commit, "compact", retired, log)
+    drop_retired(spark, root, commit)
     return days
 
 
@@ -196,15 +210,15 @@ def upgrade_dataset(spark: SparkSession, old_root: str, new_root: str) -> int:
     rows.select(*[F.col(f.name).cast(f.dataType) for f in ACTIONS.fields]).write.mode("overwrite").partitionBy(
         "dt", "batch"
     ).parquet(f"{new_root}/actions")
-    for name, partition in CARRIED.items():
+    for name in CARRIED:
         source = Backend(spark, old_root).read(name)
         if source is not None:
-            source.write.mode("overwrite").partitionBy(*partition).parquet(f"{new_root}/{name}")
+            Backend(spark, new_root).write(name, source)
     if Backend(spark, old_root).read("commits") is None:
         keys = old.select(F.col("batch").cast("string").alias("commit")).distinct()
-        retired = F.array().cast(COMMITS["retired"].dataType)
-        keys = keys.select(F.lit("append").alias("kind"), retired.alias("retired"), "commit")
-        keys.write.mode("overwrite").partitionBy("commit").parquet(f"{new_root}/commits")
+        target = Backend(spark, new_root)
+        target.write("commits", keys.withColumn("kind", F.lit("append")))
+        target.write("retired", spark.createDataFrame([], RETIRED))
     write_version(spark, new_root)
     return version
 
@@ -222,7 +236,9 @@ TABLES = {
 
 
 # What an upgrade takes over as it is.
-CARRIED = {**{t: p for t, p in TABLES.items() if t != "actions"}, "quarantine": ("batch",), "commits": ("commit",)}
+CARRIED = {**{t: p for t, p in TABLES.items() if t != "actions"}, "quarantine": ("batch",), "commits": (), "retired": ()}
+# The log of a folder goes as a first snapshot, its last table last.
+_SNAPSHOT = {"commits": "snapshots/n=1/keys", "retired": "snapshots/n=1/retired"}
 
 
 class CopyRefused(ValueError):
@@ -247,6 +263,11 @@ class Backend:
         try:
             if self.fmt == "jdbc":
                 return reader.option("dbtable", table).load()
+            if table in _SNAPSHOT and self.fmt == "parquet":
+                if not has_log(self.spark, self.location):
+                    return None
+                log = read_log(self.spark, self.location)
+                return log.keys() if table == "commits" else log.retired()
             return reader.load(f"{self.location}/{table}")
         except AnalysisException as failure:
             if failure.getCondition() != "PATH_NOT_FOUND":
@@ -261,7 +282,7 @@ class Backend:
             parts = TABLES.get(table) or CARRIED.get(table)
             if parts:
                 writer = writer.option("partitionOverwriteMode", "static").partitionBy(*parts)
-            writer.save(f"{self.location}/{table}")
+            writer.save(f"{self.location}/{_SNAPSHOT.get(table, table)}")
 
     def version(self) -> int | None:
         table = self.read("schema_version")
@@ -296,7 +317,7 @@ def copy_dataset(source: Backend, target: Backend, force: bool = False) -> dict[
         if arrived != expected:
             raise CopyRefused(f"{table}: {arrived} rows arrived of {expected}")
         copied[table] = arrived
-    for table in ("quarantine", "commits"):
+    for table in ("quarantine", "commits", "retired"):
         rows = source.read(table)
         if rows is not None:
             target.write(table, rows)
