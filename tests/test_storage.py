@@ -303,3 +303,15 @@ def test_appends_side_by_side(spark, tmp_path):
         list(pool.map(lambda i: facts.append_actions(events(spark, action(i, i, 1)), root, i % 6), range(6)))
     assert sorted(ids(facts.facts(spark, root))) == list(range(6))
     assert commits.read_log(spark, root).head == 6
+
+
+def test_retired_folders_can_stay_for_readers(spark, tmp_path):
+    root = str(tmp_path)
+    days(spark, root)
+    reader = facts.scan_actions(spark, root)
+    assert maintenance.purge(spark, root, ActionFilter(since=at(DAY)), at(10 * DAY), compact_after=True, delete=False) == 2
+    assert reader.count() == 8 and facts.facts(spark, root).count() == 6
+    maintenance.vacuum(spark, root)
+    assert facts.scan_actions(spark, root).count() == 6
+    left = [p.parent.name + "/" + p.name for p in tmp_path.glob("actions/*/*") if p.is_dir()]
+    assert not any("batch=main" in p for p in left if "dt=2024-01-02" in p), left

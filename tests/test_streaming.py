@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import action, actions, at, ids, make
@@ -35,25 +36,27 @@ def collect(stream, tmp_path, name, mode="append"):
     return stream.sparkSession.table(name)
 
 
-def test_coalesce_stream(spark, tmp_path):
+@pytest.mark.parametrize("delay", ["10 minutes", "1 second", None])
+def test_coalesce_stream(spark, tmp_path, delay):
     rng = random.Random(1)
     t, rows = 0.0, []
     for i in range(300):
         t += rng.choice([0.1, 0.25, 0.5])
         rows.append(action(i, round(t, 3), 26, x=rng.randrange(3)))
     df = actions(spark, *rows)
-    stream = keyed.coalesce_stream(as_stream(spark, df, str(tmp_path / "in")), expire=False)
+    stream = keyed.coalesce_stream(as_stream(spark, df, str(tmp_path / "in")), delay=delay)
     assert sorted(ids(collect(stream, tmp_path, "coalesced"))) == sorted(ids(g.coalesce_entity_changes(df)))
 
 
-def test_throttle_stream(spark, tmp_path):
+@pytest.mark.parametrize("delay", ["1 second", None])
+def test_throttle_stream(spark, tmp_path, delay):
     rng = random.Random(2)
     t, rows = 0.0, []
     for i in range(300):
         t += rng.choice([0.1, 0.4, 0.7])
         rows.append(action(i, round(t, 3), 32, target=rng.choice("ab")))
     df = actions(spark, *rows)
-    stream = keyed.throttle_stream(as_stream(spark, df, str(tmp_path / "in")), expire=False)
+    stream = keyed.throttle_stream(as_stream(spark, df, str(tmp_path / "in")), delay=delay)
     assert sorted(ids(collect(stream, tmp_path, "throttled"))) == sorted(ids(g.throttle_spawns(df)))
 
 
@@ -161,8 +164,8 @@ def test_ingest_stream_and_replay(spark, tmp_path):
         return df.withColumn("actor_name", F.substring("actor_name", 1, 64))
 
     for _ in range(2):
-        left = quarantine_replay(spark, root, -1, repair)
-        assert ids(left) == [3]
+        left = quarantine_replay(spark, root, repair)
+        assert [(r.id, r.tries) for r in left.collect()] == [(3, 1)]
         assert sorted(ids(facts.facts(spark, root))) == [1, 4, 5, 6, 8]
 
 
@@ -173,3 +176,43 @@ def test_batch_replay_is_idempotent(spark, tmp_path):
         ingest.process_batch(rows, root, 7)
     assert ids(facts.facts(spark, root)) == [1]
     assert spark.read.parquet(f"{root}/quarantine").count() == 1
+    fixed = quarantine_replay(spark, root, lambda df: df.withColumn("type", F.lit(1)))
+    assert fixed.count() == 0 and sorted(ids(facts.facts(spark, root))) == [1, 2]
+    assert not list((tmp_path / "quarantine").glob("batch=main-*"))
+
+
+def test_replay_keeps_rows_that_share_an_id(spark, tmp_path):
+    root = str(tmp_path)
+    rows = events(spark, action(1, 0, None, amount=1), action(1, 0, None, amount=2), action(1, 0, 1, amount=3), action(2, 0, None))
+    ingest.process_batch(rows, root, 0)
+    fix = lambda df: df.withColumn("type", F.when(F.col("id") == 1, 2).otherwise(F.col("type")))
+    assert [(r.id, r.tries) for r in quarantine_replay(spark, root, fix).collect()] == [(2, 1)]
+    ingest.process_batch(events(spark, action(3, 0, None)), root, 1)
+    # The row tried before is left alone, the new one is tried.
+    left = quarantine_replay(spark, root, lambda df: df.withColumn("type", F.lit(5)))
+    assert [(r.id, r.tries) for r in left.collect()] == [(2, 1)]
+    assert quarantine_replay(spark, root, lambda df: df.withColumn("type", F.lit(6)), again=True).count() == 0
+    assert sorted((r.id, r.type, r.amount) for r in facts.facts(spark, root).collect()) == [
+        (1, 1, 3), (1, 2, 1), (1, 2, 2), (2, 6, 1), (3, 5, 1),
+    ]
+
+
+@pytest.mark.parametrize("kind", ["coalesce", "hits", "primes"])
+def test_state_ends_with_the_window(spark, tmp_path, kind):
+    """Every micro-batch has keys of its own: the state holds those of a window, not all."""
+    n = 8
+    rows = [(f"k{i}", i, i * 3600.0, True, "u", "PLAYER_DIRECT") for i in range(n)]
+    if kind == "coalesce":
+        df = actions(spark, *[action(i, i * 3600.0, 26, x=i) for i in range(n)])
+        stream = keyed.coalesce_stream(as_stream(spark, df, str(tmp_path / "in"), n), delay="1 second")
+    else:
+        df = make(spark, rows, "key string, id long, ts timestamp_ntz, is_record boolean, actor string, kind string")
+        run = keyed.last_hit_stream if kind == "hits" else keyed.prime_stream
+        stream = run(as_stream(spark, df, str(tmp_path / "in"), n), delay="1 second")
+    keyed.use_keyed_state(spark)
+    q = stream.writeStream.format("memory").queryName(f"ends_{kind}").option("checkpointLocation", str(tmp_path / "cp"))
+    q = q.outputMode("append").trigger(**ONCE).start()
+    q.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    # A value and a timer for each key that is still held.
+    assert max(held) <= 2 * 3 * 2 and held[-1] <= 4 and max(held) > 0, held

@@ -103,10 +103,12 @@ def fact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/event*.parquet"))
 
 
-def as_events(rows: DataFrame) -> DataFrame:
-    """What a producer would hand in: columns the facts lack are null."""
+def as_events(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What a producer would hand in: columns the facts lack are null. Columns of ``keep``
+    go along."""
     return rows.select(
-        *[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PRODUCED.fields]
+        *[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PRODUCED.fields],
+        *keep,
     )
 
 

@@ -3,6 +3,7 @@ read back (A2, A7, F10, J1, J2, J4, J5, J6)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from tracewell.functions.predicates import ActionFilter, default_rollback_scope, guard_radius, guard_time
 from tracewell.operators import ledger, rollback
 from tracewell.plans.binding import NOW, as_events, facts, oracle
-from tracewell.plans.maintenance import OLD
+from tracewell.plans.maintenance import OLD, OLD_SQL
 from tracewell.plans.registry import ORACLES, query
 from tracewell.plans.rollbacks import NEARBY, NEARBY_SQL, SINCE_SQL, planned_sql
 from tracewell.session import checkpointed, scratch_folder
-from tracewell.sources import exports, maintenance
+from tracewell.sources import commits, exports, maintenance
 from tracewell.sources import facts as store
 
 STORED = ("id", "ts", "type", "actor_uuid", "actor_name", "world_key", "x", "y", "z", "target", "amount", "rolled_back", "sign_side")
@@ -116,6 +117,65 @@ def compact_shared_ids(spark, sf):
     return store.facts(spark, root).select("id", "ts", "amount")
 
 
+def _side_by_side(*jobs):
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for job in [pool.submit(job) for job in jobs]:
+            job.result()
+
+
+def _two_commits(spark, sf, name):
+    root = scratch_folder(spark, name)
+    for i in range(2):
+        store.append_actions(as_events(facts(spark, sf).filter(F.col("id") % 3 == i)), root, i)
+    return root, as_events(facts(spark, sf).filter(F.col("id") % 3 == 2))
+
+
+@query("purge_beside_compact", _rest(ORACLES["purge"]))
+def purge_beside_compact(spark, sf):
+    """A purge, a compaction and an append at the same time: each fact once, none back."""
+    root, late = _two_commits(spark, sf, "purge-compact")
+    _side_by_side(
+        lambda: maintenance.purge(spark, root, OLD, NOW),
+        lambda: maintenance.compact(spark, root),
+        # What arrives late is not purged by a purge that ran before.
+        lambda: store.append_actions(late.filter(~maintenance.selected(maintenance.purge_filter(OLD, NOW))), root, 2),
+    )
+    return scanned(spark, root).drop("sign_side")
+
+
+@query("two_compactions", oracle(f"SELECT {STORED_SQL} FROM a"))
+def two_compactions(spark, sf):
+    root, late = _two_commits(spark, sf, "two-compactions")
+    _side_by_side(
+        lambda: maintenance.compact(spark, root), lambda: maintenance.compact(spark, root),
+        lambda: store.append_actions(late, root, 2),
+    )
+    return scanned(spark, root)
+
+
+@query("two_purges", oracle(f"""SELECT {STORED_SQL} FROM a
+WHERE id NOT IN (SELECT id FROM a WHERE {OLD_SQL}) AND ts >= TIMESTAMP '2024-01-08 12:00:00'"""))
+def two_purges(spark, sf):
+    """A purge by filter and one by age, which meet in the same partitions."""
+    root = stored(spark, sf, "two-purges")
+    _side_by_side(
+        lambda: maintenance.purge(spark, root, OLD, NOW),
+        lambda: maintenance.auto_purge(spark, root, NOW, timedelta(days=22, hours=12)),
+    )
+    return scanned(spark, root)
+
+
+@query("scan_from_snapshot", oracle(f"SELECT {STORED_SQL} FROM a"))
+def scan_from_snapshot(spark, sf):
+    """The log is read from a snapshot and the entries after it; retries are known from it."""
+    root, late = _two_commits(spark, sf, "snapshot")
+    maintenance.compact(spark, root)
+    commits.snapshot(spark, root)
+    store.append_actions(as_events(facts(spark, sf).filter(F.col("id") % 3 == 0)), root, 0)
+    store.append_actions(late, root, 2)
+    return scanned(spark, root)
+
+
 @query("upgrade_keeps_flags", oracle(f"""{planned_sql(f'{NEARBY_SQL} AND rolled_back = 0')}
 SELECT id, CASE WHEN id IN (SELECT id FROM plan) THEN 1 ELSE rolled_back END AS rolled_back FROM a"""))
 def upgrade_keeps_flags(spark, sf):

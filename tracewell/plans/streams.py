@@ -48,14 +48,16 @@ def ingest_stream(spark, sf):
 
 @query("coalesce_stream", f"SELECT id FROM ({ORACLES['coalesce_entity_changes']})")
 def coalesce_stream(spark, sf):
-    rows = fact_stream(spark, sf).select("id", "ts", "type", "actor_uuid", "actor_name", *CELL)
-    return finished(keyed.coalesce_stream(rows, timedelta(hours=72), expire=False), "coalesce").select("id")
+    """Four files, one per micro-batch, as in the other keyed streams: the state is
+    handed on, and ends by the time of the events."""
+    rows = _in_files(spark, facts(spark, sf), "coalesce-in").select("id", "ts", "type", "actor_uuid", "actor_name", *CELL)
+    return finished(keyed.coalesce_stream(rows, timedelta(hours=72)), "coalesce").select("id")
 
 
 @query("throttle_stream", f"SELECT id FROM ({ORACLES['throttle_spawns']})")
 def throttle_stream(spark, sf):
-    rows = fact_stream(spark, sf).select("id", "ts", "type", "target")
-    return finished(keyed.throttle_stream(rows, timedelta(hours=6), expire=False), "throttle").select("id")
+    rows = _in_files(spark, facts(spark, sf), "throttle-in").select("id", "ts", "type", "target")
+    return finished(keyed.throttle_stream(rows, timedelta(hours=6)), "throttle").select("id")
 
 
 @query("rate_stream", oracle("""
@@ -71,7 +73,7 @@ def rate_stream(spark, sf):
 @query("last_hit_stream", f"SELECT id, CAST(attacker AS varchar) AS actor FROM ({ORACLES['attribute_last_hit']})")
 def last_hit_stream(spark, sf):
     hit = F.col("type") == 33
-    rows = fact_stream(spark, sf).filter(F.col("type").isin(7, 33)).select(
+    rows = _in_files(spark, facts(spark, sf), "hits-in", keep=("user_id",)).filter(F.col("type").isin(7, 33)).select(
         F.concat_ws(":", "world_key", F.col("x").cast("string")).alias("key"), "ts", "id", hit.alias("is_record"),
         F.when(hit, F.col("user_id").cast("string")).alias("actor"), F.lit(None).cast("string").alias("kind"),
     )
@@ -83,7 +85,7 @@ def prime_stream(spark, sf):
     prime = F.col("type") == 16
     kind = F.get(F.array(F.lit("PLAYER_DIRECT"), F.lit("PLAYER_INDIRECT"), F.lit("NATURAL_SPAWN")), F.col("amount") % 3)
     cell = F.concat_ws(":", "world_key", F.col("x").cast("string"), (F.col("z") - F.col("z") % 2).cast("string"))
-    rows = fact_stream(spark, sf).filter(F.col("type").isin(8, 16)).select(
+    rows = _in_files(spark, facts(spark, sf), "primes-in").filter(F.col("type").isin(8, 16)).select(
         cell.alias("key"), "ts", "id", prime.alias("is_record"),
         F.when(prime, F.col("actor_uuid")).alias("actor"), F.when(prime, kind).alias("kind"),
     )
@@ -129,8 +131,9 @@ def container_stream(spark, sf):
     return finished(moves, "containers").withColumn("closed", F.col("closed").cast("timestamp_ntz"))
 
 
-def _in_files(spark, rows, name, parts=4):
-    """The events in files that arrive one after the other, each a stretch of time."""
+def _in_files(spark, rows, name, parts=4, keep=()):
+    """The events in files that arrive one after the other, each a stretch of time; with
+    the columns ``keep`` besides those of an event."""
     folder = scratch_folder(spark, name)
     edges = [START + (NOW - START) * i / parts for i in range(1, parts)]
     for i in range(parts):
@@ -139,8 +142,9 @@ def _in_files(spark, rows, name, parts=4):
             part = part.filter(F.col("ts") >= ts_lit(edges[i - 1]))
         if i < parts - 1:
             part = part.filter(F.col("ts") < ts_lit(edges[i]))
-        as_events(part).coalesce(1).write.parquet(f"{folder}/part={i}")
-    return ingest.read_events(spark, f"{folder}/part=*", files_per_trigger=1)
+        as_events(part, keep).coalesce(1).write.parquet(f"{folder}/part={i}")
+    schema = spark.read.parquet(f"{folder}/part=0").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
 def _cfg():
@@ -201,7 +205,7 @@ def replay_gated(spark, sf):
     rows = as_events(facts(spark, sf).withColumn("type", F.when(F.col("id") % 3 != 0, F.col("type"))))
     cfg = GateConfig(Toggles(chat=False), strict=False)
     ingest.process_batch(rows, root, 0, cfg=cfg)
-    ingest.quarantine_replay(spark, root, 1, lambda df: df.withColumn("type", F.coalesce("type", F.lit(10))), cfg=cfg)
+    ingest.quarantine_replay(spark, root, lambda df: df.withColumn("type", F.coalesce("type", F.lit(10))), cfg=cfg)
     return store.facts(spark, root).select("id", "type", "target")
 
 
@@ -211,5 +215,29 @@ def quarantine_replay(spark, sf):
     root = scratch_folder(spark, "quarantine")
     rows = as_events(facts(spark, sf).withColumn("type", F.when(F.col("id") % 3 != 0, F.col("type"))))
     ingest.process_batch(rows, root, 0, GateConfig(strict=False))
-    ingest.quarantine_replay(spark, root, -1, lambda df: df.withColumn("type", F.coalesce("type", F.lit(39))))
+    ingest.quarantine_replay(spark, root, lambda df: df.withColumn("type", F.coalesce("type", F.lit(39))))
     return store.scan_actions(spark, root).select("id", "actor_name")
+
+
+@query("replay_shared_ids", oracle("""
+SELECT id, type, amount, 'stored' AS place FROM a WHERE id % 3 <> 0 UNION ALL
+SELECT id, 39, amount + k, 'stored' FROM a, (SELECT unnest([0, 1]) AS k) WHERE id % 3 = 0 AND amount % 2 = 0 UNION ALL
+SELECT id, NULL, amount + k, 'tried 1' FROM a, (SELECT unnest([0, 1]) AS k) WHERE id % 3 = 0 AND amount % 2 <> 0"""))
+def replay_shared_ids(spark, sf):
+    """Two different rows of every quarantined id, half of them repaired by the first of two
+    replays: each row is stored once or waits once, and none is tried a second time."""
+    root = scratch_folder(spark, "replay-shared")
+    waits = F.col("id") % 3 == 0
+    rows = facts(spark, sf).withColumn("fixable", F.col("amount") % 2 == 0)
+    twice = rows.unionByName(rows.filter(waits).withColumn("amount", F.col("amount") + 1))
+    mark = F.when(F.col("fixable"), F.lit("yes")).otherwise(F.lit("no"))
+    events = as_events(twice.withColumn("meta", mark).withColumn("type", F.when(~waits, F.col("type"))))
+    ingest.process_batch(events, root, 0, GateConfig(strict=False))
+
+    def repair(df):
+        return df.withColumn("type", F.when(F.col("meta") == "yes", F.coalesce("type", F.lit(39))).otherwise(F.col("type")))
+
+    for _ in range(2):
+        left = ingest.quarantine_replay(spark, root, repair)
+    waiting = left.select("id", "type", "amount", F.concat(F.lit("tried "), "tries").alias("place"))
+    return store.facts(spark, root).select("id", "type", "amount", F.lit("stored").alias("place")).unionByName(waiting)

@@ -127,6 +127,13 @@ def append_actions(events: DataFrame, root: str, batch: int | str | None = None,
     spark, commit = events.sparkSession, commit_key(writer, batch)
     if is_published(spark, root, commit):
         return commit
+    write_actions(events, root, commit)
+    publish(spark, root, commit, "append")
+    return commit
+
+
+def write_actions(events: DataFrame, root: str, commit: str) -> None:
+    """Write events as partitions of a commit, which does not count yet."""
     rows = (
         normalize_actions(events)
         .withColumn("user_key", user_key())
@@ -147,5 +154,3 @@ def append_actions(events: DataFrame, root: str, batch: int | str | None = None,
     # Rebalancing splits a heavy day over several tasks and joins light ones.
     stored = stored.select(*ACTIONS.fieldNames()).hint("rebalance", "dt")
     write_partitions(stored, f"{root}/actions", "dt", "batch")
-    publish(spark, root, commit, "append")
-    return commit

@@ -51,7 +51,7 @@ def auto_purge_survivors(actions: DataFrame, now: datetime, retention: timedelta
 
 def delete_rows(
     spark: SparkSession, root: str, victim: Column, bounds: list[Column], log: Log, named: bool = True,
-    rewritten: Column | None = None,
+    rewritten: Column | None = None, delete: bool = True,
 ) -> int:
     """Remove the facts for which ``victim`` holds; returns how many went. ``bounds`` are
     predicates on stored columns that all victims meet; ``victim`` may also use the
@@ -60,7 +60,8 @@ def delete_rows(
     The survivors of every partition that loses rows are written under a new commit,
     which retires those partitions; others are not read. Days for which ``rewritten`` does
     not hold have no survivors and are retired as they are. Readers see the facts before
-    or after, and a run that failed before its commit left nothing that counts.
+    or after, and a run that failed before its commit left nothing that counts. Without
+    ``delete`` the retired folders stay for readers at work until ``vacuum``.
     """
 
     def scanned(rows: DataFrame) -> DataFrame:
@@ -79,33 +80,43 @@ def delete_rows(
     kept = kept.withColumn("rolled_back", F.col("stored_flag")).withColumn("batch", F.lit(commit))
     store.write_partitions(kept.select(*ACTIONS.fieldNames()).hint("rebalance", "dt"), f"{root}/actions", "dt", "batch")
     publish(spark, root, commit, "purge", lost.withColumn("tab", F.lit("actions")), log)
-    drop_retired(spark, root, commit)
+    if delete:
+        drop_retired(spark, root, commit)
     return total
 
 
 def purge(
-    spark: SparkSession, root: str, flt: ActionFilter, now: datetime, min_age=CONSOLE_MIN_AGE, compact_after: bool = False
+    spark: SparkSession, root: str, flt: ActionFilter, now: datetime, min_age=CONSOLE_MIN_AGE, compact_after: bool = False,
+    delete: bool = True,
 ) -> int:
     """Delete what a filter selects; optionally reclaim space afterwards. May run beside
     appends, compactions and other purges: what they changed meanwhile is looked at again."""
     wanted = purge_filter(flt.but(day_column="dt"), now, min_age)
     bounds = wanted.stored_bounds()
-    removed = repeated(spark, root, lambda log: delete_rows(spark, root, selected(wanted), bounds, log))
+    removed = repeated(spark, root, lambda log: delete_rows(spark, root, selected(wanted), bounds, log, delete=delete))
     if compact_after and removed:
-        compact(spark, root)
+        compact(spark, root, delete=delete)
     return removed
 
 
-def auto_purge(spark: SparkSession, root: str, now: datetime, retention: timedelta) -> int:
+def auto_purge(spark: SparkSession, root: str, now: datetime, retention: timedelta, delete: bool = True) -> int:
     """Delete facts older than the retention: whole days are retired as they are, only
     the boundary day is rewritten."""
     cutoff = now - retention
     edge, old = F.lit(cutoff.date()), F.col("ts") < ts_lit(cutoff)
     bounds, boundary = [F.col("dt") <= edge], F.col("dt") == edge
-    return repeated(spark, root, lambda log: delete_rows(spark, root, old, bounds, log, named=False, rewritten=boundary))
+    return repeated(
+        spark, root, lambda log: delete_rows(spark, root, old, bounds, log, named=False, rewritten=boundary, delete=delete)
+    )
 
 
-def compact(spark: SparkSession, root: str, before: datetime | None = None) -> list[str]:
+def vacuum(spark: SparkSession, root: str) -> None:
+    """Delete the folders of all retired partitions. Run it when no reader is left that
+    started before the jobs that retired them."""
+    drop_retired(spark, root)
+
+
+def compact(spark: SparkSession, root: str, before: datetime | None = None, delete: bool = True) -> list[str]:
     """Merge the commits of every day (optionally only of days before a time) into one
     partition, ordered by place so that min/max statistics skip files, and fold the
     sightings of actors and worlds. Days of one commit are left alone.
@@ -116,10 +127,10 @@ def compact(spark: SparkSession, root: str, before: datetime | None = None) -> l
     not stored again. Batches that arrive meanwhile are not touched; what a purge or
     another compaction retired meanwhile is not brought back: the work is done again.
     """
-    return repeated(spark, root, lambda log: _compact(spark, root, before, log))
+    return repeated(spark, root, lambda log: _compact(spark, root, before, log, delete))
 
 
-def _compact(spark: SparkSession, root: str, before: datetime | None, log: Log) -> list[str]:
+def _compact(spark: SparkSession, root: str, before: datetime | None, log: Log, delete: bool) -> list[str]:
     pairs = store.facts(spark, root, log).select("dt", "batch").distinct()
     if before is not None:
         pairs = pairs.filter(F.col("dt") < F.lit(before.date()))
@@ -152,7 +163,8 @@ def _compact(spark: SparkSession, root: str, before: datetime | None, log: Log)
         store.write_partitions(kept.withColumn("batch", F.lit(commit)), f"{root}/{tab}", "batch")
         retired = retired.unionByName(old.select(F.lit(tab).alias("tab"), F.lit(None).cast("date").alias("dt"), "batch"))
     publish(spark, root, commit, "compact", retired, log)
-    drop_retired(spark, root, commit)
+    if delete:
+        drop_retired(spark, root, commit)
     return days
 
 

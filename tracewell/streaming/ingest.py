@@ -17,13 +17,17 @@ from tracewell.functions.actions import pseudonymize_join, redact_command
 from tracewell.functions.timing import ts_lit
 from tracewell.operators.gate import GateConfig, coalesce_actor, gate, quarantine_reason
 from tracewell.schema import ENTITY_CHANGE, EVENTS
-from tracewell.sources.commits import commit_key, is_published, live
-from tracewell.sources.facts import append_actions, facts, write_partitions
+from tracewell.session import checkpointed
+from tracewell.sources.commits import Log, commit_key, drop_retired, is_published, live, publish, repeated
+from tracewell.sources.facts import append_actions, write_actions, write_partitions
 from tracewell.sources.folders import drop
 from tracewell.sources.tables import read_table
 
 QUARANTINE = T.StructType(
-    [*EVENTS.fields, T.StructField("quarantine_reason", T.StringType()), T.StructField("batch", T.StringType())]
+    [
+        *EVENTS.fields, T.StructField("quarantine_reason", T.StringType()), T.StructField("tries", T.IntegerType()),
+        T.StructField("batch", T.StringType()),
+    ]
 )
 
 
@@ -45,8 +49,10 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def quarantined(spark: SparkSession, root: str) -> DataFrame:
-    return live(read_table(spark, f"{root}/quarantine", QUARANTINE), spark, root, "quarantine")
+def quarantined(spark: SparkSession, root: str, log: Log | None = None) -> DataFrame:
+    """Rows that wait, with the number of times that they were tried again."""
+    rows = live(read_table(spark, f"{root}/quarantine", QUARANTINE), spark, root, "quarantine", log)
+    return rows.withColumn("tries", F.coalesce("tries", F.lit(0)))
 
 
 def chain(
@@ -74,8 +80,8 @@ def _store(rows: DataFrame, root: str, batch, writer: str) -> None:
     """Refused rows first: once the facts of a commit count, all of it is stored."""
     accepted = rows.filter(F.col("gate_reason").isNull()).drop("gate_reason")
     bad = accepted.filter(F.col("quarantine_reason").isNotNull())
-    bad = bad.withColumn("batch", F.lit(commit_key(writer, batch))).select(*QUARANTINE.fieldNames())
-    write_partitions(bad, f"{root}/quarantine", "batch")
+    bad = bad.withColumn("tries", F.lit(0)).withColumn("batch", F.lit(commit_key(writer, batch)))
+    write_partitions(bad.select(*QUARANTINE.fieldNames()), f"{root}/quarantine", "batch")
     append_actions(accepted.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason"), root, batch, writer)
 
 
@@ -150,19 +156,38 @@ def ingest_stream(
     )
 
 
-def quarantine_replay(spark: SparkSession, root: str, batch: int, repair=None, **chain_args) -> DataFrame:
-    """Try quarantined rows again, once per call, after an optional repair.
+def quarantine_replay(spark: SparkSession, root: str, repair=None, again: bool = False, **chain_args) -> DataFrame:
+    """Try the quarantined rows once more, after an optional repair.
 
-    Rows go through the chain of the ingest, with the same settings; those that now
-    pass are stored as commit ``batch`` of the writer ``replay``, rows already stored
-    are not written twice. What still fails is returned.
+    Rows go through the chain of the ingest, with the same settings. In one commit those
+    that now pass are stored, those that the gate refuses go, those that still fail stay
+    quarantined as tried, and the partitions they all came from are retired: each row is
+    at one place, whatever other rows share its id, and a call that is repeated finds
+    nothing to do. Rows tried before are left alone unless ``again``; all that is still
+    quarantined is returned. May run beside ingests and other replays.
     """
-    waiting = quarantined(spark, root).drop("quarantine_reason", "batch")
-    rows = repair(waiting) if repair is not None else waiting
-    checked = chain(rows, **chain_args).filter(F.col("gate_reason").isNull()).drop("gate_reason")
-    # Only the days that rows wait for are read.
-    days = waiting.select(F.col("ts").cast("date").alias("dt")).distinct()
-    stored = facts(spark, root).join(days, "dt", "left_semi").select("id")
-    fit = checked.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason")
-    append_actions(fit.join(stored, "id", "left_anti").dropDuplicates(["id"]), root, batch, "replay")
-    return checked.filter(F.col("quarantine_reason").isNotNull())
+
+    def work(log: Log) -> None:
+        waiting = quarantined(spark, root, log)
+        wanted = waiting if again else waiting.filter(F.col("tries") == 0)
+        wanted = checkpointed(wanted)
+        if wanted.isEmpty():
+            return
+        commit = commit_key("replay")
+        rows = wanted.drop("quarantine_reason", "batch")
+        rows = chain(repair(rows) if repair is not None else rows, **chain_args).filter(F.col("gate_reason").isNull())
+        rows = checkpointed(rows.drop("gate_reason"))
+        bad = rows.filter(F.col("quarantine_reason").isNotNull()).withColumn("tries", F.col("tries") + 1)
+        from_ = wanted.select("batch").distinct()
+        # Rows tried before stand in the same partitions as others that are tried now.
+        others = waiting.join(from_, "batch", "left_semi").filter(F.col("tries") > 0) if not again else waiting.limit(0)
+        kept = others.drop("batch").unionByName(bad).withColumn("batch", F.lit(commit))
+        write_partitions(kept.select(*QUARANTINE.fieldNames()), f"{root}/quarantine", "batch")
+        fit = rows.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason", "tries")
+        write_actions(fit, root, commit)
+        retired = from_.select(F.lit("quarantine").alias("tab"), F.lit(None).cast("date").alias("dt"), "batch")
+        publish(spark, root, commit, "replay", retired, log)
+        drop_retired(spark, root, commit)
+
+    repeated(spark, root, work)
+    return quarantined(spark, root).drop("batch")

@@ -1,6 +1,11 @@
 """Keyed state: coalescing, throttling, last hits and primes.
 
-State is one small value per key with a time to live, in the RocksDB store.
+State is one small value per key in the RocksDB store. It ends by event time: a timer at
+the moment from which the value can change no answer any more clears it once the watermark
+has passed. Gaps between micro-batches, replays and the clock have no part in it, so a
+stream gives what the batch form gives, for rows that are not later than the watermark
+(those are dropped). With ``delay`` None there is no watermark: nothing is dropped, and
+the state of every key stays.
 """
 
 from __future__ import annotations
@@ -38,75 +43,96 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "id"], kind="stable")
 
 
-class _LastSeen(StatefulProcessor):
+def _timed(rows: DataFrame, delay: str | None) -> DataFrame:
+    """``rows`` with ``at_us`` and, with a delay, a watermark on their time. Watermarks need
+    a zoned column."""
+    rows = rows.withColumn("at_us", micros(F.col("ts")))
+    return rows if delay is None else rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+
+
+class _Ending(StatefulProcessor):
+    """A state that ends at an event time."""
+
+    def __init__(self, ends: bool):
+        self.ends = ends
+
+    def end_at(self, moment_us: int | None) -> None:
+        """Let the state of the key end once the watermark is past ``moment_us``."""
+        if not self.ends:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if moment_us is not None:
+            self.handle.registerTimer(moment_us // 1_000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _LastSeen(_Ending):
     """Keeps the time of a key's last row (or last kept row)."""
 
-    def __init__(self, window: int, extend: bool, expire: bool):
-        self.window, self.extend, self.expire = window, extend, expire
+    def __init__(self, window: int, extend: bool, ends: bool, columns: list[str]):
+        super().__init__(ends)
+        self.window, self.extend, self.columns = window, extend, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
+        self.state = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
-        last = self.seen.get()[0] if self.seen.exists() else None
+        last = self.state.get()[0] if self.state.exists() else None
         kept = []
         for at in pdf["at_us"]:
             fresh = last is None or at - last >= self.window
             kept.append(fresh)
             if fresh or self.extend:
                 last = at
-        self.seen.update((int(last),))
-        if self.expire:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, self.window // 1_000))
-        yield pdf[kept].drop(columns=["at_us", "state_key"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        self.state.update((int(last),))
+        self.end_at(int(last) + self.window)
+        yield pdf[kept][self.columns]
 
 
-def _last_seen(rows: DataFrame, key, window: timedelta, extend: bool, expire: bool) -> DataFrame:
-    """Without expiry the state stays: for replays, where event time and clock
-    have nothing to do with each other."""
-    keyed = rows.withColumn("state_key", key).withColumn("at_us", micros(F.col("ts")))
+def _last_seen(rows: DataFrame, key, window: timedelta, extend: bool, delay: str | None) -> DataFrame:
+    keyed = _timed(rows.withColumn("state_key", key), delay)
     return keyed.groupBy("state_key").transformWithStateInPandas(
-        statefulProcessor=_LastSeen(to_micros(window), extend, expire),
+        statefulProcessor=_LastSeen(to_micros(window), extend, delay is not None, rows.columns),
         outputStructType=rows.schema,
         outputMode="Append",
-        timeMode="ProcessingTime" if expire else "None",
+        timeMode="None" if delay is None else "EventTime",
     )
 
 
-def coalesce_stream(events: DataFrame, window: timedelta = COALESCE_WINDOW, expire: bool = True) -> DataFrame:
+def coalesce_stream(events: DataFrame, window: timedelta = COALESCE_WINDOW, delay: str | None = "10 minutes") -> DataFrame:
     """Entity changes without those that follow a change of the same actor and
     cell by less than ``window``."""
     rows = events.filter(F.col("type") == ENTITY_CHANGE)
     actor = F.coalesce("actor_uuid", "actor_name", F.lit(""))
     key = F.concat_ws("\u0001", actor, "world_key", *[F.col(c).cast("string") for c in "xyz"])
-    return _last_seen(rows, key, window, extend=True, expire=expire)
+    return _last_seen(rows, key, window, extend=True, delay=delay)
 
 
-def throttle_stream(events: DataFrame, window: timedelta = SPAWN_WINDOW, expire: bool = True) -> DataFrame:
+def throttle_stream(events: DataFrame, window: timedelta = SPAWN_WINDOW, delay: str | None = "10 minutes") -> DataFrame:
     """Spawns, at most one per entity kind and ``window``."""
     rows = events.filter(F.col("type") == SPAWN)
-    return _last_seen(rows, F.col("target"), window, extend=False, expire=expire)
+    return _last_seen(rows, F.col("target"), window, extend=False, delay=delay)
 
 
-class _LastRecord(StatefulProcessor):
+class _LastRecord(_Ending):
     """Remembers a key's newest record; probes read or take it."""
 
-    def __init__(self, ttl: int, take: bool, accept: tuple[str, ...]):
+    def __init__(self, ttl: int, take: bool, accept: tuple[str, ...], ends: bool):
+        super().__init__(ends)
         self.ttl, self.take, self.accept = ttl, take, accept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState(
+        self.handle = handle
+        self.state = handle.getValueState(
             "record",
             T.StructType([
                 T.StructField("at", T.LongType()), T.StructField("actor", T.StringType()), T.StructField("kind", T.StringType()),
@@ -115,51 +141,48 @@ class _LastRecord(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
-        held = tuple(self.record.get()) if self.record.exists() else None
+        held = tuple(self.state.get()) if self.state.exists() else None
         out = []
         for row in pdf.itertuples(index=False):
             if row.is_record:
-                held = (int(row.at_us), row.actor, row.kind)
+                # Without an actor it forgets what was there, which is what no record does.
+                held = None if row.actor is None else (int(row.at_us), row.actor, row.kind)
                 continue
             actor = kind = None
-            if held is not None and row.at_us - held[0] <= self.ttl and held[1] is not None:
+            if held is not None and row.at_us - held[0] <= self.ttl:
                 if not self.accept or held[2] in self.accept:
                     actor, kind = held[1], held[2]
             out.append((row.id, actor, kind))
             if self.take:
                 held = None
         if held is None:
-            self.record.clear()
+            self.state.clear()
         else:
-            self.record.update(held)
+            self.state.update(held)
+        self.end_at(None if held is None else held[0] + self.ttl)
         yield pd.DataFrame(out, columns=["id", "actor", "kind"])
 
-    def close(self) -> None:
-        pass
-
 
 _FOUND = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("actor", T.StringType()), T.StructField("kind", T.StringType()),
 ])
 
 
-def _last_record(events: DataFrame, ttl: timedelta, take: bool, accept=()) -> DataFrame:
-    rows = events.select(
-        "key", "id", micros(F.col("ts")).alias("at_us"), "is_record", "actor", "kind"
-    )
+def _last_record(events: DataFrame, ttl: timedelta, take: bool, delay: str | None, accept=()) -> DataFrame:
+    rows = _timed(events.select("key", "id", "ts", "is_record", "actor", "kind"), delay)
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_LastRecord(to_micros(ttl), take, tuple(accept)),
-        outputStructType=_FOUND, outputMode="Append", timeMode="None",
+        statefulProcessor=_LastRecord(to_micros(ttl), take, tuple(accept), delay is not None),
+        outputStructType=_FOUND, outputMode="Append", timeMode="None" if delay is None else "EventTime",
     )
 
 
-def last_hit_stream(events: DataFrame, window: timedelta = HIT_WINDOW) -> DataFrame:
+def last_hit_stream(events: DataFrame, window: timedelta = HIT_WINDOW, delay: str | None = "10 minutes") -> DataFrame:
     """``events``: key (the victim), ts, id, is_record, actor, kind; hits are
     records (a null actor forgets), deaths are probes. Result: id, actor, kind
     per probe."""
-    return _last_record(events, window, take=False)
+    return _last_record(events, window, take=False, delay=delay)
 
 
-def prime_stream(events: DataFrame, ttl: timedelta = PRIME_TTL) -> DataFrame:
+def prime_stream(events: DataFrame, ttl: timedelta = PRIME_TTL, delay: str | None = "10 minutes") -> DataFrame:
     """As above with key = cell; a probe uses the record up."""
-    return _last_record(events, ttl, take=True, accept=PLAYER_KINDS)
+    return _last_record(events, ttl, take=True, delay=delay, accept=PLAYER_KINDS)
