@@ -147,3 +147,64 @@ def order_signature(text, k=3, chosen=2, cell_bits=6, kept=16):
 
 def likeness(a, b, kept=16):
     return len(a & b) / len({x >> kept for x in a} | {x >> kept for x in b})
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall(lower(text))
+
+
+def search(rows, items, k=10):
+    """item -> [(doc_id, score)], best first."""
+    import math
+
+    docs = [(r[0], Counter(terms(r[1]))) for r in rows]
+    n_docs, n_words = sum(bool(c) for _, c in docs), sum(sum(c.values()) for _, c in docs)
+    holding = Counter(t for _, c in docs for t in c)
+    wanted = defaultdict(set)
+    for item, text in items:
+        wanted[item] |= set(terms(text))
+    out = {}
+    for item, words_ in wanted.items():
+        scored = []
+        for doc_id, count in docs:
+            score = 0
+            for t in words_ & set(count):
+                weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holding[t] + 1)))
+                m = 10 + 90 * sum(count.values()) * n_docs // n_words
+                score += weight * (1_000_000_000 * count[t] // (1000 * count[t] + 8 * m))
+            if score > 0:
+                scored.append((doc_id, score))
+        if scored:
+            out[item] = sorted(scored, key=lambda r: (-r[1], r[0] is None, r[0] or 0))[:k]
+    return out
+
+
+def shingle_set(text, k=5):
+    found = words(lower(text))
+    return {" ".join(found[i : i + k]) for i in range(max(1, len(found) - k + 1))} if found else set()
+
+
+def negatives(rows, n_positives=5, n_negatives=10):
+    import math
+
+    table = []
+    for vec_id, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) or abs(x) >= 2**18 for x in vector):
+            continue
+        scaled = [math.floor(256 * struct.unpack("f", struct.pack("f", x))[0]) for x in vector]
+        table.append((vec_id, (label + 1) % 10 if vec_id is not None and vec_id % 7 == 0 else label, scaled))
+    out = []
+    for anchor, label, q in table:
+        if anchor is None or anchor % 100:
+            continue
+        scored = [
+            (-sum(a * b for a, b in zip(q, v, strict=True)), i is None, i, m) for i, m, v in table if len(v) == len(q) and i != anchor
+        ]
+        scored.sort(key=lambda r: (r[0], r[1], r[2] or 0))
+        for score, _, positive, _ in [r for r in scored if r[3] == label][:n_positives]:
+            inside = [r for r in scored if r[3] != label and 30 * -score <= 100 * -r[0] <= 90 * -score]
+            out += [(anchor, positive, k + 1, r[2], -score, -r[0]) for k, r in enumerate(inside[:n_negatives])]
+    return out

@@ -46,6 +46,28 @@ def odd_rows():
     return rows
 
 
+def items_of(rows):
+    """Items that share terms; without words, null, and an id that is used twice."""
+    texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 20][:8]
+    items = [(i, " ".join(t.split()[:12] + texts[0].split()[:6])) for i, t in enumerate(texts)]
+    return items and [*items, (90, None), (91, ""), (92, " .,;"), (93, "unheardof"), (94, "idiot"), (94, "MORON istanbul 日本語"), (None, "word")]
+
+
+def vector_rows():
+    """Vectors in clusters, with ties, repeats, other lengths and rows that take no part."""
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = []
+    for i in range(330):
+        label = rng.randrange(5)
+        rows.append((i, [c + rng.gauss(0, 0.4) for c in centres[(label + rng.randrange(2)) % 5]], label))
+    rows += [(400 + i, rows[i % 7][1], rows[i % 7][2]) for i in range(40)]
+    rows += [(500, rows[0][1], None), (501, None, 1), (502, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (503, [float("nan")] * 6, 1)]
+    rows += [(504, [float("inf")] * 6, 1), (505, [1e30] * 6, 1), (506, [], 1), (600, [], 2), (507, [1.0, 2.0], 3), (700, [1.0, 2.5], 3)]
+    rows += [(708, [0.5, 1.5], 1), (None, rows[3][1], 4), (800, [0.0] * 6, 1), (801, [0.0] * 6, 2), (900, [-c for c in rows[5][1]], 2)]
+    return rows
+
+
 def written(spark, folder, rows, marks=None, clashing=True):
     docs = spark.createDataFrame(rows, SCHEMA)
     if clashing:
@@ -56,6 +78,12 @@ def written(spark, folder, rows, marks=None, clashing=True):
         marks = [(i, int(i % 4 != 0), int(i % 5 == 0)) for i in ids]
         marks += [(1, None, None), (2, 1, 1), (2, 0, 0), (None, 1, 1), (999, 1, 0)] if rows else []
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(os.path.join(folder, "labels.parquet"))
+    items = spark.createDataFrame(items_of(rows), "item_id long, text string")
+    vectors = spark.createDataFrame(vector_rows() if rows else [], "vec_id long, embedding array<float>, label int")
+    if clashing:
+        items, vectors = (t.withColumns({c: F.lit("x") for c in CLASHING}) for t in (items, vectors))
+    items.write.parquet(os.path.join(folder, "benchmark.parquet"))
+    vectors.write.parquet(os.path.join(folder, "embeddings.parquet"))
     return str(folder)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tables import prose
 
-from tracewell.llm import hpylm, lines, mixing, packing, pii, quality, rules, simhash, toxicity
+from tracewell.llm import hpylm, jaccard, lines, mixing, negatives, packing, pii, quality, rules, search, simhash, toxicity
 from tracewell.llm.common import connected_groups, running_total
 
 
@@ -308,3 +308,95 @@ def test_words_are_scored_in_their_order(spark):
     assert found[1000].score > found[1001].score + 5
     assert found[1000].base_score == pytest.approx(found[1001].base_score)
     assert found[1000].train_tokens == 120 * 31
+
+
+def test_query_sharing_graph():
+    """Every node is the sum of its terms, each item of its own; shared sets are added once."""
+    rng = random.Random(3)
+    core = set(range(20))
+    wanted = [core | set(rng.sample(range(20, 120), 15)) for _ in range(12)] + [set(range(5)), set(), {119}]
+    dag = search.mine(wanted, 120)
+    members = [set(np.flatnonzero(dag.leaf == n)) & set().union(*wanted) for n in range(dag.leaves)]
+    for a, b in dag.pairs:
+        assert not members[a] & members[b]
+        members.append(members[a] | members[b])
+    for want, nodes in zip(wanted, dag.items, strict=True):
+        assert sum(len(members[n]) for n in nodes) == len(want) and set().union(*(members[n] for n in nodes), set()) == want
+    assert dag.pairs and dag.additions() < sum(max(0, len(w) - 1) for w in wanted) / 2
+    doc, term = np.repeat(np.arange(4), 60), np.concatenate([rng.sample(sorted(set().union(*wanted)), 60) for _ in range(4)])
+    value = np.array([rng.randrange(10**10) for _ in doc])
+    scores = search.accumulate(dag, doc, term, value, 4)
+    for i, want in enumerate(wanted):
+        for d in range(4):
+            assert scores[i, d] == sum(v for o, t, v in zip(doc, term, value, strict=True) if o == d and t in want)
+
+
+def test_item_blocks(spark, tmp_path):
+    """Blocks of a few terms give what one block gives."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, prose(rng, 9)) for i in range(7)], "item_id long, text string")
+    one = search.search(docs, items).collect()
+    assert sorted(one) == sorted(search.search(docs, items, block_terms=10).collect()) and len(one) > 20
+
+
+def test_multi_sequence_visits():
+    """Cells come by falling bound, each once; bounds hold; searches stop early and are exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 300, (6, 8))
+    vectors = np.floor(centres[rng.integers(0, 6, 3000)] + rng.normal(0, 12, (3000, 8)))
+    labels, ids = rng.integers(0, 4, 3000), rng.permutation(3000)
+    books = (negatives.codebook(vectors[:, :4], 16), negatives.codebook(vectors[:, 4:], 16))
+    index = negatives.build(ids, ids, labels, vectors, books)
+    anchor = vectors[0]
+    seen = list(negatives.visits(index, anchor))
+    assert len(seen) == len(books[0]) * len(books[1]) and [s[0] for s in seen] == sorted((s[0] for s in seen), reverse=True)
+    assert sum(b - a for _, _, a, b in seen) == 3000
+    for bound, floor, a, b in seen:
+        scores = index.vectors[a:b] @ anchor
+        assert not len(scores) or floor <= scores.min() and scores.max() <= bound
+    scores = (vectors @ anchor).astype(int)
+    order = np.lexsort((ids, -scores))
+    own = [(int(scores[i]), int(ids[i])) for i in order if labels[i] == 1 and ids[i] != 7][:5]
+    assert [(s, i) for s, i, _ in negatives.best_positives(index, 7, 1, anchor, 5)] == own
+    windows = [(-(-30 * s // 100), 90 * s // 100) for s, _ in own]
+    found, visited = negatives.best_in_windows(index, 1, anchor, windows, 10)
+    for (least, most), got in zip(windows, found, strict=True):
+        assert got == [(int(scores[i]), int(ids[i])) for i in order if labels[i] != 1 and least <= scores[i] <= most][:10]
+    assert visited < len(index.cells)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 6000])
+def test_jaccard_links(spark, block):
+    """Chains and stars of near copies with a common passage, over several blocks of a
+    cluster: the groups of all pairs. Without the orders' filters all pairs would be verified."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(6):
+        base = np.concatenate([passage, rng.integers(0, 2**63, 90, dtype=np.uint64)])
+        for _ in range(12):
+            changed = base.copy()
+            n = int(rng.integers(6, 12))  # around eight changes each, two copies are just similar
+            changed[rng.choice(150, n, replace=False)] = rng.integers(0, 2**63, n, dtype=np.uint64)
+            sets.append(np.unique(changed))
+    sets += [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(1, 9, 20)]
+    sets += [np.unique(np.concatenate([passage, rng.integers(0, 2**63, 200, dtype=np.uint64)])) for _ in range(20)]
+    held = [set(s.tolist()) for s in sets]
+    near = lambda a, b: 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])
+    want = brute.groups(range(len(sets)), near)
+    table = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, n int, tokens binary")
+    found = {r.node: r.root for r in connected_groups(jaccard.linked_sets(table, block=block)).collect()}
+    assert {i: found.get(i, i) for i in range(len(sets))} == want and len(set(want.values())) < len(sets)
+    classes = np.zeros(jaccard.SLOTS, np.uint8)
+    i, j, verified = jaccard.similar_pairs(sets, sets, classes, 80)
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a in range(len(sets)) for b in range(len(sets)) if near(a, b)}
+    assert verified < len(sets) ** 2 / 3
+
+
+def test_counts_of_shared_tokens():
+    rng = np.random.default_rng(6)
+    homes = [np.unique(rng.integers(0, 50, int(n), dtype=np.uint64)) for n in rng.integers(1, 40, 30)]
+    visitors = [np.unique(rng.integers(30, 4000, int(n), dtype=np.uint64)) for n in rng.integers(1, 300, 70)]
+    for a, b in ((homes, visitors), (homes, homes), (visitors, visitors)):
+        assert (jaccard.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()

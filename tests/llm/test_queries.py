@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from tables import odd_rows
+from tables import items_of, odd_rows, vector_rows
 
 from tracewell.llm import registry
 
@@ -29,7 +29,7 @@ def test_empty_tables_give_no_rows(spark, empty, name):
     assert rows_of(spark, name, empty) == []
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n != "op5_packing"])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in ("op5_packing", "op11_search", "op13_negatives")])
 def test_one_row_per_document(spark, odd, name):
     found = Counter(r.doc_id for r in rows_of(spark, name, odd))
     assert found == Counter(r[0] for r in ROWS)
@@ -178,3 +178,31 @@ def test_order_minhash(spark, odd):
         assert r.edited_fingerprint == "".join(f"{x:06x}" for x in sorted(other))
         assert r.near_edited == pytest.approx(brute.likeness(own, other))
         assert r.near_next == pytest.approx(brute.likeness(own, third))
+
+
+def test_search(spark, odd):
+    """Ranks by score, then id; repeated rows count as documents of their own."""
+    want = brute.search(ROWS, items_of(ROWS))
+    found = defaultdict(list)
+    for r in sorted(rows_of(spark, "op11_search", odd), key=lambda r: r.rank):
+        assert r.rank == len(found[r.item_id]) + 1
+        found[r.item_id].append((r.doc_id, r.score))
+    assert found == want and {94, 0, 7} <= set(found) and not {90, 91, 92, 93} & set(found)
+
+
+def test_similar_documents(spark, odd):
+    sets = {i: brute.shingle_set(r[1]) for i, r in enumerate(ROWS)}
+    linked = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    roots = brute.groups(range(len(ROWS)), linked)
+    least = {}
+    for i, r in enumerate(ROWS):
+        ids = [x for x in (least.get(roots[i]), r[0]) if x is not None]
+        least[roots[i]] = min(ids) if ids else None
+    want = Counter((r[0], len(sets[i]), least[roots[i]]) for i, r in enumerate(ROWS))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows_of(spark, "op12_jaccard", odd)) == want
+
+
+def test_hard_negatives(spark, odd):
+    names = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    found = Counter(tuple(r[n] for n in names) for r in rows_of(spark, "op13_negatives", odd))
+    assert found == Counter(brute.negatives(vector_rows())) and len(found) > 50
