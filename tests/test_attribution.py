@@ -209,3 +209,27 @@ def test_coupling(spark):
     )
     got = {r.rid: (r.mob, r.allowed) for r in att.couple_entity_changes(rows, ("dragons:*",)).collect()}
     assert got == {1: ("dragons:fire", True), 2: ("minecraft:creeper", False), 3: ("dragons:ice", True)}
+
+
+def test_displaced_fires_need_few_steps(spark, monkeypatch):
+    """A row of fires at one moment each, every one of which finds its first choice taken."""
+    from tracewell.operators import groups
+
+    n, steps = 24, []
+    for module in (att, groups):
+        real = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df, real=real: (steps.append(1), real(df))[1])
+    # Causer k stands at x = k, the newer the smaller k; fires at x = 0 .. take them in turn.
+    causers = [(k, 1 - k / 100, "w", k % 5, k // 5, 0, "u", "n", "m:x", True) for k in range(n)]
+    fires = [(100 + k, 1.5 + k / 100, "w", 2, 2, 0) for k in range(n)]
+    got = att.attribute_fire(make(spark, fires, CELLED), make(spark, causers, CAUSER))
+    assert {r.id: r.rid for r in got.collect()} == {100 + k: k for k in range(n)}
+    assert len(steps) <= 6
+
+
+def test_fires_far_apart_are_settled_alone(spark):
+    causers = [(k, 0.5, "w", 10 * k, 0, 0, "u", "n", "m:x", k % 2 == 0) for k in range(30)]
+    fires = [(100 + k, 1.0, "w", 10 * k + 1, 1, 0) for k in range(30)] + [(200, 1.0, "v", 0, 0, 0)]
+    got = {r.id: (r.rid, r.verdict) for r in att.attribute_fire(make(spark, fires, CELLED), make(spark, causers, CAUSER)).collect()}
+    want = {100 + k: (k, "SUPPRESS" if k % 2 else "PAIR") for k in range(30)}
+    assert got == {**want, 200: (None, "PASSTHROUGH")}

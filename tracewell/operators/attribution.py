@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.timing import interval, micros
+from tracewell.functions.timing import interval, micros, to_micros
 from tracewell.operators.gate import acting_mob, allow_listed
+from tracewell.operators.groups import connected_groups
 from tracewell.operators.segments import with_reach_back
 from tracewell.operators.spatial import live_neighbours
 from tracewell.schema import ENTITY_CHANGE
@@ -171,6 +173,33 @@ def peek_fire_causer(
     return fires.join(best, "id", "left")
 
 
+def _taken(ttl: int):
+    """Streams candidates sorted by group, fire and freshness, freshest first; each fire
+    takes the first that is left."""
+
+    def run(batches):
+        group = fire = None
+        taken: dict[int, int] = {}  # causer -> its time, oldest taken first
+        done = False
+        for batch in batches:
+            out = []
+            for root, turn, pid, t, rid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != group:
+                    group, fire, taken = root, None, {}
+                if pid != fire:
+                    fire, done = pid, False
+                    if len(taken) > 4096:  # too old for this fire and all after it
+                        taken = {r: at for r, at in taken.items() if turn - at <= ttl}
+                if not done and rid not in taken:
+                    taken[rid] = t
+                    out.append((pid, rid))
+                    done = True
+            columns = [pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "rid"])
+
+    return run
+
+
 def attribute_fire(
     fires: DataFrame,
     causers: DataFrame,
@@ -181,30 +210,29 @@ def attribute_fire(
     """Each fire with the causer it uses up, and a verdict: PAIR, SUPPRESS (the
     causer is not allow-listed) or PASSTHROUGH (none).
 
-    In time order every fire takes the newest causer left around it. Fires
-    choose, causers all prefer the earlier fire, so the outcome is the stable
-    matching and needs no sequential pass: in each round every fire names its
-    best remaining causer, each causer keeps the earliest fire that named it,
-    and later fires lose that causer for good. Rounds end when nobody loses.
-    A fire has at most one candidate per neighbouring cell, so the candidate
-    table is linear in the fires.
+    In time order every fire takes the newest causer left around it. A fire whose
+    candidates no other fire could take is settled by itself. The others form groups,
+    connected by shared candidates, which are fires near each other in place and within
+    the time to live; each group is gone through once, in time order. A task streams the
+    sorted candidates of its groups and holds the causers taken within the time to live.
+    A fire has at most one candidate per neighbouring cell, so the candidate table is
+    linear in the fires.
     """
-    when = F.struct(F.col("p_ts"), F.col("pid"))
-    left = _fire_candidates(fires, causers, radius, ttl, span).select(
-        "pid", when.alias("turn"), "rid", _freshness().alias("fresh")
+    fresh = _freshness()
+    left = checkpointed(_fire_candidates(fires, causers, radius, ttl, span).select(
+        "pid", micros(F.col("p_ts")).alias("turn"), "rid", fresh.alias("fresh")
+    ))
+    shared = left.groupBy("rid").agg(F.min("pid").alias("a"), F.max("pid").alias("z")).filter("a < z")
+    groups = connected_groups(left.join(shared, "rid").select("a", F.col("pid").alias("b")).distinct())
+    alone = left.join(groups, left["pid"] == groups["node"], "left_anti")
+    settled = alone.groupBy(F.col("pid").alias("id")).agg(F.max_by("rid", "fresh").alias("rid"))
+    contested = left.join(groups, left["pid"] == groups["node"]).select("root", "turn", "pid", "fresh", "rid")
+    folded = (
+        contested.repartition("root").sortWithinPartitions("root", "turn", "pid", F.col("fresh").desc())
+        .select("root", "turn", "pid", F.col("fresh.t").alias("t"), "rid")
+        .mapInArrow(_taken(to_micros(ttl)), "id long, rid long")
     )
-    left = checkpointed(left)
-    size = left.count()
-    while True:
-        choice = left.groupBy("pid").agg(F.max_by(F.struct("rid", "turn"), "fresh").alias("c")).select("pid", "c.*")
-        holder = choice.groupBy("rid").agg(F.min("turn").alias("held"))
-        kept = left.join(holder, "rid", "left").filter(F.col("held").isNull() | (F.col("turn") <= F.col("held")))
-        left = checkpointed(kept.drop("held"))
-        remaining = left.count()
-        if remaining == size:
-            break
-        size = remaining
-    match = left.groupBy(F.col("pid").alias("id")).agg(F.max_by("rid", "fresh").alias("rid"))
+    match = settled.unionByName(folded)
     named = match.join(causers.select("rid", *[F.col(c).alias(f"causer_{c}") for c in _CAUSER]), "rid")
     verdict = (
         F.when(F.col("rid").isNull(), "PASSTHROUGH").when(F.col("causer_allowed"), "PAIR").otherwise("SUPPRESS")

@@ -117,10 +117,23 @@ def peek_fire_causer(spark, sf):
     return att.peek_fire_causer(*_fires(facts(spark, sf)), ttl=HOURS_6)
 
 
-@query("attribute_fire")
+# Fires in their order, one after the other: each takes the first candidate that none before it took.
+FIRE_SQL = oracle(f"""{CAUSERS_SQL},
+k AS (SELECT f.id, c.rid, row_number() OVER (PARTITION BY f.id, c.x, c.y, c.z ORDER BY c.ts DESC, c.rid DESC) AS n, c.ts AS cts, c.x, c.y, c.z, f.ts
+      FROM f JOIN c ON c.world_key = f.world_key AND abs(c.x - f.x) <= 2 AND abs(c.y - f.y) <= 2 AND abs(c.z - f.z) <= 2
+        AND (c.ts < f.ts OR (c.ts = f.ts AND c.rid < f.id))),
+o AS (SELECT f.id, row_number() OVER (ORDER BY f.ts, f.id) AS turn, coalesce(l.rids, []) AS rids
+      FROM f LEFT JOIN (SELECT id, list(rid ORDER BY cts DESC, x, y, z) AS rids FROM k WHERE n = 1 AND ts - cts <= INTERVAL 6 HOUR GROUP BY id) l ON l.id = f.id),
+r(turn, id, rid, used) AS (
+  SELECT CAST(0 AS bigint), CAST(NULL AS bigint), CAST(NULL AS bigint), CAST([] AS bigint[]) UNION ALL
+  SELECT o.turn, o.id, t.rid, CASE WHEN t.rid IS NULL THEN r.used ELSE list_append(r.used, t.rid) END
+  FROM r JOIN o ON o.turn = r.turn + 1, LATERAL (SELECT list_filter(o.rids, lambda v: NOT list_contains(r.used, v))[1] AS rid) t)
+SELECT r.id, r.rid, c.mob AS causer_mob, CASE WHEN r.rid IS NULL THEN 'PASSTHROUGH' WHEN c.allowed THEN 'PAIR' ELSE 'SUPPRESS' END AS verdict
+FROM r LEFT JOIN c ON c.rid = r.rid WHERE r.turn > 0""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("attribute_fire", FIRE_SQL)
 def attribute_fire(spark, sf):
-    """One-shot matching: no set-based SQL form; compared with a sequential
-    fold in the tests."""
     return att.attribute_fire(*_fires(facts(spark, sf)), ttl=HOURS_6).select("id", "rid", "causer_mob", "verdict")
 
 

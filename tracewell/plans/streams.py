@@ -103,9 +103,8 @@ def _carried(run, stream, split, columns, ttl, name):
     return spark.read.parquet(f"{folder}/out").select(*columns)
 
 
-@query("fire_stream")
+@query("fire_stream", ORACLES["attribute_fire"])
 def fire_stream(spark, sf):
-    """No set-based SQL form; equals the batch operator in the tests."""
     def split(batch):
         fires = batch.filter(F.col("type").isin(15, 16)).select("id", "ts", *CELL)
         return couple_entity_changes(batch, MOBS).select(*carried.CAUSERS.fieldNames()), fires
