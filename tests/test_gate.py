@@ -192,3 +192,25 @@ def test_quarantine_reasons(spark):
     ).withColumn("sign_side", F.lit("front")).withColumn("sign_dye_color", F.lit("red"))
     got = {r.id: r.quarantine_reason for r in g.validate_rows(rows).collect()}
     assert got == {1: None, 2: "type", 3: "world", 4: "target", 5: "name", 6: "world", 7: "source_tag", 8: None}
+
+
+def test_many_rules_move_the_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(g, "MAX_LITERAL_RULES", 0)
+    monkeypatch.setattr(g, "any_of", None)  # the literal form is not taken
+    rows = actions(spark, action(1, 0, 1, target="a:b", name="Ann", meta="m"), action(2, 1, 10, target="/Tp x", name="bob", uuid="U"),
+                   action(3, 2, 7, target="a:b", name=None), action(4, 3, 9, target="a:b", name="cy"), action(5, 4, 5, target=None, name=None))
+    table = [("user", "ANN"), ("user_uuid", "u"), ("command", "tp"), ("entity", "a:b"), ("composite", "a:b@cy"), ("block", "x")]
+    marked = g.mark_blacklisted(rows, spark.createDataFrame(table, "kind string, value string"))
+    assert {r.id: r.blacklisted for r in marked.collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
+    for kind, hits in (("block", []), ("command", [2]), ("composite", [4]), ("entity", [3])):
+        some = spark.createDataFrame([t for t in table if t[0] == kind], "kind string, value string")
+        assert sorted(ids(g.mark_blacklisted(rows, some).filter("blacklisted"))) == hits
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only the exchange of the rows themselves carries their other columns.
+    initial = plan.split("== Initial Plan ==")[-1]
+    carrying = [line for line in initial.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_keys" in line for line in carrying) <= 4 and len(carrying) <= 6

@@ -155,9 +155,11 @@ def mark_blacklisted(actions: DataFrame, rules: DataFrame, flag: str = "blacklis
     """Add a flag: the row matches a rule (``kind``, ``value``; see
     ``sources.rules``).
 
-    Few rules become literal sets inside the projection, so no row moves. More
-    rules than that are joined kind by kind; rows a kind cannot apply to get a
-    key of their own so they do not pile up on the null key.
+    Few rules become literal sets inside the projection, so no row moves. With more
+    rules than that, the distinct combinations of keys that rows have (a narrow table,
+    combined before it moves) are exploded and met with all rules of all kinds at once;
+    the rows themselves move once, to the combinations that were hit. Rows that no kind
+    applies to get a combination of their own so they do not pile up on one.
     """
     wanted = rules.select("kind", F.lower("value").alias("value"))
     few = wanted.limit(MAX_LITERAL_RULES + 1).collect()
@@ -168,15 +170,16 @@ def mark_blacklisted(actions: DataFrame, rules: DataFrame, flag: str = "blacklis
             for kind in RULE_KINDS
         ]
         return actions.withColumn(flag, any_of(hits))
-    out, flags = actions, []
-    for kind in RULE_KINDS:
-        values = wanted.filter(F.col("kind") == kind).select(F.concat(F.lit("k"), "value").alias("_key")).distinct()
-        values = values.withColumn(f"_{kind}", F.lit(True))
-        key = F.coalesce(F.concat(F.lit("k"), keys[kind]), F.concat(F.lit("-"), F.col("id").cast("string")))
-        out = out.withColumn("_key", key).join(values, "_key", "left").drop("_key")
-        flags.append(f"_{kind}")
-    hit = any_of([F.coalesce(F.col(f), F.lit(False)) for f in flags])
-    return out.withColumn(flag, hit).drop(*flags)
+    marked = [F.concat(F.lit(f"{kind}\0"), keys[kind]) for kind in RULE_KINDS]
+    combination = F.array_compact(F.array(*marked))
+    lone = F.array(F.concat(F.lit("\0"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    out = actions.withColumn("_keys", F.when(F.size(combination) > 0, combination).otherwise(lone))
+    values = wanted.select(F.concat_ws("\0", "kind", "value").alias("_key")).distinct()
+    held = actions.select(combination.alias("_keys")).filter(F.size("_keys") > 0).distinct()
+    hit = held.withColumn("_key", F.explode("_keys")).join(values, "_key", "left_semi").select("_keys").distinct()
+    return out.join(hit.withColumn(flag, F.lit(True)), "_keys", "left").drop("_keys").withColumn(
+        flag, F.coalesce(F.col(flag), F.lit(False))
+    )
 
 
 def gate_blacklist(actions: DataFrame, rules: DataFrame) -> DataFrame:

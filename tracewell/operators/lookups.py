@@ -235,16 +235,25 @@ def near(actions, world, x, y, z, now, radius=NEAR_RADIUS, age=NEAR_AGE, limit=D
     return page_newest(flt.apply(actions), limit)
 
 
-def near_points(actions, points, now, radius=NEAR_RADIUS, age=NEAR_AGE) -> DataFrame:
+def newest_of_each(found: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """The ``limit`` newest rows of each key. Every task keeps that many of a key before
+    they leave it, so a crowded place costs ``limit`` rows a key and task."""
+    if limit is None:
+        return found
+    order = Window.partitionBy(key).orderBy(*newest_first())
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+
+
+def near_points(actions, points, now, radius=NEAR_RADIUS, age=NEAR_AGE, limit: int | None = None) -> DataFrame:
     """Bulk form: every recent row around every point (``point_id``, world_key,
-    x, y, z)."""
+    x, y, z), or the ``limit`` newest around each."""
     boxes = points.select(
         "point_id", "world_key",
         *[(F.col(c) - radius).alias(f"min_{c}") for c in "xyz"],
         *[(F.col(c) + radius).alias(f"max_{c}") for c in "xyz"],
     )
     recent = actions.filter(F.col("ts") >= ts_lit(now - age))
-    return facts_in_boxes(recent, boxes, ["point_id"])
+    return newest_of_each(facts_in_boxes(recent, boxes, ["point_id"]), "point_id", limit)
 
 
 def within_regions(actions: DataFrame, boxes: DataFrame, viewer: str) -> DataFrame:
@@ -263,9 +272,10 @@ def within_regions(actions: DataFrame, boxes: DataFrame, viewer: str) -> DataFra
     return ActionFilter(box=tuple(saved[0])).apply(actions)
 
 
-def within_any_region(actions: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Bulk form: (viewer, row) for every viewer with a saved box."""
-    return facts_in_boxes(actions, boxes, ["viewer"], same_world=False)
+def within_any_region(actions: DataFrame, boxes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bulk form: (viewer, row) for every viewer with a saved box, or the ``limit``
+    newest rows of each viewer."""
+    return newest_of_each(facts_in_boxes(actions, boxes, ["viewer"], same_world=False), "viewer", limit)
 
 
 def inspect_cell(actions, world, x, y, z, now, limit=DEFAULT_PAGE, radius=0, age=None) -> DataFrame:

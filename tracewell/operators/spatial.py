@@ -77,7 +77,8 @@ def live_neighbours(
     place holds most of the rows.
     """
     span = span or segment_span(ttl)
-    grid = max(16, 2 * radius)
+    # A cell is filed under two grid cells an axis at most.
+    grid = 2 * radius + 1
     recs = with_reach_back(
         records.select("rid", "world_key", "x", "y", "z", F.col("ts"), *payload), "ts", ttl, span
     )

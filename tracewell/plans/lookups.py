@@ -302,6 +302,13 @@ def within_any_region(spark, sf):
     return lookups.within_any_region(facts(spark, sf), boxes(spark)).select("viewer", "id")
 
 
+@query("within_any_region_newest", oracle(f"""
+SELECT b.viewer, a.id FROM a JOIN {BOXES_SQL} ON a.x BETWEEN b.min_x AND b.max_x AND a.y BETWEEN b.min_y AND b.max_y AND a.z BETWEEN b.min_z AND b.max_z
+QUALIFY row_number() OVER (PARTITION BY b.viewer ORDER BY a.ts DESC, a.id DESC) <= 20"""))
+def within_any_region_newest(spark, sf):
+    return lookups.within_any_region(facts(spark, sf), boxes(spark), 20).select("viewer", "id")
+
+
 # --- D: paging and aggregation ----------------------------------------------
 
 PAGE_WHERE = """ts >= TIMESTAMP '2024-01-10 00:00:00' AND world_key = 'minecraft:overworld' AND x BETWEEN -5 AND 5 AND z BETWEEN -5 AND 5
@@ -538,6 +545,19 @@ def near_points(spark, sf):
     return lookups.near_points(rows, points, NOW, 2, timedelta(days=5)).select("point_id", "id")
 
 
+@query("near_points_newest", oracle(f"""
+, p AS (SELECT id AS point_id, world_key, x, y, z FROM a WHERE type = 37 AND ts >= {NOW_SQL} - INTERVAL 5 DAY)
+SELECT p.point_id, a.id FROM p JOIN a ON a.world_key = p.world_key AND a.x BETWEEN p.x - 5 AND p.x + 5 AND a.y BETWEEN p.y - 5 AND p.y + 5
+  AND a.z BETWEEN p.z - 5 AND p.z + 5 AND a.ts >= {NOW_SQL} - INTERVAL 5 DAY
+QUALIFY row_number() OVER (PARTITION BY p.point_id ORDER BY a.ts DESC, a.id DESC) <= 3"""))
+def near_points_newest(spark, sf):
+    """The three newest rows around every portal."""
+    rows = facts(spark, sf)
+    recent = rows.filter((F.col("type") == 37) & pred.since(NOW - timedelta(days=5)))
+    points = recent.select(F.col("id").alias("point_id"), "world_key", "x", "y", "z")
+    return lookups.near_points(rows, points, NOW, 5, timedelta(days=5), limit=3).select("point_id", "id")
+
+
 @query("inspect_cell", oracle(f"""
 , h AS (SELECT a.*, d.verb, CAST(epoch_us({NOW_SQL}) - epoch_us(a.ts) AS bigint) // 1000000 AS s
         FROM a JOIN {TYPES_SQL} ON a.type = d.type WHERE {CELL_SQL} ORDER BY ts DESC, id DESC LIMIT 10)
