@@ -19,7 +19,7 @@ from tracewell.operators.gate import GateConfig, coalesce_actor, gate, quarantin
 from tracewell.schema import ENTITY_CHANGE, EVENTS
 from tracewell.session import checkpointed
 from tracewell.sources.commits import Log, commit_key, drop_retired, is_published, live, publish, repeated
-from tracewell.sources.facts import append_actions, write_actions, write_partitions
+from tracewell.sources.facts import write_actions, write_partitions
 from tracewell.sources.folders import drop
 from tracewell.sources.tables import read_table
 
@@ -76,13 +76,15 @@ def chain(
     return gated.withColumn("quarantine_reason", F.when(F.col("gate_reason").isNull(), quarantine_reason()))
 
 
-def _store(rows: DataFrame, root: str, batch, writer: str) -> None:
+def _store(rows: DataFrame, root: str, commit: str, any_bad: bool) -> None:
     """Refused rows first: once the facts of a commit count, all of it is stored."""
     accepted = rows.filter(F.col("gate_reason").isNull()).drop("gate_reason")
-    bad = accepted.filter(F.col("quarantine_reason").isNotNull())
-    bad = bad.withColumn("tries", F.lit(0)).withColumn("batch", F.lit(commit_key(writer, batch)))
-    write_partitions(bad.select(*QUARANTINE.fieldNames()), f"{root}/quarantine", "batch")
-    append_actions(accepted.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason"), root, batch, writer)
+    if any_bad:
+        bad = accepted.filter(F.col("quarantine_reason").isNotNull())
+        bad = bad.withColumn("tries", F.lit(0)).withColumn("batch", F.lit(commit))
+        write_partitions(bad.select(*QUARANTINE.fieldNames()), f"{root}/quarantine", "batch")
+    write_actions(accepted.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason"), root, commit)
+    publish(rows.sparkSession, root, commit, "append")
 
 
 _LAST = "_actor string, world_key string, x int, y int, z int, ts timestamp_ntz"
@@ -98,29 +100,33 @@ def process_batch(
     state: str | None = None, **chain_args
 ) -> None:
     """One micro-batch, as one commit of ``writer``: a batch that is run again after it
-    was stored is left as it is, one that failed before is written whole.
+    was stored is left as it is, one that failed before is written whole. A batch without
+    events stores nothing.
 
     With a ``state`` folder the last change of every actor and cell is handed from batch
     to batch, so a run of changes is coalesced across batches as it is within one.
     """
-    spark = events.sparkSession
-    if is_published(spark, root, commit_key(writer, batch)):
+    spark, commit = events.sparkSession, commit_key(writer, batch)
+    if is_published(spark, root, commit):
         return
     earlier = _carried(spark, state, batch) if state and cfg.strict else None
     rows = chain(events, cfg, earlier=earlier, **chain_args).persist()
     try:
+        # The one pass over the batch itself; all else reads what it left.
+        bad = F.col("gate_reason").isNull() & F.col("quarantine_reason").isNotNull()
+        newest, any_bad, total = rows.agg(F.max("ts"), F.max(bad), F.count("*")).first()
         if earlier is not None:
             changes = rows.filter(F.col("type") == ENTITY_CHANGE).filter(
                 F.col("gate_reason").isNull() | (F.col("gate_reason") != "entity")
             )
             last = changes.select(coalesce_actor().alias("_actor"), "world_key", "x", "y", "z", "ts").unionByName(earlier)
             last = last.groupBy("_actor", "world_key", "x", "y", "z").agg(F.max("ts").alias("ts"))
-            newest = events.agg(F.max("ts")).first()[0]
             if newest is not None:
                 last = last.filter(F.col("ts") > ts_lit(newest - cfg.coalesce_window))
             last.write.mode("overwrite").parquet(f"{state}/v={batch}")
             drop(spark, f"{state}/v={batch - 2}")
-        _store(rows, root, batch, writer)
+        if total:
+            _store(rows, root, commit, bool(any_bad))
     finally:
         rows.unpersist()
 
