@@ -32,8 +32,8 @@ def test_stages(spark, request, tmp_path, which):
     assert max(left.values()) == 1
     assert all(r.n_chars == len(r.text) for r in lined if r.text is not None)
     # Near-dedup: one row of each group, the one with the smallest id.
-    prints = {i: brute.simhash(r.text) for i, r in enumerate(lined)}
-    roots = brute.groups(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    sets = {i: brute.shingle_set(r.text) for i, r in enumerate(lined)}
+    roots = brute.groups(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     least = {}
     for i, r in enumerate(lined):
         known = [x for x in (least.get(roots[i]), r.doc_id) if x is not None]
@@ -65,3 +65,29 @@ def test_clean_documents_stay(spark, tmp_path):
 
 def test_schema_of_tables():
     assert len(odd_rows()[0]) == SCHEMA.count(",") + 1
+
+
+def test_near_copies_go(spark, tmp_path):
+    """Of pairs with a similarity from 0.8 on, nine in ten at least meet; nothing else does."""
+    import random
+
+    from tables import prose
+
+    from tracewell.llm import simhash
+
+    rng = random.Random(31)
+    rows = []
+    for i in range(150):
+        words = prose(rng, 150 + rng.randrange(250)).split(" ")
+        other = list(words)
+        # A changed word takes five shingles: these leave a similarity just above 0.8 or so.
+        for _ in range(max(1, round(len(words) * rng.uniform(0.008, 0.03)))):
+            other[rng.randrange(len(other))] = f"w{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = [brute.shingle_set(t) for _, t in rows]
+    near = {i for i in range(150) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.first_of_each(docs).collect()}
+    assert {2 * i for i in range(150)} <= kept and {2 * i + 1 for i in range(150) if i not in near} <= kept
+    caught = sum(2 * i + 1 not in kept for i in near)
+    assert 50 < len(near) < 150 and caught >= 0.9 * len(near), (caught, len(near))

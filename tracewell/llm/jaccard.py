@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bound_batches, connected_groups, documents, running_total, text_of
@@ -425,14 +425,20 @@ def _verified(classes: np.ndarray, percent: int):
 
 def linked_sets(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): edges among the distinct ``sets`` (node, n, tokens) whose connected groups
-    are those of all pairs with ``100 * shared >= percent * union``.
+    are those of all pairs with ``100 * shared >= percent * union``."""
+    sets = checkpointed(supported(sets.select("node", "n", "tokens", F.lit(0).cast("long").alias("cluster")), percent))
+    classes = frequency_classes(sets)
+    found = clusters(sets, lambda tokens: rare_first(tokens, classes), percent)
+    return links_within(sets, found, classes, percent, block)
+
+
+def links_within(sets: DataFrame, found: DataFrame, classes: np.ndarray, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Spanning edges of the similar pairs of ``sets`` that are in one cluster of ``found``
+    (node, cluster).
 
     A cluster is cut into blocks of bounded size along the sizes of its sets, and every
     two blocks that may hold similar sizes meet in one task.
     """
-    sets = checkpointed(supported(sets.select("node", "n", "tokens", F.lit(0).cast("long").alias("cluster")), percent))
-    classes = frequency_classes(sets)
-    found = clusters(sets, lambda tokens: rare_first(tokens, classes), percent)
     members = sets.select("node", "n").join(found, "node")
     weighed = members.withColumn("weight", F.col("n").cast("long") + _ROW)
     order = [F.col("cluster").asc(), F.col("n").asc(), F.col("node").asc()]
@@ -456,6 +462,25 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     )
 
 
+def candidates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, sets): one row per document, the distinct sets that the first order
+    leaves (print_a, print_b, least, first, node), and their tokens (node, n, tokens)."""
+    rows, left = hashed(docs, size, percent)
+    nodes = checkpointed(
+        rows.join(left, "row", "left_semi").groupBy("print_a", "print_b")
+        .agg(F.min("doc_id").alias("least"), F.min(first_place()).alias("first"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    folder = scratch_folder(docs.sparkSession, "sets")
+    _sets(docs, nodes.select("node", "first.doc_id", "first.text_hash"), size).write.parquet(folder)
+    return rows, nodes, docs.sparkSession.read.parquet(folder)
+
+
+def first_place() -> Column:
+    """What orders rows: ids by value, null last, then texts by hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
 def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, n, root, component_id) of every row of ``docs``.
 
@@ -466,17 +491,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     Rows with equal sets are one node, so copies cost nothing; ``root`` names the group's
     smallest node and is null for rows that are linked with no other.
     """
-    rows, left = hashed(docs, size, percent)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = (
-        rows.join(left, "row", "left_semi").groupBy("print_a", "print_b")
-        .agg(F.min("doc_id").alias("least"), F.min(place).alias("first"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    nodes = checkpointed(nodes)
-    folder = scratch_folder(docs.sparkSession, "sets")
-    _sets(docs, nodes.select("node", "first.doc_id", "first.text_hash"), size).write.parquet(folder)
-    sets = docs.sparkSession.read.parquet(folder)
+    rows, nodes, sets = candidates(docs, size, percent)
     groups = connected_groups(linked_sets(sets, percent)).withColumnRenamed("node", "member")
     rooted = checkpointed(
         nodes.join(groups, nodes["node"] == groups["member"], "left")
