@@ -26,8 +26,11 @@ def test_containers(spark):
                               ("b", 0, "x", 1, 0), ("c", 0, "x", 1, 0)])
     closes = snapshots(spark, [("a", 0, "diamond", 2, 60), ("a", 1, "gold", 4, 60), ("a", 2, "dirt", 1, 60), ("a", 3, "iron", 4, 60),
                                ("a", 216, "far", 9, 60), ("c", 0, "x", 9, 301)])
-    got = {(r.session, r.slot): (r.item, r.type, r.amount) for r in diffs.diff_containers(opens, closes, ["session"]).collect()}
+    limited = diffs.diff_containers(opens, closes, ["session"], max_slots=216)
+    got = {(r.session, r.slot): (r.item, r.type, r.amount) for r in limited.collect()}
     assert got == {("a", 0): ("diamond", 4, 3), ("a", 1): ("gold", 3, 4), ("a", 3): ("coal", 4, 5)}
+    # Without a limit, which is the default, slots of any number count.
+    assert ("far", 3, 8) in {(r.item, r.type, r.amount) for r in diffs.diff_containers(opens, closes, ["session"]).collect()}
     late = diffs.diff_containers(opens, closes, ["session"], None).filter("session = 'c'").collect()
     assert [(r.type, r.amount) for r in late] == [(3, 8)]
 
