@@ -1,7 +1,7 @@
 """Streams give what the batch operators give on the same rows."""
 
 import random
-from datetime import timedelta
+from datetime import UTC, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +134,25 @@ def test_rate_stream(spark, tmp_path):
     assert [(r.n, r.per_second) for r in closed] == [(15, 0.5)]
 
 
+def test_rate_stream_counts_panes(spark, tmp_path):
+    """Slides that do not divide the window, a null type, several micro-batches: equal to plain sums."""
+    seconds = [(i * 7) % 400 for i in range(300)]
+    df = actions(spark, *[action(i, at_s, None if i % 5 == 0 else i % 2) for i, at_s in enumerate(sorted(seconds))])
+    rates = windows.rate_stream(as_stream(spark, df, str(tmp_path / "in")), timedelta(seconds=10), timedelta(seconds=4))
+    got = collect(rates, tmp_path, "panes").collect()
+    zero = int(at(0).replace(tzinfo=UTC).timestamp())
+    want = {}
+    for i, at_s in enumerate(sorted(seconds)):
+        last = (zero + at_s) // 4 * 4 - zero
+        for start in range(last, last - 12, -4):
+            if start <= at_s < start + 10 and start + 10 <= max(seconds) - 10:
+                key = (start, None if i % 5 == 0 else i % 2)
+                want[key] = want.get(key, 0) + 1
+    start = lambda r: round((r.start - at(0)).total_seconds())
+    assert {(start(r), r.type): r.n for r in got} == want
+    assert all(r.per_second == r.n / 10 for r in got)
+
+
 def test_container_stream(spark, tmp_path):
     slot = "array<struct<slot:int,item:string,count:int>>"
     schema = f"id long, session string, ts timestamp_ntz, slots {slot}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import sys
 from datetime import timedelta
@@ -25,14 +26,25 @@ def rate_stream(
     events: DataFrame, window: timedelta = timedelta(seconds=RATE_SECONDS), slide: timedelta = timedelta(seconds=1),
     delay: str = "10 seconds",
 ) -> DataFrame:
-    """Rows per second by type over a sliding window, once it is closed."""
+    """Rows per second by type over a sliding window, once it is closed.
+
+    Rows are counted once per pane (the longest span that both window and slide are
+    multiples of); the windows add up panes, so no row is multiplied by the windows it
+    falls into. A row whose pane the watermark has closed counts nowhere; null types
+    are a type, null times count nowhere.
+    """
     seconds = window.total_seconds()
+    pane = math.gcd(to_micros(window), to_micros(slide))
     span, step = f"{seconds} seconds", f"{slide.total_seconds()} seconds"
-    return (
+    panes = (
         events.withColumn("at", F.col("ts").cast("timestamp"))
         .withWatermark("at", delay)
-        .groupBy(F.window("at", span, step).alias("w"), "type")
-        .agg(F.count("*").alias("n"))
+        .groupBy(F.window("at", f"{pane} microseconds").alias("pane"), "type")
+        .agg(F.count("*").alias("in_pane"))
+    )
+    return (
+        panes.groupBy(F.window("pane", span, step).alias("w"), "type")
+        .agg(F.sum("in_pane").alias("n"))
         .select(
             F.col("w.start").alias("start"), F.col("w.end").alias("end"), "type", "n",
             (F.col("n") / F.lit(seconds)).alias("per_second"),
