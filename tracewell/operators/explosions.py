@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.affected import any_affected_in_box, parse_affected, serialize_affected
 from tracewell.operators.chains import greedy_chain
@@ -70,6 +71,26 @@ def _next_chunk(pdf: pd.DataFrame) -> np.ndarray:
     return np.minimum(seq + MAX_ENTRIES, ends[np.minimum(over, len(size))])
 
 
+def _chunks(group: list[str]):
+    """The chunks of a list that lies within one segment."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
+        seq, following = pdf["seq"].to_numpy(np.int64), _next_chunk(pdf)
+        found, at = [], 0
+        while at < len(seq):
+            end = int(np.searchsorted(seq, following[at], side="left"))
+            texts = pdf["text"].iloc[at:end].dropna()
+            if len(texts):
+                found.append((int(seq[at]), ",".join(texts)))
+            at = max(end, at + 1)
+        chunks = pd.DataFrame(found, columns=["chunk", "target"])
+        keys = pdf[group].iloc[[0] * len(chunks)].reset_index(drop=True)
+        return pd.concat([keys, chunks], axis=1)
+
+    return run
+
+
 def pack_affected(blocks: DataFrame, group: list[str]) -> DataFrame:
     """Block rows to stored chunks: greedy, at most 96 entries and 3,800
     characters each; a first entry is always taken, entries without an id are
@@ -83,30 +104,26 @@ def pack_affected(blocks: DataFrame, group: list[str]) -> DataFrame:
     text = F.concat_ws(":", F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string"))
     entries = blocks.select(
         *group, F.col("seq").cast("long").alias("seq"), F.when(named, F.concat(text, F.lit("="), "block")).alias("text")
-    ).withColumn("size", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long"))
-    # Most lists fit one chunk: those need no chain. Later segments of such a
-    # list, if it has gaps, begin anew anyway.
-    part = Window.partitionBy(*group, "_part")
-    sized = entries.withColumn("_part", F.floor(F.col("seq") / F.lit(PACK_SEGMENT))).withColumns({
-        "_first": F.min("seq").over(part), "_last": F.max("seq").over(part), "_total": F.sum("size").over(part),
-    })
-    fits = (
-        (F.col("_part") == 0)
-        & (F.col("_last") - F.col("_first") < MAX_ENTRIES)
-        & (F.col("_first") + MAX_ENTRIES <= PACK_SEGMENT)
-        & (F.col("_total") <= MAX_CHARS + 1)
-    )
-    whole = sized.filter(fits).select(*group, "seq", "text", F.col("_first").alias("start"))
-    cut = sized.filter(~fits).select(*group, "seq", "text", "size")
+    ).withColumn("size", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long")).filter(F.col("seq").isNotNull())
+    # Most lists lie within one segment: they need no chain, only one pass.
+    part = F.floor(F.col("seq") / F.lit(PACK_SEGMENT))
+    longer = entries.groupBy(*group).agg(F.min(part).alias("_from"), F.max(part).alias("_to"))
+    longer = longer.filter(F.col("_from") != F.col("_to")).select(*group)
+    types = {f.name: f.dataType for f in entries.schema.fields}
+    out = T.StructType([
+        *(T.StructField(g, types[g]) for g in group), T.StructField("chunk", T.LongType()), T.StructField("target", T.StringType()),
+    ])
+    short = entries.join(longer, group, "left_anti").groupBy(*group).applyInPandas(_chunks(group), out)
+    cut = entries.join(longer, group, "left_semi")
     placed = greedy_chain(
         cut.select(*group, "seq", "size"),
         group, "seq", _next_chunk, segment=PACK_SEGMENT, reach=MAX_ENTRIES, lookahead=MAX_ENTRIES,
     )
-    return (
+    long = (
         cut.drop("size").join(placed, [*group, "seq"])
-        .unionByName(whole)
         .filter(F.col("text").isNotNull())
         .groupBy(*group, F.col("start").alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))  # at most 96
         .select(*group, "chunk", F.array_join(F.col("parts.text"), ",").alias("target"))
     )
+    return short.unionByName(long)
