@@ -173,3 +173,33 @@ def test_undo_depth(spark):
     batches = spark.createDataFrame(rows, "batch_id long, ts timestamp_ntz, actor_uuid string, mode int")
     kept = led.undo_history(batches).collect()
     assert len(kept) == 40 and min(r.batch_id for r in kept) == 20
+
+
+def test_limits_count_without_sorting(spark):
+    rows = actions(spark, *[action(i, i, 1, x=i % 3) for i in range(30)])
+    wanted = rb.plan_rollback(rows, SINCE)
+    rb.check_limits(rows, wanted, 30, 3)
+    rb.check_limits(rows, wanted, 10**12, 10**12)
+    for caps, what in (((29, 3), "more than 29 rows scanned"), ((30, 2), "more than 2 rows planned")):
+        with pytest.raises(rb.PlanTooLarge, match=what):
+            rb.check_limits(rows, wanted, *caps)
+
+
+def test_rows_without_a_contest_are_not_shuffled(spark):
+    rows = actions(spark, action(1, 0, 1), action(2, 1, 2), action(3, 2, 3), action(3, 2, 3), action(4, 3, None))
+    kept = rb.newest_per_position(rows)
+    assert sorted(ids(kept)) == [2, 3, 3, 4]
+
+
+def test_callback_sees_the_changes_of_a_cell_in_order(spark):
+    rows = actions(spark, *[action(i, i, 2, x=i % 2, target=f"b{i}") for i in range(8)])
+    changes = rb.inverse_mutations(rows)
+
+    def seen(frames):
+        for pdf in frames:
+            yield pdf[["action_id", "x"]]
+
+    got = rb.mutation_outcomes(changes, seen, "action_id long, x int").withColumn("task", F.spark_partition_id())
+    for x, order in ((0, [6, 4, 2, 0]), (1, [7, 5, 3, 1])):
+        assert [r.action_id for r in got.filter(F.col("x") == x).collect()] == order
+    assert {r.n for r in got.groupBy("x").agg(F.countDistinct("task").alias("n")).collect()} == {1}

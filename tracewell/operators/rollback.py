@@ -38,14 +38,14 @@ def split_rollbackable(actions: DataFrame) -> DataFrame:
 def newest_per_position(actions: DataFrame) -> DataFrame:
     """Keep the newest block-state row per cell and every other row.
 
-    Rows that are not deduplicated get a partition of their own (their id), so
-    one scan and one shuffle serve both kinds. The ``rank <= 1`` filter is
-    applied per task before the shuffle (window group limit): a cell with a
-    third of all rows sends one row per task.
+    Only rows that can be superseded are shuffled and sorted; the others go past.
+    The ``rank <= 1`` filter is applied per task before the shuffle (window group
+    limit): a cell with a third of all rows sends one row per task.
     """
-    alone = F.when(type_is(NEWEST_WINS), F.lit(None)).otherwise(F.col("id"))
-    ranked = Window.partitionBy(*CELL, alone).orderBy(*newest_first())
-    return actions.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= 1).drop("_rank")
+    contest = F.coalesce(type_is(NEWEST_WINS), F.lit(False))
+    ranked = Window.partitionBy(*CELL).orderBy(*newest_first())
+    newest = actions.filter(contest).withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= 1)
+    return newest.drop("_rank").unionByName(actions.filter(~contest))
 
 
 def _candidates(actions: DataFrame, flt: ActionFilter, mode: int) -> DataFrame:
@@ -96,9 +96,10 @@ class PlanTooLarge(ValueError):
 def check_limits(
     scanned: DataFrame, planned: DataFrame, max_scanned: int | None = None, max_planned: int | None = None
 ) -> None:
-    """Refuse plans over a limit. Off by default; counts stop at limit + 1."""
+    """Refuse plans over a limit. Off by default. Rows are counted by partial aggregates, for
+    which a plan is not sorted: a limit would move up to its rows from every task to one."""
     for what, df, cap in (("scanned", scanned, max_scanned), ("planned", planned, max_planned)):
-        if cap is not None and df.limit(cap + 1).count() > cap:
+        if cap is not None and df.count() > cap:
             raise PlanTooLarge(f"more than {cap} rows {what}")
 
 
@@ -286,3 +287,13 @@ def foreach_mutation(mutations: DataFrame, apply_rows) -> None:
     columns = list(MUTATION_COLUMNS)
     ordered = mutations.select(*columns).repartition(*CELL).sortWithinPartitions("step")
     ordered.foreachPartition(apply_rows)
+
+
+def mutation_outcomes(mutations: DataFrame, apply_batches, schema) -> DataFrame:
+    """What a callback reports for the mutations: it gets a task's rows as an iterator
+    of pandas frames, cell after cell and in execution order within a cell, and yields
+    frames of ``schema``. A cell is never split over tasks, however many rows it has;
+    it may go on in the next frame.
+    """
+    ordered = mutations.repartition(*CELL).sortWithinPartitions(*CELL, "step")
+    return ordered.select(*(c for c in MUTATION_COLUMNS if c != "step")).mapInPandas(apply_batches, schema)

@@ -140,6 +140,57 @@ def apply_mutations(spark, sf):
     return rollback.apply_mutations(state, rollback.inverse_mutations(planned(spark, sf, rollback.ROLLBACK)))
 
 
+SETS_SQL = f"""{AFFECTED_SQL}{planned_sql(f'{SINCE_SQL} AND rolled_back = 0')},
+sets AS (
+  SELECT id AS action_id, {CELL}, CASE WHEN type IN (1, 16, 23, 36, 37, 40) THEN 'minecraft:air' ELSE target END AS object, ts, 0 AS pos
+  FROM plan WHERE type IN (1, 16, 23, 36, 37, 40, 2, 15, 17, 25, 24, 26)
+  UNION ALL SELECT b.id, b.world_key, b.x, b.y, b.z, b.block, b.ts, b.pos FROM blocks b JOIN plan ON plan.id = b.id)"""
+
+
+def _replaced(frames):
+    """Callback: what each change replaces among the changes of its cell."""
+    at, left = None, None
+    for pdf in frames:
+        before = []
+        for cell, new in zip(pdf[CELL.split(", ")].itertuples(index=False, name=None), pdf["object"], strict=True):
+            before.append(left if cell == at else None)
+            at, left = cell, new
+        yield pdf[["action_id", *CELL.split(", "), "object"]].assign(before=before)
+
+
+@query("mutation_outcomes", oracle(f"""{SETS_SQL}
+SELECT action_id, {CELL}, object, lag(object) OVER (PARTITION BY {CELL} ORDER BY ts DESC, action_id DESC, pos) AS before FROM sets"""))
+def mutation_outcomes(spark, sf):
+    """A callback applied to all block changes of a rollback, in order within each cell."""
+    changes = rollback.inverse_mutations(planned(spark, sf, rollback.ROLLBACK)).filter(F.col("verb") == "set")
+    schema = "action_id long, world_key string, x int, y int, z int, object string, before string"
+    return rollback.mutation_outcomes(changes, _replaced, schema)
+
+
+# Limits on the rows scanned and planned.
+LIMITS = ((100, None), (None, 50), (10**9, 10**9))
+
+
+@query("plan_limits", oracle(f"""{planned_sql(f'{SINCE_SQL} AND rolled_back = 0')},
+sizes AS (SELECT (SELECT count(*) FROM a WHERE {SINCE_SQL} AND rolled_back = 0) AS scanned, (SELECT count(*) FROM plan) AS planned),
+limits(max_scanned, max_planned) AS (VALUES (100::bigint, NULL::bigint), (NULL, 50), (1000000000, 1000000000))
+SELECT max_scanned, max_planned, CASE WHEN scanned > max_scanned THEN concat('more than ', max_scanned, ' rows scanned')
+  WHEN planned > max_planned THEN concat('more than ', max_planned, ' rows planned') END AS refusal FROM limits, sizes"""))
+def plan_limits(spark, sf):
+    """The refusal of a rollback of all rows since a day, under several limits."""
+    rows = facts(spark, sf)
+    scanned = ALL_SINCE.but(rolled_back=False).apply(rows)
+    wanted = rollback.plan_rollback(rows, ALL_SINCE)
+    answers = []
+    for limits in LIMITS:
+        try:
+            rollback.check_limits(scanned, wanted, *limits)
+            answers.append((*limits, None))
+        except rollback.PlanTooLarge as refusal:
+            answers.append((*limits, str(refusal)))
+    return spark.createDataFrame(answers, "max_scanned long, max_planned long, refusal string")
+
+
 # --- ledger: batches derived from the facts -----------------------------------
 # One batch per actor and ten-day slice; rollbacks and restores alternate, and
 # one batch in four was never closed.
