@@ -79,8 +79,14 @@ def base_spans(text: str) -> list[Span]:
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_SIGN = re.compile(r"[0-9@]|[\[(](?:at|ät|dot|punkt)[\])]", re.IGNORECASE)
-_AROUND = 3
+_SIGN = re.compile(r"[0-9@]|[\[(](?:at|ät|dot|punkt)[\])]|(?<=\s)(?:dot|punkt)(?=\s)", re.IGNORECASE)
+# Ways to write the signs of an address, with a space on both sides or on none.
+_AT = re.compile(r"\s+(?:at|ät|@|[\[(](?:at|ät)[\])])\s+|@|[\[(](?:at|ät)[\])]", re.IGNORECASE)
+_DOT = re.compile(r"\s+(?:dot|punkt|\.|[\[(](?:\.|dot|punkt)[\])])\s+|\.|[\[(](?:\.|dot|punkt)[\])]", re.IGNORECASE)
+_WRITTEN_EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+_WRITTEN_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_AROUND = 5
+_LONGEST = 16  # tokens at the end of a span that may be given up
 _OPEN, _CLOSE = "\"'<«„“", ".,;:!?\"'>»“”"
 _RUNS = re.compile(r"(.)\1+")
 WORDS = frozenset(
@@ -95,26 +101,44 @@ def shape(token: str) -> str:
     return _RUNS.sub(r"\1", out)
 
 
+def name_shape(token: str) -> str:
+    """The shape with digits and underscores of a token that has a letter counted as letters."""
+    shaped = shape(token)
+    return _RUNS.sub(r"\1", re.sub("[d_]", "x", shaped)) if "x" in shaped else shaped
+
+
 def token_features(tokens: list[str], at: int) -> list[str]:
     token = tokens[at].strip(_OPEN).rstrip(_CLOSE)
     digits = sum(map(str.isdigit, token))
     low = token.lower().strip(".:,")
     shaped = shape(token)
     own = [
-        "bias", "s=" + shaped, f"d={min(digits, 20)}", f"l={min(len(token), 24)}", "c=" + "".join(sorted(set(shaped)))[:12],
+        "bias", "s=" + shaped, "n=" + name_shape(token), f"d={min(digits, 20)}", f"l={min(len(token), 24)}", "c=" + "".join(sorted(set(shaped)))[:12],
     ]
+    if tokens[at][-1] in _CLOSE:
+        own.append("closes")
+    if at and tokens[at - 1][-1] in _CLOSE:
+        own.append("after-close")
     if low in WORDS:
         own.append("w=" + low)
     if re.fullmatch(r"[\[(](at|ät|dot|punkt)[\])]", low):
         own.append("joint")
     if "(at)" in low or "[at]" in low or "@" in low[1:-1]:
         own.append("inner-at")
+    plain = _DOT.sub(".", _AT.sub("@", token))
+    if _WRITTEN_EMAIL.fullmatch(plain):
+        own.append("whole-address")
+    elif _WRITTEN_IP.fullmatch(plain):
+        own.append("whole-ip")
     own.append(f"dots={min(3, token.count('.'))}" + ("d" if digits else "x"))
-    for step in (-2, -1, 1, 2):
+    for step in (-3, -2, -1, 1, 2, 3):
         near = tokens[at + step] if 0 <= at + step < len(tokens) else ""
-        own.append(f"s{step}=" + (shape(near.strip(_OPEN).rstrip(_CLOSE)) if near else "edge"))
+        if abs(step) < 3:
+            bare = near.strip(_OPEN).rstrip(_CLOSE)
+            own.append(f"s{step}=" + (shape(bare) if near else "edge"))
+            own.append(f"n{step}=" + (name_shape(bare) if near else "edge"))
         word = near.lower().strip(".:,")
-        if abs(step) == 1 and word in WORDS:
+        if (abs(step) == 1 and word in WORDS) or word in ("at", "dot", "punkt"):
             own.append(f"w{step}=" + word)
     return own
 
@@ -261,35 +285,41 @@ def windows_of(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _spans(text: str, places: list[tuple[int, int]], tags: np.ndarray) -> list[Span]:
-    found: list[list[int]] = []
+    found: list[tuple[int, int, list[int]]] = []  # kind, start, ends of the tokens
     for (start, end), tag in zip(places, tags, strict=True):
         if tag:
             kind = (int(tag) - 1) // 2
             if TAGS[tag][0] == "B" or not found or found[-1][0] != kind:
-                found.append([kind, start, end])
+                found.append((kind, start, [end]))
             else:
-                found[-1][2] = end
+                found[-1][2].append(end)
     out = []
-    for kind, start, end in found:
-        while start < end and text[start] in _OPEN:
+    for kind, start, ends in found:
+        while start < ends[0] and text[start] in _OPEN:
             start += 1
-        while start < end and text[end - 1] in _CLOSE:
-            end -= 1
-        if start < end and (kind == 0 or re.search(r"[0-9]", text[start:end])):
-            if _plausible(kind, text[start:end]):
+        # Tokens at the end that the field tagged too many are given up.
+        for end in reversed(ends[-_LONGEST:]):
+            while start < end and text[end - 1] in _CLOSE:
+                end -= 1
+            if start < end and _plausible(kind, text[start:end]):
                 out.append((kind, start, end))
+                break
     return out
 
 
 def _plausible(kind: int, value: str) -> bool:
-    """What a tagged span must have to be kept (the exact check after the field)."""
-    if kind == 0:
-        return bool(re.search(r"@|[\[(](?:at|ät)[\])]", value, re.IGNORECASE)) and bool(
-            re.search(r"\.|[\[(](?:dot|punkt)[\])]", value, re.IGNORECASE)
-        )
-    if kind == 1:
-        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", value)) and valid(1, value)
-    return valid(kind, value) and not re.search(r"[^\W\d_]", value)
+    """What a tagged span must have to be kept (the exact check after the field): with the
+    signs of an address in any spelling, it is one; numbers have the length of their kind,
+    seven digits for a local phone, fifteen for a card of the kinds that start with 34 or 37."""
+    if kind <= 1:
+        plain = _DOT.sub(".", _AT.sub("@", value) if kind == 0 else value)
+        return bool((_WRITTEN_EMAIL, _WRITTEN_IP)[kind].fullmatch(plain)) and valid(kind, plain)
+    if re.search(r"[^\W\d_]", value):
+        return False
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    if kind == 2:
+        return valid(2, value) or (len(digits) == 15 and digits[:2] in ("34", "37") and luhn(digits))
+    return 7 <= len(digits) <= 15
 
 
 @dataclass(frozen=True)

@@ -86,4 +86,78 @@ el 12 de octubre de 1492
 100 km at 25 km/h take 4 hours
 sha 4 16 64 256 1024 4096
 at 10 dot 5 they left [at] once
+{email:anna at example dot org} is the address
+you can mail {email:peter.lang at firma dot com} any time
+escribe a {email:maria at correo dot es} por favor
+mail {email:meier at beispiel punkt de} bitte
+write to {email:rosa at example dot net} please
+contact {email:info at company dot org} for help
+send mail to {email:lee.wong at school dot edu} or call
+email {email:sam at mail dot example dot com} with questions
+her e-mail is {email:ruth @ example . org} now
+mail {email:office @ firm.example.com} first
+reach me: {email:kim[at]work(dot)org}, thanks
+contact {email:ola (at) nett (dot) no} or wait
+the host {ip:192.168.10[.]24} is down
+from {ip:10[.]0[.]0[.]7} came the scan
+login from {ip:203(.)0(.)113(.)77} refused
+client {ip:198[dot]51[dot]100[dot]4} asked again
+ping {ip:172 . 16 . 4 . 19} first
+server {ip:192 . 0 . 2 . 146} answered
+ip {ip:10 dot 20 dot 30 dot 40} was blocked
+address {ip:203 dot 0 dot 113 dot 9} on the list
+the host {ip:8[.]8[.]4[.]4} replied
+blocked {ip:185[.]220[.]101[.]3} and {ip:91[.]92[.]240[.]11} today
+card {card:4111/1111/1111/1111} was charged
+card {card:4012.8888.8888.1881} on file
+paid by {card:3782 822463 10005} yesterday
+amex {card:371449635398431} was used
+card number {card:4111  1111  1111  1111} again
+call {phone:+49 (0) 30 / 901820} now
+telefon {phone:030 / 901 820 44} werktags
+call {phone:+1/415/555/0134} after nine
+phone {phone:0049 30 901820} any time
+tel {phone:+33/1/23/45/67/89} le matin
+call {phone:555-0134} and ask
+ring {phone:555 0187} before six
+mobile {phone:0171/5550199} abends
+my number is {phone:(0) 20 7946 0958} and that is all
+number {phone:415/555/0134} in the book
+we met at ten dot and left
+look at the dot on page 12
+at 3 dot 5 we stop and look at example 4
+sections 4 . 2 . 1 and 5 . 3 were cut
+scores 3 . 5 and 4 . 5 in 2 tests
+values 12 / 30 / 45 were read at noon
+dates 12/05/2021 and 13/05/2021 differ
+about 415/555 of them passed
+chapter 10 verse 20 and 30 of 40
+ratio 3 / 4 and 901820 in all
+sum 1 000 000 or 2 500 000 in total
+the number 5550134 was drawn
+items 192, 168, 10 and 24 sold
+steps 1[.] 2[.] and 3[.] follow
+list 4[1] and 5[2] cite 6[3]
+mail {email:petra at kiosk dot net}, she knows
+contact {email:bo.lind at garden dot fr} soon
+her e-mail is {email:vera at studio dot io}. then we left
+mail {email:hugo @ shop . fr}, then wait
+contact {email:nina_b @ lab9 . org} soon
+write to {email:ines @ museum . es}. please do
+contact {email:ivo(at)radio.de} soon
+mail {email:mia99(at)print-house.com}, then wait
+her e-mail is {email:kai(at)forum.se}. ask there
+call {phone:089/1234567} at noon
+phone {phone:040/7654321}, then wait
+my number is {phone:069/2223344}. ask for him
+reach me at {phone:0221/445566} later
+case 017/2345678 was closed
+files 2021/04567 and 2022/12345 are lost
+they sat at noon and the dot on the map moved
+contact {email:max_m [at] web24 [dot] org} soon
+write to {email:eva7 [at] my-site [dot] net}, then wait
+mail {email:rita_b at web24 dot com} today
+her e-mail is {email:otto9 at my-site dot org}. ask there
+mail {email:ute_z(at)web24.org}, he knows
+contact {email:zoe @ web24 . net} today
 """.strip().splitlines()
