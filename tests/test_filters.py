@@ -246,3 +246,23 @@ def test_regions(spark):
     assert ids(lookups.within_regions(rows, boxes, "nobody")) == []
     pairs = {(r.viewer, r.id) for r in lookups.within_any_region(rows, boxes).collect()}
     assert pairs == {("small", 1), ("huge", 1), ("huge", 2), ("neg", 3)}
+
+
+def test_newest_of_a_crowded_place(spark, monkeypatch):
+    """Pairs follow cells and distinct boxes, not the rows and points that stand there."""
+    rows = [action(i, i % 50, 1, x=i % 5, y=None if i % 9 == 0 else 64 + i % 2, world="w" if i % 7 else "v") for i in range(600)]
+    points = [(i % 150, "w", i % 4, None if i % 50 == 0 else 64, 0) for i in range(300)]
+    made = []
+    monkeypatch.setattr(lookups, "facts_in_boxes", lambda *a, whole=lookups.facts_in_boxes: made.append(whole(*a)) or made[-1])
+    boxes = spark.createDataFrame(points, "point_id long, world_key string, x int, y int, z int")
+    got = lookups.near_points(actions(spark, *rows), boxes, at(60), 1, timedelta(seconds=45), 3)
+    expected = []
+    for point in sorted({p[0] for p in points}):
+        near = [
+            (r[1], r[0]) for p in points if p[0] == point for r in rows
+            if r[6] == "w" and r[1] >= 15 and abs(r[7] - p[2]) <= 1 and (p[3] is None or r[8] is not None and abs(r[8] - p[3]) <= 1)
+        ]
+        expected += [(point, id) for _, id in sorted(near, reverse=True)[:3]]
+    assert sorted((r.point_id, r.id) for r in got.collect()) == sorted(expected)
+    # 15 cells of 3 rows at most and 8 distinct boxes; there are 300 points and 360 rows.
+    assert made[0].count() <= 8 * 45
