@@ -11,6 +11,7 @@ from test_attribution import CAUSER, CELLED, fire_data, fire_fold
 from test_storage import events
 from tracewell.operators import attribution as att
 from tracewell.operators import gate as g
+from tracewell.plans import streams
 from tracewell.sources import facts
 from tracewell.streaming import carried, ingest, keyed, windows
 from tracewell.streaming.ingest import quarantine_replay
@@ -235,3 +236,25 @@ def test_state_ends_with_the_window(spark, tmp_path, kind):
     held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
     # A value and a timer for each key that is still held.
     assert max(held) <= 2 * 3 * 2 and held[-1] <= 4 and max(held) > 0, held
+
+
+def test_stretches_arrive_whole(spark, tmp_path, monkeypatch):
+    """A stretch of time is a micro-batch, of as many files as its rows call for."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    # Most of the time has few rows: stretches go by rows.
+    rows = actions(spark, *[action(i, i if i < 900 else i * 1000, 1) for i in range(1000)])
+    stream = streams._in_files(spark, rows, "stretches")
+    seen = []
+
+    def look(batch, number):
+        if not batch.isEmpty():
+            read = batch.select("id", F.input_file_name().alias("file")).collect()
+            seen.append((sorted(r.id for r in read), len({r.file for r in read})))
+
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path)).trigger(**ONCE).start().awaitTermination()
+    assert [i for batch, _ in seen for i in batch] == list(range(1000))
+    assert len(seen) == 4 and {files for _, files in seen} == {min(len(b) for b, _ in seen) // 40}
+    # No rows, rows without a time, and rows of one time.
+    for few in ([], [action(1, None, 1)], [action(i, 7, 1) for i in range(300)]):
+        stream = streams._in_files(spark, actions(spark, *few), "few")
+        assert collect(stream.select("id"), tmp_path, f"few_{len(few)}").count() == sum(r[1] is not None for r in few)

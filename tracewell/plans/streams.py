@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tracewell.operators.attribution import couple_entity_changes
-from tracewell.functions.timing import ts_lit
+from tracewell.functions.timing import micros, ts_lit
 from tracewell.operators.gate import GateConfig, Toggles
 from tracewell.plans.attribution import ALLOW as MOBS
 from tracewell.plans.binding import NOW, as_events, fact_stream, facts, oracle
@@ -19,7 +20,6 @@ from tracewell.sources import facts as store
 from tracewell.streaming import carried, ingest, keyed, windows
 
 ONCE = {"availableNow": True}
-START = datetime(2024, 1, 1)
 CELL = ["world_key", "x", "y", "z"]
 
 
@@ -48,8 +48,8 @@ def ingest_stream(spark, sf):
 
 @query("coalesce_stream", f"SELECT id FROM ({ORACLES['coalesce_entity_changes']})")
 def coalesce_stream(spark, sf):
-    """Four files, one per micro-batch, as in the other keyed streams: the state is
-    handed on, and ends by the time of the events."""
+    """Four stretches of time, one per micro-batch, as in the other keyed streams: the
+    state is handed on, and ends by the time of the events."""
     rows = _in_files(spark, facts(spark, sf), "coalesce-in").select("id", "ts", "type", "actor_uuid", "actor_name", *CELL)
     return finished(keyed.coalesce_stream(rows, timedelta(hours=72)), "coalesce").select("id")
 
@@ -130,20 +130,36 @@ def container_stream(spark, sf):
     return finished(moves, "containers").withColumn("closed", F.col("closed").cast("timestamp_ntz"))
 
 
+# Rows of a file that arrives.
+FILE_ROWS = 250_000
+
+
 def _in_files(spark, rows, name, parts=4, keep=()):
-    """The events in files that arrive one after the other, each a stretch of time; with
-    the columns ``keep`` besides those of an event."""
+    """The events as files that arrive one stretch of time after the other, each stretch
+    a micro-batch; with the columns ``keep`` besides those of an event.
+
+    Stretches hold about as many rows each, and all come as equally many files, by which
+    a trigger takes one of them: a stretch is written, read and stored by as many tasks as
+    it has files.
+    """
     folder = scratch_folder(spark, name)
-    edges = [START + (NOW - START) * i / parts for i in range(1, parts)]
-    for i in range(parts):
-        part = rows
-        if i:
-            part = part.filter(F.col("ts") >= ts_lit(edges[i - 1]))
-        if i < parts - 1:
-            part = part.filter(F.col("ts") < ts_lit(edges[i]))
-        as_events(part, keep).coalesce(1).write.parquet(f"{folder}/part={i}")
-    schema = spark.read.parquet(f"{folder}/part=0").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    # Derived once: every stretch reads what is stored here.
+    as_events(rows, keep).write.parquet(f"{folder}/all")
+    rows = spark.read.parquet(f"{folder}/all").filter(F.col("ts").isNotNull())
+    at = rows.select(micros(F.col("ts")).alias("at"))
+    edges = sorted({int(edge) for edge in at.approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)})
+    stretch = sum(((F.col("at") >= edge).cast("int") for edge in edges), F.lit(0))
+    counted = at.withColumn("stretch", stretch).groupBy("stretch").count()
+    sizes = [r["count"] for r in counted.collect()]
+    files = max(1, min(sizes) // FILE_ROWS) if len(sizes) > len(edges) else 1
+    edges = [None, *(datetime(1970, 1, 1) + timedelta(microseconds=edge) for edge in edges), None]
+    for i, (first, end) in enumerate(itertools.pairwise(edges)):
+        part = rows if first is None else rows.filter(F.col("ts") >= ts_lit(first))
+        if end is not None:
+            part = part.filter(F.col("ts") < ts_lit(end))
+        # Dealt out in turn, so no file stays empty and is left out.
+        part.repartition(files).write.parquet(f"{folder}/part={i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")
 
 
 def _cfg():
@@ -161,7 +177,7 @@ TOO_LONG = "a.id % 7 = 0 AND a.actor_uuid IS NOT NULL"
 SELECT gated.id, a.type, gated.target, CASE WHEN {TOO_LONG} THEN 'name' END AS refused
 FROM gated JOIN a ON a.id = gated.id WHERE gate_reason IS NULL"""))
 def ingest_files(spark, sf):
-    """Four files, one per micro-batch: coalescing goes across them; what is stored and
+    """Four stretches of time, one per micro-batch: coalescing goes across them; what is stored and
     what waits in the quarantine. No block rules: they would see the long names."""
     long = F.when((F.col("id") % 7 == 0) & F.col("actor_uuid").isNotNull(), F.lit(LONG_NAME))
     rows = facts(spark, sf)

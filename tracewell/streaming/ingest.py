@@ -110,6 +110,9 @@ def process_batch(
     if is_published(spark, root, commit):
         return
     earlier = _carried(spark, state, batch) if state and cfg.strict else None
+    # The gate takes changes and other rows apart: without this the batch is read, and the
+    # deduplication of the stream run, once for each.
+    events = events.persist()
     rows = chain(events, cfg, earlier=earlier, **chain_args).persist()
     try:
         # The one pass over the batch itself; all else reads what it left.
@@ -129,6 +132,7 @@ def process_batch(
             _store(rows, root, commit, bool(any_bad))
     finally:
         rows.unpersist()
+        events.unpersist()
 
 
 def _writer_of(spark: SparkSession, checkpoint: str) -> str:
