@@ -318,6 +318,41 @@ def test_seating_keeps_customers():
     assert rare.tables().sum() < seats.tables().sum() < common.tables().sum()
 
 
+def _one_by_one(customers, opening, discount, rng, sweeps):
+    """Mean number of tables when customers leave and come back one after the other."""
+    sizes, found = [customers], []
+    for sweep in range(sweeps):
+        for _ in range(customers):
+            at = rng.choices(range(len(sizes)), sizes)[0]
+            sizes[at] -= 1
+            sizes = [s for s in sizes if s]
+            at = rng.choices(range(len(sizes) + 1), [s - discount for s in sizes] + [opening])[0]
+            sizes = [s + (i == at) for i, s in enumerate(sizes)] + [1] * (at == len(sizes))
+        found.append(len(sizes))
+    return np.mean(found[sweeps // 10 :])
+
+
+@pytest.mark.parametrize(("customers", "opening"), [(5, 0.1), (30, 1.0), (60, 8.0)])
+def test_seating_is_that_of_a_sequential_sampler(customers, opening):
+    seats = hpylm.Seating(np.full(4000, customers), 0.6, np.random.default_rng(17))
+    seats.step(np.full(4000, opening))
+    expected = _one_by_one(customers, opening, 0.6, random.Random(18), 1500)
+    assert seats.tables().mean() == pytest.approx(expected, rel=0.05)
+
+
+@pytest.mark.parametrize("opening", [0.01, 1.0, 20.0, 200.0])
+def test_seating_of_many_customers(opening, monkeypatch):
+    """The first-order form against the exact distribution of the same number."""
+    seats = hpylm.Seating(np.full(2000, 1000), 0.6, np.random.default_rng(19))
+    seats.step(np.full(2000, opening))
+    exact = seats.tables().mean()
+    monkeypatch.setattr(hpylm, "EXACT", 500)
+    hpylm._ways.cache_clear()
+    seats.step(np.full(2000, opening))
+    hpylm._ways.cache_clear()
+    assert seats.tables().mean() == pytest.approx(exact, rel=0.05)
+
+
 def test_letters_are_a_distribution():
     words = [w.encode() for w in prose(random.Random(14), 300).split()]
     context, symbol, byte, _ = hpylm._laid_out(words)

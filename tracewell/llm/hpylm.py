@@ -11,6 +11,7 @@ samples.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -84,61 +85,88 @@ def _laid_out(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 # --- seating ------------------------------------------------------------------------
 
 
+# Customers up to which the number of tables of a dish is drawn from its exact distribution,
+# and cells of the weights that are looked at together.
+EXACT, CELLS = 1024, 1 << 19
+
+
+@functools.lru_cache(maxsize=8)
+def _ways(discount: float) -> np.ndarray:
+    """log of the generalised Stirling numbers: [c, t] weighs all ways to seat c customers
+    at t tables, for up to ``EXACT`` customers."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for c in range(1, EXACT):
+        some = t[:c]
+        out[c + 1, 1 : c + 1] = np.log(c - discount * some) + out[c, 1 : c + 1]
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c + 1, 1 : c + 2], out[c, : c + 1])
+    return out
+
+
 class Seating:
     """Tables of many dishes at once. A dish is a (restaurant, what is served) pair with
-    ``customers``; every step takes one random customer of each dish off its table and
-    seats it again."""
+    ``customers``. Which customer sits where is summed out: every step is a Gibbs step
+    that takes all customers of each dish off their tables and draws how many tables they
+    take when seated again."""
 
     def __init__(self, customers: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         self.customers, self.discount, self.rng = customers, discount, rng
         # About as many tables as a restaurant without a base would open.
-        tables = np.clip(np.rint(customers.astype(float) ** discount), 1, customers).astype(np.int64)
-        self.dish = np.repeat(np.arange(len(customers)), tables)
-        first = np.cumsum(tables) - tables
-        rank = np.arange(len(self.dish)) - first[self.dish]
-        self.size = customers[self.dish] // tables[self.dish] + (rank < customers[self.dish] % tables[self.dish])
+        self._tables = np.clip(np.rint(customers.astype(float) ** discount), 1, customers).astype(np.int64)
 
     def tables(self) -> np.ndarray:
-        return np.bincount(self.dish, minlength=len(self.customers))
+        return self._tables
+
+    @property
+    def dish(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.customers)), self._tables)
+
+    @property
+    def size(self) -> np.ndarray:
+        """Customers of each table, spread evenly: the sizes are summed out."""
+        dish, tables = self.dish, self._tables
+        rank = np.arange(len(dish)) - (np.cumsum(tables) - tables)[dish]
+        return self.customers[dish] // tables[dish] + (rank < self.customers[dish] % tables[dish])
+
+    def now(self, customers: np.ndarray) -> None:
+        """Other numbers of customers; tables stay as far as there are customers for them."""
+        self.customers, self._tables = customers, np.clip(self._tables, 1, customers)
+
+    def _drawn(self, weights: np.ndarray, each: np.ndarray) -> np.ndarray:
+        """For every row a number of tables t, with log weights ``weights[t] + t * each``."""
+        out = np.empty(len(each), np.int64)
+        t = np.arange(1, len(weights))
+        step = max(1, CELLS // len(t))
+        for at in range(0, len(each), step):
+            log = weights[1:] + t * each[at : at + step, None]
+            total = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
+            out[at : at + step] = 1 + (total[:, :-1] < self.rng.random(len(log))[:, None] * total[:, -1:]).sum(1)
+        return out
 
     def step(self, opening: np.ndarray) -> None:
         """``opening``: for each dish the weight of a new table, (strength + discount *
-        tables of the restaurant) * probability of the dish in the parent."""
-        movers = np.flatnonzero(self.customers > 1)
-        if not len(movers):
-            return
-        ends = np.cumsum(self.size)
-        first = np.cumsum(self.customers) - self.customers
-        pick = lambda who: np.searchsorted(
-            ends, first[who] + np.floor(self.rng.random(len(who)) * self.customers[who]), side="right"
-        )
-        left = pick(movers)
-        size = self.size.copy()
-        size[left] -= 1
-        open_ = np.bincount(self.dish[size > 0], minlength=len(self.customers))[movers]
-        stay = np.maximum(self.customers[movers] - 1 - self.discount * open_, 1e-12)
-        new = self.rng.random(len(movers)) * (opening[movers] + stay) < opening[movers]
-        new |= open_ == 0
-        # The others join a table by its size less the discount: draw by size, accept by
-        # the share that the discount leaves, and keep the old table after some refusals.
-        waiting = np.flatnonzero(~new)
-        to = left[waiting].copy()
-        undecided = np.arange(len(waiting))
-        for _ in range(8):
-            if not len(undecided):
-                break
-            tried = pick(movers[waiting[undecided]])
-            good = (size[tried] > 0) & (
-                self.rng.random(len(tried)) * self.size[tried] < size[tried] - self.discount
-            )
-            to[undecided[good]] = tried[good]
-            undecided = undecided[~good]
-        np.add.at(size, to, 1)
-        kept = size > 0
-        dish = np.concatenate([self.dish[kept], movers[new]])
-        size = np.concatenate([size[kept], np.ones(int(new.sum()), np.int64)])
-        order = np.argsort(dish, kind="stable")
-        self.dish, self.size = dish[order], size[order]
+        tables of the restaurant) * probability of the dish in the parent.
+
+        t tables weigh opening**t times the ways to seat the customers at t tables. Beyond
+        ``EXACT`` customers the first so many are drawn given that c come in all, and those
+        who follow open a Poisson number of tables: each opens one with opening / n and it
+        leaves less room for others, to first order in tables / customers.
+        """
+        c, d, ways, log = self.customers, self.discount, _ways(self.discount), np.log(opening)
+        order = np.argsort(c, kind="stable")
+        cuts = np.flatnonzero(np.diff(np.minimum(c[order], EXACT + 1))) + 1
+        for group in np.split(order, cuts):
+            if not len(group) or c[group[0]] < 2:
+                self._tables[group] = c[group]
+            elif c[group[0]] <= EXACT:
+                n = int(c[group[0]])
+                self._tables[group] = self._drawn(ways[n, : n + 1], log[group])
+            else:
+                share = (EXACT / c[group]) ** d
+                later = np.minimum(opening[group] / d * (1 - share), c[group] - EXACT)
+                first = self._drawn(ways[EXACT], log[group] + np.log(share))
+                self._tables[group] = np.minimum(first + self.rng.poisson(later), c[group])
 
 
 def discount_of(once: float, twice: float) -> float:
@@ -230,11 +258,8 @@ def spell(grams: np.ndarray, weights: np.ndarray, bytes_: np.ndarray, seed: int
             base = p[n - 1][up[n]] if n else np.full(len(codes[0]), 1 / a)
             seat.step((STRENGTH + seat.discount * t[inside]) * base)
             if n:
-                # The parent level gets its new customers; its seats are drawn anew where
-                # their number changed.
-                fresh = np.bincount(up[n], seat.tables(), len(codes[n - 1])).astype(np.int64)
-                if (fresh != seats[n - 1].customers).any():
-                    seats[n - 1] = Seating(fresh, seats[n - 1].discount, rng)
+                # The tables are the customers of the parent level, which is seated next.
+                seats[n - 1].now(np.bincount(up[n], seat.tables(), len(codes[n - 1])).astype(np.int64))
         if turn >= BURN_IN:
             rooms, rows = dense()
             total = rows if total is None else [x + y for x, y in zip(total, rows, strict=True)]
@@ -431,10 +456,9 @@ def _seated_pairs(pairs: DataFrame, known: DataFrame, discount: float, seed: int
             find = lambda words, name: facts.column(name).to_numpy()[order[np.searchsorted(h[order], words)]]
             opening = (STRENGTH + discount * find(left[seen], "inside")) * 10 ** np.maximum(find(right[seen], "p"), -300)
             seats = Seating(c[seen], discount, np.random.default_rng([seed, key[0].as_py()]))
-            for turn in range(BURN_IN + SAMPLES):
+            for _ in range(SAMPLES):  # the weights stay, so each is a draw of its own
                 seats.step(opening)
-                if turn >= BURN_IN:
-                    t[seen] += seats.tables() / SAMPLES
+                t[seen] += seats.tables() / SAMPLES
         words, inside, serving = _per_word(left[seen], right[seen], t[seen])
         n, m = rows.num_rows, len(words)
         offsets = rows.column("train").combine_chunks().offsets
@@ -503,10 +527,9 @@ def _seated(words: DataFrame, letters: Letters, discount: float, tables: float,
             t = np.zeros(len(c))
             seats = Seating(c[seated], discount, rng)
             opening = (STRENGTH + discount * tables) * 10 ** np.maximum(base[seated], -300)
-            for turn in range(BURN_IN + SAMPLES):
+            for _ in range(SAMPLES):  # the weights stay, so each is a draw of its own
                 seats.step(opening)
-                if turn >= BURN_IN:
-                    t[seated] += seats.tables() / SAMPLES
+                t[seated] += seats.tables() / SAMPLES
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(t), pa.array(base)], names=["h", "k", "t", "base"]
             )
