@@ -8,6 +8,7 @@ from tracewell.functions.predicates import ActionFilter
 from tracewell.operators import ledger as led
 from tracewell.operators import rollback as rb
 from tracewell.operators.explosions import merge_sidecar, explode_affected
+from tracewell.plans import registry
 from tracewell.schema import ACTION_TYPES, ROLLBACKABLE
 
 SINCE = ActionFilter(since=START)
@@ -185,6 +186,19 @@ def test_limits_count_without_sorting(spark):
             rb.check_limits(rows, wanted, *caps)
 
 
+def test_rows_in_the_wanted_state_count_towards_no_limit(spark, monkeypatch):
+    """A rollback scans rows that are not rolled back; so does the registered query."""
+    rows = actions(spark, *(action(i, i, 1, x=i, rolled_back=i % 2) for i in range(10)))
+    flt = ActionFilter(since=START)
+    assert sorted(ids(rb.scanned_rows(rows, flt, rb.ROLLBACK))) == [0, 2, 4, 6, 8]
+    assert sorted(ids(rb.scanned_rows(rows, flt, rb.RESTORE))) == [1, 3, 5, 7, 9]
+    counted = []
+    monkeypatch.setattr(rb, "check_limits", lambda scanned, *_: counted.append({r[0] for r in scanned.select("rolled_back").distinct().collect()}))
+    registry.load_all()
+    registry.QUERIES["scoped_rollback"](spark, "/root/testdata/sf0.001")
+    assert counted == [{0}]
+
+
 def test_rows_without_a_contest_are_not_shuffled(spark):
     rows = actions(spark, action(1, 0, 1), action(2, 1, 2), action(3, 2, 3), action(3, 2, 3), action(4, 3, None))
     kept = rb.newest_per_position(rows)
