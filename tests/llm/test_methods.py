@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from tables import prose
 
@@ -30,6 +31,40 @@ def test_links_of_dense_fingerprints(spark, block, rows):
     assert {p: found.get(p, p) for p in prints} == want
 
 
+def test_small_buckets_are_compared_together(monkeypatch):
+    """Buckets of a few rows, homes before probes, cut anywhere into batches: the groups of all
+    pairs, and no work bucket by bucket."""
+    calls, forest = [], simhash._forest
+    monkeypatch.setattr(simhash, "_forest", lambda *a: calls.append(1) or forest(*a))
+    rng = np.random.default_rng(3)
+    near = lambda x: x ^ int(1 << rng.integers(0, 30)) ^ int(1 << rng.integers(0, 30))
+    rows = []
+    for bucket in range(3000):
+        prints = [int(rng.integers(0, 2**62))]
+        for _ in range(int(rng.integers(0, 9))):
+            prints.append(near(prints[-1]) if rng.random() < 0.6 else int(rng.integers(0, 2**62)))
+        rows += [(bucket, 0, bool(rng.random() < 0.3), p) for p in prints]
+    rows.sort(key=lambda r: r[:3])
+    batch = pa.RecordBatch.from_pylist([dict(zip(("bucket", "block", "probe", "fp"), r, strict=True)) for r in rows])
+    batches = (batch.slice(at, 4000) for at in range(0, len(rows), 4000))
+    edges = [e for found in simhash._links(4)(batches) for e in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    pairs = [
+        (a[3], b[3]) for k, a in enumerate(rows) for b in rows[k + 1 : k + 16]
+        if a[0] == b[0] and not (a[2] and b[2]) and (a[3] ^ b[3]).bit_count() <= 4 and a[3] != b[3]
+    ]
+
+    def roots(links):
+        up = {r[3]: r[3] for r in rows}
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in links:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        return {x: find(x) for x in up}
+
+    assert roots(edges) == roots(pairs) and len(pairs) > 3000
+    assert len(edges) < len(pairs) and len(calls) < 20
+
+
 def test_groups_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)]
     found = {r.node: r.root for r in connected_groups(spark.createDataFrame(pairs, "a long, b long")).collect()}
