@@ -339,6 +339,23 @@ def test_words_encode_as_the_tokenizer_does():
         assert got == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_frequent_words_stay_known(monkeypatch):
+    """A word that comes again and again is cut once, however many others come between."""
+    import public_tokenizers
+
+    asked, piece = [], packing.Encoder._piece
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing.Encoder, "_piece", lambda self, p: asked.append(p) or piece(self, p))
+    mine = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    letters = "abcdefghij"
+    texts = [f"often x{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]}, often" for k in range(400)]
+    found = mine.encode(texts)
+    assert asked.count("often") == 1 and asked.count(",") == 1
+    assert len(mine.known) <= 50 and len(mine.pieces) <= 50
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_seating_keeps_customers():
     rng = np.random.default_rng(13)
     customers = rng.integers(1, 60, 200)

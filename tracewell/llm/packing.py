@@ -10,6 +10,8 @@ them, and best-fits what was displaced. Elites move on to the next island.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable
@@ -28,13 +30,15 @@ LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
 # Documents of a shard: what one task packs at a time.
 SHARD = 4096
-# Words whose ids a worker remembers before it starts anew.
+# Words, and pieces of words, whose ids a worker remembers before it starts anew.
 REMEMBERED = 300_000
 
 
 # How the tokenizer file cuts a lower-case word, and the signs that stand
 # for bytes in its vocabulary (those without a sign of their own come after 255).
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The same for words of printable ASCII signs.
+_CUT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _SIGNS = {**{b: chr(b) for b in _SHOWN}, **{b: chr(256 + n) for n, b in enumerate(_HIDDEN)}}
@@ -44,6 +48,28 @@ _BYTES = [_SIGNS[b] for b in range(256)]
 _COMMON = regex.compile(r"[!-~\u00c0-\u024f]+")
 
 
+def _ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Known(dict):
+    """What ``make`` gives for a word, remembered: at most ``REMEMBERED`` words, and those of the
+    generation before, from which words asked for again are taken over."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so
     ids are looked up word by word, and those of new words piece by piece: the
@@ -54,47 +80,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known, self.pieces = _Known(self._word), _Known(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         signs = piece if piece.isascii() else "".join([_BYTES[b] for b in piece.encode()])
-        found = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
-        self.pieces[piece] = found
-        return found
+        return _ids([t.id for t in self.tokenize(signs)])
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word or not _COMMON.fullmatch(word):
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-            word = "".join([c.lower() for c in word])
+        if word.isascii():
+            if word.isalpha():
+                return self.pieces[word.lower()]
+            plain = word.isprintable() and "<|" not in word
         else:
-            word = word.lower()
-        pieces = self.pieces
-        return b"".join([pieces.get(p) or self._piece(p) for p in _CUT.findall(word)])
+            plain = "<|" not in word and _COMMON.fullmatch(word)
+        if not word:
+            return b""
+        if not plain:
+            return _ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if not word.isascii():
+            word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+            return b"".join([self.pieces[p] for p in _CUT.findall(word)])
+        return b"".join([self.pieces[p] for p in _CUT_ASCII.findall(word.lower())])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit numbers."""
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            known = self.known
-            try:
-                out.append(b"".join([known[w] for w in words]))
-                continue
-            except KeyError:
-                if len(known) > REMEMBERED:
-                    self.known = known = {"": b""}
-                if len(self.pieces) > REMEMBERED:
-                    self.pieces.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-            out.append(b"".join([known[w] for w in words]))
-        return out
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, text.replace("\n", " ").replace("\t", " ").split(" "))) for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
