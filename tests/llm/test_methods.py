@@ -339,6 +339,22 @@ def test_words_encode_as_the_tokenizer_does():
         assert got == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_known_take_little_memory():
+    """Words of one piece are remembered once, and in bounded space."""
+    import sys
+
+    import public_tokenizers
+
+    mine = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    mine._piece = lambda piece: packing._ids([len(piece)] * 3)
+    letters = [chr(97 + k) for k in range(26)]
+    words = ["".join(letters[k // 26**n % 26] for n in range(4)) for k in range(350_000)]
+    for at in range(0, len(words), 10_000):
+        mine.encode([" ".join(words[at : at + 10_000])])
+    held = [d for known in (mine.known, mine.pieces) for d in (known, known.before)]
+    assert sum(sys.getsizeof(d) + sum(sys.getsizeof(w) + sys.getsizeof(i) for w, i in d.items()) for d in held) < 60e6
+
+
 def test_frequent_words_stay_known(monkeypatch):
     """A word that comes again and again is cut once, however many others come between."""
     import public_tokenizers

@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Callable
 
@@ -30,8 +29,9 @@ LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
 # Documents of a shard: what one task packs at a time.
 SHARD = 4096
-# Words, and pieces of words, whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+# Words, and pieces of words, whose ids a worker remembers before it starts anew. Each takes
+# some 200 bytes, in two generations, and an executor has a worker for each of its cores.
+REMEMBERED = 120_000
 
 
 # How the tokenizer file cuts a lower-case word, and the signs that stand
@@ -42,7 +42,7 @@ _CUT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _SIGNS = {**{b: chr(b) for b in _SHOWN}, **{b: chr(256 + n) for n, b in enumerate(_HIDDEN)}}
-_BYTES = [_SIGNS[b] for b in range(256)]
+_BYTES = dict(_SIGNS)
 # Words of these characters are cut here; others, and those that may hold the name of a
 # special token, go through the whole tokenizer.
 _COMMON = regex.compile(r"[!-~\u00c0-\u024f]+")
@@ -60,12 +60,13 @@ class _Known(dict):
         self.make, self.before = make, {}
 
     def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.make(word)  # may ask for, and remember, parts of the word
         if len(self) >= REMEMBERED:
+            self.before = {}  # before the copy: three generations are never held
             self.before = dict(self)
             self.clear()
-        found = self.before.get(word)
-        if found is None:
-            found = self.make(word)
         self[word] = found
         return found
 
@@ -84,13 +85,17 @@ class Encoder:
         self.known, self.pieces = _Known(self._word), _Known(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        signs = piece if piece.isascii() else "".join([_BYTES[b] for b in piece.encode()])
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
         return _ids([t.id for t in self.tokenize(signs)])
 
+    def _known_piece(self, piece: str) -> bytes:
+        return self.known[piece] if piece.isascii() and piece.isalpha() else self.pieces[piece]
+
     def _word(self, word: str) -> bytes:
         if word.isascii():
             if word.isalpha():
-                return self.pieces[word.lower()]
+                # A lower-case word is a piece itself, and remembered once.
+                return self._piece(word) if word.islower() else self.known[word.lower()]
             plain = word.isprintable() and "<|" not in word
         else:
             plain = "<|" not in word and _COMMON.fullmatch(word)
@@ -99,9 +104,10 @@ class Encoder:
         if not plain:
             return _ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if not word.isascii():
-            word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
-            return b"".join([self.pieces[p] for p in _CUT.findall(word)])
-        return b"".join([self.pieces[p] for p in _CUT_ASCII.findall(word.lower())])
+            # Common signs are composed already, and lower-cased one by one in any word.
+            word = word.lower()
+            return self._piece(word) if word.isalpha() else b"".join([self._known_piece(p) for p in _CUT.findall(word)])
+        return b"".join([self._known_piece(p) for p in _CUT_ASCII.findall(word.lower())])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit numbers."""
