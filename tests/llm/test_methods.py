@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from tables import prose
 
+from tracewell import session
 from tracewell.llm import hpylm, jaccard, lines, mixing, negatives, packing, pii, quality, rules, search, simhash, toxicity
 from tracewell.llm.common import connected_groups, running_total
 
@@ -238,6 +239,37 @@ def test_edit_distance():
         assert lines.edit_distance(a, b, most) == min(brute.levenshtein(a, b), most + 1)
 
 
+def test_lines_are_similar_without_all_their_distances(monkeypatch):
+    """Decided as by the edit distance, but most lines with words changed, put in or taken
+    out need none."""
+    asked, distance = [], lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda *a: asked.append(1) or distance(*a))
+    rng, alike = random.Random(13), 0
+    for _ in range(300):
+        a = prose(rng, 50).split()
+        b = list(a)
+        for _ in range(rng.randrange(1, 12)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = ["zz"] * rng.randrange(2)
+        a, b = " ".join(a), " ".join(b)
+        within = distance(a, b, 1000) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+        assert lines._changed(a, b, 1000) >= distance(a, b, 1000) and lines.similar(a, b, 0.8) == within
+        alike += within
+    assert alike > 100 and len(asked) < alike / 2
+
+
+def test_line_dedup_frees_its_shuffles(spark):
+    """Jobs of many steps leave no shuffle files behind, and the session as it was."""
+    sent = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle_" in f for f in sent.getAllFiles().mkString(" ").split())
+    rng = random.Random(14)
+    docs = [(i, prose(rng, 30) + "\n" + prose(random.Random(i % 5), 30)) for i in range(40)]
+    setting, before = spark.conf.get(session._FREED, "false"), shuffles()
+    lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert spark.conf.get(session._FREED, "false") == setting
+    assert shuffles() <= before
+
+
 def test_fuzzy_lines_form_groups(spark):
     rng = random.Random(10)
     base = [" ".join(prose(rng, 60).split()) for _ in range(12)]
