@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from tracewell.llm.common import bound_batches, documents, remainder, text_of
 from tracewell.llm.registry import query
-from tracewell.session import checkpointed, scratch_folder
+from tracewell.session import checkpointed, scratch_folder, shuffles_freed
 
 # Documents and bytes of a chunk: what one group of the scoring step holds.
 CHUNK_ROWS, CHUNK_BYTES = 8192, 32 << 20
@@ -567,6 +567,11 @@ def score(docs: DataFrame, held_out: Column | None = None, seed: int = 42) -> Da
     row or item per chunk. Pairs meet in buckets by hash, whose number follows the text;
     the answers go back to the chunks.
     """
+    with shuffles_freed(docs.sparkSession):
+        return _scored(docs, held_out, seed)
+
+
+def _scored(docs: DataFrame, held_out: Column | None, seed: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     held_out = F.lit(False) if held_out is None else held_out
