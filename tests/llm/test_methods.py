@@ -270,6 +270,15 @@ def test_line_dedup_frees_its_shuffles(spark):
     assert shuffles() <= before
 
 
+def test_language_model_frees_its_shuffles(spark):
+    sent = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle_" in f for f in sent.getAllFiles().mkString(" ").split())
+    rng = random.Random(15)
+    before = shuffles()
+    hpylm.score(spark.createDataFrame([(i, prose(rng, 20)) for i in range(20)], "doc_id long, text string"))
+    assert shuffles() <= before
+
+
 def test_fuzzy_lines_form_groups(spark):
     rng = random.Random(10)
     base = [" ".join(prose(rng, 60).split()) for _ in range(12)]
