@@ -1,6 +1,9 @@
 """The methods themselves, on made-up small inputs."""
 
+import itertools
+import os
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -279,6 +282,54 @@ def test_language_model_frees_its_shuffles(spark):
     assert shuffles() <= before
 
 
+def test_language_model_keeps_few_bytes_a_pair(spark):
+    """Pairs of words are kept and moved packed, and tables of a step go with it."""
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rng = np.random.default_rng(21)
+    words = [f"w{k:05d}" for k in range(20000)]
+    docs = [(i, " ".join(words[k] for k in rng.integers(0, 20000, 500))) for i in range(400)]
+    hpylm.score(spark.createDataFrame(docs, "doc_id long, text string"))
+    mine = [n for n in os.listdir(folder) if n.startswith("hpylm-") and n not in before]
+    assert len(mine) == 1
+    files = [os.path.join(d, f) for d, _, names in os.walk(os.path.join(folder, mine[0])) for f in names]
+    # 200,000 pairs, nearly all different ones; two hashes of a pair alone would be 16 bytes.
+    assert sum(map(os.path.getsize, files)) < 16 * 200_000
+
+
+def test_pairs_of_words_are_counted_whole(spark):
+    """Packed pairs, by bucket and with ids of their words, are those of the texts."""
+    rng = random.Random(22)
+    texts = [" ".join(rng.choices(["a", "B", "\u00c4b", "c,", "\u4e2d"], k=rng.randrange(40))) for _ in range(700)] + ["", " \t x\u00a0y \n", "\x1fz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(3)
+    from tracewell.llm.common import remainder
+
+    chunks = hpylm._chunks(docs, remainder("doc_id", 7) == 2, 5).persist()
+    words = hpylm._numbered(chunks.filter("kind = 'words'")).persist()
+    rows = hpylm._with_ids(chunks.filter("kind = 'pairs'"), hpylm._answers(words, {"id": hpylm._packed_rising})).toArrow()
+    word_of = {r.id: bytes(r.word) for r in words.collect()}
+    held = {r.doc_id for r in docs.filter(remainder("doc_id", 7) == 2).collect()}
+    expected, total = Counter(), Counter()
+    for i, text in enumerate(texts):
+        mine = [hpylm.END, *text.encode().lower().split(), hpylm.END]
+        expected.update({p: int(i not in held) * n for p, n in Counter(itertools.pairwise(mine)).items()})
+        total.update((mine[1:]) * (i not in held))
+    left, right, c, where = hpylm._merged(rows)
+    found = {(word_of[a], word_of[b]): n for a, b, n in zip(left.tolist(), right.tolist(), c.tolist(), strict=True)}
+    assert found == expected and len(found) == len(left)
+    assert [len(w) for w in where] == [len(hpylm._unpacked(x)) for x in rows.column("counts").to_pylist()]
+    assert {bytes(r.word): r.c for r in words.collect() if r.c} == total
+    chunks.unpersist(), words.unpersist()
+
+
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [3, 1 << 62, 0, 255, 256], list(range(1000))])
+def test_packed_numbers(values):
+    values = np.array(values, np.int64)
+    assert hpylm._unpacked(hpylm._packed(values)).tolist() == values.tolist()
+    for rising in (np.sort(values) - (1 << 40), values):  # also where one falls
+        assert hpylm._unpacked_rising(hpylm._packed_rising(rising)).tolist() == rising.tolist()
+
+
 def test_fuzzy_lines_form_groups(spark):
     rng = random.Random(10)
     base = [" ".join(prose(rng, 60).split()) for _ in range(12)]

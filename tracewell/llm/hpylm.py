@@ -14,26 +14,30 @@ from __future__ import annotations
 import functools
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tracewell.llm.common import bound_batches, documents, remainder, text_of
 from tracewell.llm.registry import query
-from tracewell.session import checkpointed, scratch_folder, shuffles_freed
+from tracewell.session import scratch_folder, shuffles_freed
+from tracewell.sources.folders import drop
 
 # Documents and bytes of a chunk: what one group of the scoring step holds.
-CHUNK_ROWS, CHUNK_BYTES = 8192, 32 << 20
+CHUNK_ROWS, CHUNK_BYTES = 8192, 24 << 20
 # Characters of text whose word pairs make a bucket: what one group of the seating holds.
-BUCKET_CHARS = 8 << 20
+BUCKET_CHARS = 16 << 20
+# Documents whose word pairs are packed together, and answers that are.
+BLOCK, ANSWERS = 512, 1 << 20
 # Stands before and after a text; no word has a space.
 END = b" "
 # Strength of all restaurants; discounts are estimated from counts of counts.
@@ -286,87 +290,178 @@ def uniform_letters() -> Letters:
 # --- counting ---------------------------------------------------------------------------
 
 _CHUNKS = (
-    "chunk int, doc_id {id}, held_out boolean, n_words long, at array<int>, times array<int>, "
-    "first int, words array<binary>, train array<int>, "
-    "bucket int, left array<int>, right array<int>, left_hash array<long>, right_hash array<long>"
+    "kind string, chunk int, doc_ids array<{id}>, held_out array<boolean>, train_docs int, n_words binary, at binary, times binary, "
+    "first int, range int, words array<binary>, train array<int>, bucket int, numbers binary, pairs binary, counts binary"
 )
 _WORDS_PER_ROW = 1 << 16
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers by byte, the low ones of all first, compressed: high bytes are mostly 0."""
+    values = np.ascontiguousarray(values, np.int64).view(np.uint64)
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(values).to_bytes(4, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n, width = int.from_bytes(packed[:4], "little"), packed[4]
+    out = np.zeros((n, 8), np.uint8)
+    planes = pa.decompress(packed[5:], n * width, codec="zstd", asbytes=True)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(np.int64)
+
+
+def _packed_rising(values: np.ndarray) -> bytes:
+    """For ``values`` that hardly ever fall: only what each adds is packed."""
+    return _packed(np.diff(values, prepend=np.int64(0)))
+
+
+def _unpacked_rising(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(packed))
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     """As Spark's xxhash64."""
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
+def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many equal ranges of the hashes, in their order."""
+    return ((((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    there = pc.not_equal(words, "")  # white space at an end of a text leaves an empty one
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    return words.filter(there).cast(pa.binary()), np.bincount(owner[there.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """(id, word, c, keys) of the distinct ones of ``words`` (chunk, first, range, words, train).
+    Ids follow the order of the hashes, as the numbers of a chunk do, and are dense within a range."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lists = rows.column("words").combine_chunks()
+        found = lists.flatten().dictionary_encode()
+        every, of_word = found.dictionary, found.indices.to_numpy()
+        by_hash = np.argsort(_hashes(every.to_pylist()), kind="stable")
+        rank = np.empty(len(every), np.int64)
+        rank[by_hash] = np.arange(len(every))
+        of_word = rank[of_word]
+        sizes = np.diff(lists.offsets.to_numpy())
+        start = (rows.column("chunk").to_numpy().astype(np.int64) << 32) + rows.column("first").to_numpy()
+        keys = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(of_word))
+        times = np.bincount(of_word, minlength=len(every))
+        counts = np.bincount(of_word, rows.column("train").combine_chunks().flatten().to_numpy(), len(every))
+        return pa.table({
+            "id": (key[0].as_py() << 40) + np.arange(len(every)), "word": every.take(pa.array(by_hash)), "c": counts.astype(np.int64),
+            "keys": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)).astype(np.int32)), pa.array(keys[np.argsort(of_word, kind="stable")])),
+        })
+
+    return words.groupBy("range").applyInArrow(run, "id long, word binary, c long, keys array<long>")
+
+
 def _buckets(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
     mixed = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _chunks(docs: DataFrame, held_out: Column, buckets: int) -> DataFrame:
-    """Documents as numbers of word pairs of their chunk (at, times), the words of each
-    chunk, and its pairs by bucket (left and right are numbers of words); words and pairs
-    with how often training documents of the chunk have them (train)."""
-    schema = _CHUNKS.format(id=dict(docs.dtypes)["doc_id"])
-    id_type = docs.select("doc_id").schema[0].dataType
-
-    def chunk_rows(number: int, ids: list, held: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        vocabulary: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        vocabulary[END]
-        parts, sizes = [], []
-        for text in texts:
-            words = text.encode("utf-8", "replace").lower().split()
-            parts += [np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
-            sizes.append(len(words))
-        right = np.concatenate(parts)
-        # What stands before a text is what stands after the one before it: the end.
-        left = np.concatenate([np.zeros(1, np.int32), right[:-1]])
-        owner = np.repeat(np.arange(len(texts)), np.array(sizes) + 1)
+    """By ``kind``: documents as numbers of word pairs of their chunk (at, times), the words of
+    each chunk, and its pairs by bucket; words and pairs with how often training documents of
+    the chunk have them (train, counts).
+
+    Words are numbered in the order of their hashes, and a row has those of a range of these.
+    A row of pairs has the numbers of its distinct words once; a pair is the place of its left
+    word among these, times how many there are, plus that of the right one. A document's pair
+    is its number among the pairs of the chunk, plus their number times the document's place
+    in its row.
+    """
+    schema = StructType.fromDDL(_CHUNKS.format(id=dict(docs.dtypes)["doc_id"]))
+    kinds = to_arrow_schema(schema)
+
+    def batch(kind: str, **columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns["chunk"])
+        columns["kind"] = pa.array([kind] * n)
+        return pa.RecordBatch.from_arrays(
+            [columns[k.name].cast(k.type) if k.name in columns else pa.nulls(n, k.type) for k in kinds], names=kinds.names
+        )
+
+    def chunk_rows(number: int, ids: list, held: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        parts = [_split(part) for part in texts]
+        sizes = np.concatenate([n for _, n in parts])
+        found = pa.concat_arrays([words for words, _ in parts]).dictionary_encode()
+        every = [END, *found.dictionary.to_pylist()]
+        tokens = np.zeros(sizes.sum() + len(sizes), np.int32)
+        inside = np.ones(len(tokens), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        tokens[inside] = found.indices.to_numpy() + 1
+        del parts, found, inside
+        hashes = _hashes(every)
+        by_hash = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(every), np.int32)
+        rank[by_hash] = np.arange(len(every))
+        every, hashes = [every[i] for i in by_hash], hashes[by_hash]
+        right = rank[tokens]
+        del tokens
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
         train = ~np.array(held, bool)[owner]
-        every = list(vocabulary)
         counts = np.bincount(right[train], minlength=len(every))
-        codes, of_pair = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
-        pair_counts = np.bincount(of_pair[train], minlength=len(codes))
+        # What stands before a text is what stands after the one before it: the end.
+        codes = right.astype(np.int64)
+        codes[1:] |= codes[:-1] << 32
+        codes[0] |= int(rank[0]) << 32
+        del right
+        # By sorting once: np.unique keeps several copies more.
+        order = np.argsort(codes)
+        codes = codes[order]
+        new = np.append(True, codes[1:] != codes[:-1])
+        codes = codes[new]
+        of_pair = np.empty(len(order), np.int32)
+        of_pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
+        pair_counts = np.bincount(of_pair[train], minlength=len(codes)).astype(np.int32)
         left, right = (codes >> 32).astype(np.int32), (codes & 0xFFFFFFFF).astype(np.int32)
-        hashes = _hashes(every)
-        bucket = _buckets(hashes[left], hashes[right], buckets)
+        some = (slice(at, at + CELLS) for at in range(0, len(codes), CELLS))
+        bucket = np.concatenate([_buckets(hashes[left[x]], hashes[right[x]], buckets) for x in some])
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         left, right, pair_counts, bucket = left[order], right[order], pair_counts[order], bucket[order]
-        used, times = np.unique(owner << 32 | place[of_pair], return_counts=True)
-        offsets = pa.array(np.searchsorted(used >> 32, np.arange(len(texts) + 1)).astype(np.int32))
-        n = len(ids)
-        none = lambda kind, size: pa.nulls(size, kind)
-        lists, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-        no_pairs = lambda size: [none(pa.int32(), size), none(lists, size), none(lists, size), none(longs, size), none(longs, size)]
-        no_document = [none(id_kind, 1), none(pa.bool_(), 1), none(pa.int64(), 1), none(lists, 1), none(lists, 1)]
-        columns = [
-            pa.array([number] * n, pa.int32()), pa.array(ids, id_kind), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array((used & 0xFFFFFFFF).astype(np.int32))),
-            pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-            none(pa.int32(), n), none(pa.list_(pa.binary()), n), none(lists, n), *no_pairs(n),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-        for first in range(0, len(every), _WORDS_PER_ROW):
-            part = slice(first, first + _WORDS_PER_ROW)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int32()), *no_document, pa.array([first], pa.int32()),
-                pa.array([every[part]], pa.list_(pa.binary())), pa.array([counts[part].astype(np.int32)], lists), *no_pairs(1),
-            ], names=names)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        starts = np.concatenate([[0], cuts])
-        for at in range(0, len(starts), 64):
-            some = np.append(starts, len(bucket))[at : at + 65]
-            m, whole = len(some) - 1, slice(int(some[0]), int(some[-1]))
-            ends = pa.array((some - some[0]).astype(np.int32))
-            listed = lambda values: pa.ListArray.from_arrays(ends, pa.array(values))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number] * m, pa.int32()), none(id_kind, m), none(pa.bool_(), m), none(pa.int64(), m), none(lists, m), none(lists, m),
-                pa.array(some[:-1].astype(np.int32)), none(pa.list_(pa.binary()), m), listed(pair_counts[whole].astype(np.int32)),
-                pa.array(bucket[some[:-1]].astype(np.int32)), listed(left[whole]), listed(right[whole]),
-                listed(hashes[left[whole]]), listed(hashes[right[whole]]),
-            ], names=names)
+        placed = place[of_pair]
+        ends = np.append(0, np.cumsum(sizes + 1))
+        del codes, of_pair, order, place, train
+        for first in range(0, len(sizes), BLOCK):
+            some = slice(first, first + BLOCK)
+            mine = slice(ends[first], ends[min(first + BLOCK, len(sizes))])
+            used, times = np.unique((owner[mine] - first).astype(np.int64) * len(left) + placed[mine], return_counts=True)
+            yield batch(
+                "documents", chunk=pa.array([number]), doc_ids=pa.array([ids[some]], pa.list_(id_kind)), held_out=pa.array([held[some]]),
+                train_docs=pa.array([held[some].count(False)]), n_words=pa.array([_packed(sizes[some])]),
+                at=pa.array([_packed_rising(used)]), times=pa.array([_packed(times - 1)]),
+            )
+        of_range = _ranges(hashes, buckets)
+        cuts = np.union1d(np.arange(0, len(every), _WORDS_PER_ROW), np.flatnonzero(np.diff(of_range)) + 1)
+        for first, end in itertools.pairwise([*cuts.tolist(), len(every)]):
+            yield batch(
+                "words", chunk=pa.array([number]), first=pa.array([first]), range=pa.array([int(of_range[first])]),
+                words=pa.array([every[first:end]], pa.list_(pa.binary())), train=pa.array([counts[first:end].astype(np.int32)], pa.list_(pa.int32())),
+            )
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        for at in range(0, len(starts) - 1, 64):
+            rows = defaultdict(list)
+            for a, b in itertools.pairwise(starts[at : at + 65].tolist()):
+                numbers, which = np.unique(np.concatenate([left[a:b], right[a:b]]), return_inverse=True)
+                for name, value in (
+                    ("chunk", number), ("first", a), ("bucket", int(bucket[a])), ("numbers", _packed_rising(numbers)),
+                    ("pairs", _packed_rising(which[: b - a] * len(numbers) + which[b - a :])), ("counts", _packed(pair_counts[a:b])),
+                ):
+                    rows[name].append(value)
+            yield batch("pairs", **{name: pa.array(values) for name, values in rows.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 12
@@ -376,107 +471,165 @@ def _chunks(docs: DataFrame, held_out: Column, buckets: int) -> DataFrame:
                 part = batch.slice(start, 512)
                 ids += part.column(0).to_pylist()
                 held += part.column(1).to_pylist()
-                new = part.column(2).to_pylist()
-                texts += new
-                held_bytes += sum(map(len, new))
-                if len(texts) >= CHUNK_ROWS or held_bytes >= CHUNK_BYTES:
+                texts.append(part.column(2))
+                held_bytes += part.column(2).nbytes
+                if len(ids) >= CHUNK_ROWS or held_bytes >= CHUNK_BYTES:
                     yield from chunk_rows(number, ids, held, texts)
                     number += 1
                     ids, held, texts, held_bytes = [], [], [], 0
         if texts:
             yield from chunk_rows(number, ids, held, texts)
 
-    id_kind = to_arrow_type(id_type)
-    names = StructType.fromDDL(schema).names
+    id_kind = kinds.field("doc_ids").type.value_type
     return docs.select("doc_id", held_out.alias("held"), text_of().alias("text")).mapInArrow(run, schema)
 
 
 # --- the restaurants of contexts ----------------------------------------------------------
 
 
-def _flat(rows: pa.Table, name: str) -> np.ndarray:
-    return rows.column(name).combine_chunks().flatten().to_numpy()
+def _listed(rows: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(rows.column(name).to_pylist() for name in names), strict=True)
+
+
+def _pairs(packed: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The left and the right ones of ``words`` of the pairs of a row."""
+    left, right = np.divmod(_unpacked_rising(packed), len(words))
+    return words[left], words[right]
 
 
-def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, customers) of the distinct pairs of a bucket, and for each pair of its
-    rows where it is among them."""
-    left, right, train = _flat(rows, "left_hash"), _flat(rows, "right_hash"), _flat(rows, "train")
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(left, right, customers) of the distinct pairs of a bucket, and for the pairs of each
+    of its rows where they are among them."""
+    found = [(*_pairs(pairs, _unpacked_rising(ids)), _unpacked(counts)) for ids, pairs, counts in _listed(rows, "ids", "pairs", "counts")]
+    left, right, train = map(np.concatenate, zip(*found, strict=True))
     order = np.lexsort((right, left))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
     where = np.empty(len(order), np.int64)
     where[order] = np.cumsum(new) - 1
     first = order[new]
-    return left[first], right[first], np.bincount(where, train, len(first)).astype(np.int64), where
+    customers = np.bincount(where, train, len(first)).astype(np.int64)
+    return left[first], right[first], customers, np.split(where, np.cumsum([len(x[0]) for x in found])[:-1])
 
 
 def _per_word(left: np.ndarray, right: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, tables in its restaurant, tables that serve it) of the words of some pairs."""
+    """(id, tables in its restaurant, tables that serve it) of the words of some pairs."""
     words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
     n = len(left)
     return words, np.bincount(at[:n], tables, len(words)), np.bincount(at[n:], tables, len(words))
 
 
+def _answers(words: DataFrame, packs: dict[str, Callable[[np.ndarray], bytes]]) -> DataFrame:
+    """Some columns of ``words`` (with keys) for the chunks that ask for them, each packed as
+    ``packs`` says: (chunk, at, ...), at being the numbers of some of its words. Nothing moves:
+    a partition answers to every chunk."""
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, *values = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(key)
+        key, values = key[order], [v[order] for v in values]
+        cuts = np.flatnonzero(np.diff(key >> 32)) + 1
+        parts = list(itertools.pairwise([0, *cuts.tolist(), len(key)]))
+        return pa.RecordBatch.from_arrays([
+            pa.array([int(key[a]) >> 32 for a, _ in parts], pa.int32()),
+            pa.array([_packed_rising(key[a:b] & 0xFFFFFFFF) for a, b in parts], pa.binary()),
+            *(pa.array([pack(v[a:b]) for a, b in parts], pa.binary()) for v, pack in zip(values, packs.values(), strict=True)),
+        ], names=["chunk", "at", *packs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            keys = batch.column(0)
+            times = np.diff(keys.offsets.to_numpy())
+            held.append((keys.flatten().to_numpy(), *(np.repeat(column.to_numpy(), times) for column in batch.columns[1:])))
+            size += len(held[-1][0])
+            if size >= ANSWERS:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return words.select("keys", *packs).mapInArrow(run, ", ".join(["chunk int, at binary", *(f"{name} binary" for name in packs)]))
+
+
+def _with_ids(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """``pairs`` with the ids of their words, from ``told`` (chunk, at, id)."""
+
+    def run(key, rows: pa.Table, found: pa.Table) -> pa.Table:
+        parts = [(_unpacked_rising(at), _unpacked_rising(id_)) for at, id_ in _listed(found, "at", "id")]
+        ids = np.zeros(sum(len(at) for at, _ in parts), np.int64)
+        for at, id_ in parts:
+            ids[at] = id_
+        mine = [_packed_rising(ids[_unpacked_rising(numbers)]) for numbers, in _listed(rows, "numbers")]
+        return rows.append_column("ids", pa.array(mine, pa.binary()))
+
+    columns = ["chunk", "first", "bucket", "numbers", "pairs", "counts"]
+    return pairs.select(*columns).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
+        run, "chunk int, first int, bucket int, numbers binary, pairs binary, counts binary, ids binary"
+    )
+
+
 def _opened(pairs: DataFrame) -> DataFrame:
-    """(bucket, h, inside, serving, once, twice): for the words of a bucket their tables
-    before any sampling, one for each pair, and (h null) how many pairs have one and two customers."""
+    """(bucket, id, inside, serving, asked, once, twice): for the words of a bucket their tables
+    before any sampling, one for each pair, and whether a pair of theirs has more customers
+    than one; and (id null) how many pairs have one and two customers."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         left, right, c, _ = _merged(rows)
-        seen = c > 0
+        seen, many = c > 0, c > 1
         words, inside, serving = _per_word(left[seen], right[seen], np.ones(int(seen.sum())))
+        asked = np.isin(words, np.concatenate([left[many], right[many]]))
         n = len(words)
+        listed = lambda values, kind: pa.concat_arrays([pa.array(values).cast(kind), pa.nulls(1, kind)])
         return pa.table({
-            "bucket": pa.array(np.full(n + 1, key[0].as_py(), np.int32)), "h": pa.array([*words.tolist(), None], pa.int64()),
-            "inside": np.append(inside, 0.0), "serving": np.append(serving, 0.0),
-            "once": np.append(np.zeros(n, np.int64), (c == 1).sum()), "twice": np.append(np.zeros(n, np.int64), (c == 2).sum()),
+            "bucket": pa.array(np.full(n + 1, key[0].as_py(), np.int32)), "id": listed(words, pa.int64()),
+            "inside": listed(inside.astype(np.int64), pa.int64()), "serving": listed(serving.astype(np.int64), pa.int64()),
+            "asked": listed(asked, pa.bool_()),
+            "once": pa.array([None] * n + [int((c == 1).sum())], pa.int64()), "twice": pa.array([None] * n + [int((c == 2).sum())], pa.int64()),
         })
 
-    return pairs.select("bucket", "left_hash", "right_hash", "train").groupBy("bucket").applyInArrow(
-        run, "bucket int, h long, inside double, serving double, once long, twice long"
+    return pairs.select("bucket", "ids", "pairs", "counts").groupBy("bucket").applyInArrow(
+        run, "bucket int, id long, inside long, serving long, asked boolean, once long, twice long"
     )
 
 
 def _seated_pairs(pairs: DataFrame, known: DataFrame, discount: float, seed: int) -> DataFrame:
-    """Seats the pairs of each bucket, given ``known`` (bucket, h, p, inside): log10 of the
-    probability of each word in the parent, and the tables of its own restaurant.
+    """Seats the pairs of each bucket, given ``known`` (bucket, id, p, inside): log10 of the
+    probability of each word in the parent, and the tables of its own restaurant. One
+    customer takes one table whatever these are, so words of such pairs alone need not be known.
 
-    Rows are (chunk, first, c, t): customers and mean tables of the pairs of a row of
-    ``pairs``; and (h, inside, serving): the new tables of a word, summed over the bucket.
+    Rows are (chunk, first, c, t): customers of the pairs of a row of ``pairs``, and the tables
+    of those with more customers than one, summed over samples; and (id, inside, serving): how
+    many tables more than one for each pair a word has in the bucket.
     """
 
     def run(key, rows: pa.Table, facts: pa.Table) -> pa.Table:
         left, right, c, where = _merged(rows)
-        seen = np.flatnonzero(c > 0)
-        t = np.zeros(len(c))
-        if len(seen):
-            h = facts.column("h").to_numpy()
-            order = np.argsort(h)
-            find = lambda words, name: facts.column(name).to_numpy()[order[np.searchsorted(h[order], words)]]
-            opening = (STRENGTH + discount * find(left[seen], "inside")) * 10 ** np.maximum(find(right[seen], "p"), -300)
-            seats = Seating(c[seen], discount, np.random.default_rng([seed, key[0].as_py()]))
+        many = np.flatnonzero(c > 1)
+        t = np.zeros(len(c), np.int64)
+        if len(many):
+            ids = facts.column("id").to_numpy()
+            order = np.argsort(ids)
+            find = lambda words, name: facts.column(name).to_numpy()[order[np.searchsorted(ids[order], words)]]
+            opening = (STRENGTH + discount * find(left[many], "inside")) * 10 ** np.maximum(find(right[many], "p"), -300)
+            seats = Seating(c[many], discount, np.random.default_rng([seed, key[0].as_py()]))
             for _ in range(SAMPLES):  # the weights stay, so each is a draw of its own
                 seats.step(opening)
-                t[seen] += seats.tables() / SAMPLES
-        words, inside, serving = _per_word(left[seen], right[seen], t[seen])
+                t[many] += seats.tables()
+        more = many[t[many] != SAMPLES]
+        words, inside, serving = _per_word(left[more], right[more], t[more] / SAMPLES - 1)
         n, m = rows.num_rows, len(words)
-        offsets = rows.column("train").combine_chunks().offsets
-        offsets = pa.array(offsets.to_numpy() - offsets.to_numpy()[0])
-        listed = lambda values, kind: pa.concat_arrays(
-            [pa.ListArray.from_arrays(offsets, pa.array(values, kind)), pa.nulls(m, pa.list_(kind))]
-        )
-        lead = lambda column, kind: pa.concat_arrays([rows.column(column).combine_chunks(), pa.nulls(m, kind)])
+        lead = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(m, kind)])
         tail = lambda values, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
         return pa.table({
-            "chunk": lead("chunk", pa.int32()), "first": lead("first", pa.int32()),
-            "c": listed(c[where], pa.int64()), "t": listed(t[where].astype(np.float32), pa.float32()),
-            "h": tail(words, pa.int64()), "inside": tail(inside, pa.float64()), "serving": tail(serving, pa.float64()),
+            "chunk": lead(rows.column("chunk").to_pylist(), pa.int32()), "first": lead(rows.column("first").to_pylist(), pa.int32()),
+            "c": lead([_packed(c[at]) for at in where], pa.binary()), "t": lead([_packed(t[at][c[at] > 1]) for at in where], pa.binary()),
+            "id": tail(words, pa.int64()), "inside": tail(inside, pa.float64()), "serving": tail(serving, pa.float64()),
         })
 
-    mine = pairs.select("bucket", "chunk", "first", "left_hash", "right_hash", "train")
+    mine = pairs.select("bucket", "chunk", "first", "ids", "pairs", "counts")
     return mine.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        run, "chunk int, first int, c array<long>, t array<float>, h long, inside double, serving double"
+        run, "chunk int, first int, c binary, t binary, id long, inside double, serving double"
     )
 
 
@@ -512,15 +665,15 @@ def _spelled(words: DataFrame, seed: int) -> Letters:
 
 
 def _seated(words: DataFrame, letters: Letters, discount: float, tables: float, end_share: float, seed: int) -> DataFrame:
-    """(h, k, t, base) of ``words`` (h, word, k): the mean number of tables of its k
-    customers over samples, and log10 of the base probability. Words of one batch are seated
-    together; the restaurant's total of tables is that of the round before."""
+    """``words`` (id, word, c, inside, k) with (t, base): the mean number of tables of the k
+    customers of each over samples, and log10 of the base probability. Words of one batch are
+    seated together; the restaurant's total of tables is that of the round before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             rng = np.random.default_rng([seed, part, number])
-            words_, c = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(np.int64)
+            words_, c = batch.column("word").to_pylist(), batch.column("k").to_numpy().astype(np.int64)
             base = letters.log10(words_) + np.log10(1 - end_share)
             base[[w == END for w in words_]] = np.log10(end_share)
             seated = np.flatnonzero(c > 0)
@@ -530,11 +683,11 @@ def _seated(words: DataFrame, letters: Letters, discount: float, tables: float,
             for _ in range(SAMPLES):  # the weights stay, so each is a draw of its own
                 seats.step(opening)
                 t[seated] += seats.tables() / SAMPLES
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(t), pa.array(base)], names=["h", "k", "t", "base"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t), pa.array(base)], names=[*batch.schema.names, "t", "base"])
 
-    return words.select("h", "word", "k").mapInArrow(run, "h long, k long, t double, base double")
+    return words.select("id", "word", "c", "inside", "k").mapInArrow(
+        run, "id long, word binary, c long, inside double, k long, t double, base double"
+    )
 
 
 def _covered(words: DataFrame, letters: Letters, share: float) -> float:
@@ -565,7 +718,8 @@ def score(docs: DataFrame, held_out: Column | None = None, seed: int = 42) -> Da
 
     Words and pairs of words are counted per chunk of documents, so a frequent one is one
     row or item per chunk. Pairs meet in buckets by hash, whose number follows the text;
-    the answers go back to the chunks.
+    the answers go back to the chunks. What many rows share is packed before it is moved or
+    kept, and tables of a step are dropped when the next one is there.
     """
     with shuffles_freed(docs.sparkSession):
         return _scored(docs, held_out, seed)
@@ -576,96 +730,104 @@ def _scored(docs: DataFrame, held_out: Column | None, seed: int) -> DataFrame:
     bound_batches(spark)
     held_out = F.lit(False) if held_out is None else held_out
     folder = scratch_folder(spark, "hpylm")
+
+    def kept(table: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        table.write.option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
     chars = docs.agg(F.sum(F.length(text_of()).cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
-    _chunks(docs, held_out, buckets).write.option("compression", "zstd").parquet(folder + "/chunks")
-    chunks = spark.read.parquet(folder + "/chunks")
-    asked = chunks.filter("words IS NOT NULL").select(
-        "chunk", "first", "train", F.posexplode("words").alias("pos", "word")
-    ).select(
-        "word", F.get("train", F.col("pos")).cast("long").alias("n"),
-        (F.shiftleft(F.col("chunk").cast("long"), 32) + F.col("first") + F.col("pos")).alias("key"),
-    )
-    asked.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list("key").alias("keys")).write.option(
-        "compression", "zstd"
-    ).parquet(folder + "/words")
-    words = spark.read.parquet(folder + "/words").withColumn("h", F.xxhash64("word"))
+    chunks = kept(_chunks(docs, held_out, buckets), "chunks", ["kind"])
+    words = kept(_numbered(chunks.filter("kind = 'words'").select("chunk", "first", "range", "words", "train")), "words")
     facts = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = facts.n, facts.v
-    ends = chunks.filter("at IS NOT NULL AND NOT held_out").count()
+    ends = chunks.filter("kind = 'documents'").agg(F.sum("train_docs")).first()[0] or 0
     end_share = ends / total if total else 0.5
 
-    pairs = chunks.filter("bucket IS NOT NULL")
-    _opened(pairs).write.option("compression", "zstd").parquet(folder + "/opened")
-    opened = spark.read.parquet(folder + "/opened")
+    pairs = kept(_with_ids(chunks.filter("kind = 'pairs'"), _answers(words, {"id": _packed_rising})), "pairs")
+    for kind in ("pairs", "words"):
+        drop(spark, f"{folder}/chunks/kind={kind}")
+    opened = kept(_opened(pairs), "opened")
     pair_facts = opened.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
     pair_discount = discount_of(pair_facts.once or 0, pair_facts.twice or 0)
 
-    def customers(tables: DataFrame) -> tuple[DataFrame, float]:
-        """``words`` with k, the tables that serve each in the restaurants of contexts, and
-        inside, those of its own; and the discount of the word restaurant."""
-        sums = tables.filter("h IS NOT NULL").groupBy("h").agg(F.sum("inside").alias("inside"), F.sum("serving").alias("serving"))
-        found = checkpointed(words.drop("keys").join(sums, "h", "left").select(
-            "h", "word", "c", F.coalesce("inside", F.lit(0.0)).alias("inside"),
-            F.rint(F.coalesce("serving", F.lit(0.0))).cast("long").alias("k"),
-        ))
+    def customers(of: DataFrame, tables: DataFrame, name: str) -> tuple[DataFrame, float]:
+        """``of`` (id, word, c, inside, k) with the ``tables`` added: k those that serve each in the
+        restaurants of contexts, and inside those of its own; and the discount of the word restaurant."""
+        sums = tables.filter("id IS NOT NULL").groupBy("id").agg(F.sum("inside").alias("more"), F.sum("serving").alias("serving"))
+        found = kept(of.select("id", "word", "c", "inside", "k").join(sums, "id", "left").select(
+            "id", "word", "c", (F.col("inside") + F.coalesce("more", F.lit(0))).cast("double").alias("inside"),
+            F.rint(F.col("k") + F.coalesce("serving", F.lit(0))).cast("long").alias("k"),
+        ), name)
         rare = found.agg(F.count_if(F.col("k") == 1).alias("once"), F.count_if(F.col("k") == 2).alias("twice")).first()
         return found, discount_of(rare.once, rare.twice)
 
     def spelled(found: DataFrame, weight: Column, seed: int) -> Letters:
         return _spelled(found.filter((F.col("k") > 0) & (F.col("word") != F.lit(END))).select("word", weight.alias("t")), seed)
 
-    def probabilities(found: DataFrame, letters: Letters, discount: float, tables: float, seed: int) -> tuple[DataFrame, float, float]:
-        """(h, p, t): log10 of the probability in the word restaurant; the weight of its base; its norm."""
-        seated = checkpointed(_seated(found, letters, discount, tables, end_share, seed))
+    def probabilities(found: DataFrame, letters: Letters, discount: float, tables: float, seed: int, name: str) -> tuple[DataFrame, float, float]:
+        """``found`` with (t, p): log10 of the probability in the word restaurant; the weight of its base; its norm."""
+        seated = kept(_seated(found, letters, discount, tables, end_share, seed), name)
         sums = seated.agg(F.sum("t").alias("t"), F.sum("k").alias("k")).first()
         new, norm = STRENGTH + discount * (sums.t or 0.0), STRENGTH + (sums.k or 0)
         log = F.log10((F.col("k") - discount * F.col("t") + F.lit(new) * F.pow(F.lit(10.0), "base")) / F.lit(norm))
         # A base below the range of doubles is added as a logarithm.
         log = F.when(F.col("k") > 0, log).otherwise(F.col("base") + F.lit(float(np.log10(new / norm))))
-        return seated.select("h", log.alias("p"), "t"), new, norm
+        return seated.withColumn("p", log), new, norm
 
     # Round one: every word type is spelled once, every pair has one table. Round two: words
     # are spelled as often as they have tables, pairs are seated. Round three: words again.
-    found, discount = customers(opened)
+    none = F.lit(0).cast("long")
+    found, discount = customers(words.withColumns({"inside": none, "k": none}), opened, "found")
     letters = spelled(found, F.lit(1).cast("long"), seed)
     tables = float(found.filter("k > 0").agg(F.sum(F.pow(F.col("k"), F.lit(discount)))).first()[0] or 0.0)
-    first, new, _ = probabilities(found, letters, discount, tables, seed)
-    heard = opened.filter("h IS NOT NULL").select("bucket", "h").join(found.select("h", "inside").join(first.select("h", "p"), "h"), "h")
-    _seated_pairs(pairs, heard, pair_discount, seed + 1).write.option("compression", "zstd").parquet(folder + "/pairs")
-    seated_pairs = spark.read.parquet(folder + "/pairs")
+    first, new, _ = probabilities(found, letters, discount, tables, seed, "first")
+    drop(spark, f"{folder}/found")
+    heard = opened.filter("asked").select("bucket", "id").join(first.select("id", "p", "inside"), "id")
+    seated_pairs = kept(_seated_pairs(pairs, heard, pair_discount, seed + 1), "seated")
+    drop(spark, f"{folder}/opened")
 
     tables = (new - STRENGTH) / discount
-    letters = spelled(found.join(first.select("h", "t"), "h"), F.greatest(F.rint("t").cast("long"), F.lit(1)), seed + 2)
-    found, discount = customers(seated_pairs)
-    last, new, norm = probabilities(found, letters, discount, tables, seed + 3)
-    known = found.filter((F.col("c") > 0) & (F.col("word") != F.lit(END)))
+    letters = spelled(first, F.greatest(F.rint("t").cast("long"), F.lit(1)), seed + 2)
+    found, discount = customers(first, seated_pairs, "found_again")
+    drop(spark, f"{folder}/first")
+    last, new, norm = probabilities(found, letters, discount, tables, seed + 3, "last")
+    drop(spark, f"{folder}/found_again")
+    known = last.filter((F.col("c") > 0) & (F.col("word") != F.lit(END)))
     beyond = 1 - _covered(known, letters, 1 - end_share) - end_share * (ends > 0)
     unknown_log = float(np.log10(new / norm * max(beyond, 1e-9)))
 
-    answers = words.select("h", "keys").join(found.select("h", "c", "inside").join(last.select("h", "p"), "h"), "h").select(
-        F.explode("keys").alias("key"), "c", F.col("p").cast("float").alias("p"), "inside"
-    ).select(
-        F.shiftright("key", 32).cast("int").alias("chunk"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"),
-        "c", "p", "inside",
-    )
+    answers = kept(_answers(
+        words.select("id", "keys").join(last.select("id", F.col("c").alias("word_c"), F.col("p").alias("word_p"), F.col("inside").alias("word_inside")), "id"),
+        {
+            "word_c": _packed, "word_p": lambda p: _packed(p.astype(np.float32).view(np.uint32)),
+            "word_inside": lambda tables: _packed(np.rint(tables * SAMPLES)),
+        },
+    ), "answers")
+    for name in ("words", "last"):
+        drop(spark, f"{folder}/{name}")
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(key, rows: pa.Table, found: pa.Table) -> pa.Table:
         # Words: their numbers of the chunk, customers, probability and tables.
-        word = found.filter(found.column("at").is_valid())
-        where = word.column("at").to_numpy()
-        size = int(where.max()) + 1 if len(where) else 0
+        word = [
+            (_unpacked_rising(at), _unpacked(c), _unpacked(p).astype(np.uint32).view(np.float32), _unpacked(inside) / SAMPLES)
+            for at, c, p, inside in _listed(found.filter(found.column("at").is_valid()), "at", "word_c", "word_p", "word_inside")
+        ]
+        size = sum(len(x[0]) for x in word)
         logs, counts, inside = np.zeros(size), np.zeros(size, np.int64), np.zeros(size)
-        logs[where], counts[where] = word.column("p").to_numpy(), word.column("c").to_numpy()
-        inside[where] = word.column("inside").to_numpy()
+        for at, c, p, tables in word:
+            counts[at], logs[at], inside[at] = c, p, tables
         # Pairs: both words, and what the restaurant of the left one knows of the right one.
-        seats = found.filter(found.column("pair_c").is_valid())
-        lists = rows.filter(rows.column("left").is_valid())
-        in_order = lambda t: t.take(np.argsort(t.column("first").to_numpy(), kind="stable"))
-        seats, lists = in_order(seats), in_order(lists)
-        left, right = _flat(lists, "left"), _flat(lists, "right")
-        served = _flat(seats, "pair_c") - pair_discount * _flat(seats, "pair_t")
+        in_order = lambda t: t.filter(t.column("first").is_valid()).sort_by("first")
+        left, right = map(np.concatenate, zip(*(
+            _pairs(packed, _unpacked_rising(numbers)) for packed, numbers in _listed(in_order(rows), "pairs", "numbers")
+        ), strict=True))
+        seats = list(_listed(in_order(found), "pair_c", "pair_t"))
+        pair_c = np.concatenate([_unpacked(c) for c, _ in seats])
+        pair_t = np.minimum(pair_c, 1).astype(float)
+        pair_t[pair_c > 1] = np.concatenate([_unpacked(t) for _, t in seats]) / SAMPLES
+        served = pair_c - pair_discount * pair_t
         fresh = np.log10((STRENGTH + pair_discount * inside) / (STRENGTH + counts))[left]
         seen = np.log10(np.maximum(served, 1e-300) / (STRENGTH + counts[left]))
 
@@ -674,22 +836,26 @@ def _scored(docs: DataFrame, held_out: Column | None, seed: int) -> DataFrame:
             return np.where(served > 0, np.logaddexp(seen * np.log(10), lower * np.log(10)) / np.log(10), lower)
 
         base = np.log10((counts + 1) / (total + distinct + 1))
+        values = [(counts > 0)[right], base[right], given(np.where(counts > 0, logs, unknown_log)), given(logs)]
         docs_ = rows.filter(rows.column("at").is_valid())
-        at, times = docs_.column("at").combine_chunks(), docs_.column("times").combine_chunks()
-        flat, often = at.flatten().to_numpy(), times.flatten().to_numpy()
-        owner = np.repeat(np.arange(docs_.num_rows), np.diff(at.offsets.to_numpy()))
-        summed = lambda values: np.bincount(owner, values[flat] * often, docs_.num_rows)
+        n_words, sums = [], []
+        for packed, at, times in _listed(docs_, "n_words", "at", "times"):
+            n_words.append(_unpacked(packed))
+            owner, flat = np.divmod(_unpacked_rising(at), len(left))
+            often = _unpacked(times) + 1
+            sums.append([np.bincount(owner, v[flat] * often, len(n_words[-1])) for v in values])
+        n_words = np.concatenate(n_words)
+        n_known, based, scored, spelled_ = map(np.concatenate, zip(*sums, strict=True))
         return pa.table({
-            "doc_id": docs_.column("doc_id"), "held_out": docs_.column("held_out"),
-            "n_tokens": pa.array(docs_.column("n_words").to_numpy() + 1),
-            "n_known": pa.array(summed((counts > 0)[right]).astype(np.int64)),
-            "train_tokens": pa.array(np.full(docs_.num_rows, total, np.int64)),
-            "base_score": pa.array(summed(base[right])),
-            "score": pa.array(summed(given(np.where(counts > 0, logs, unknown_log)))),
-            "open_score": pa.array(summed(given(logs))),
+            "doc_id": docs_.column("doc_ids").combine_chunks().flatten(), "held_out": docs_.column("held_out").combine_chunks().flatten(),
+            "n_tokens": pa.array(n_words + 1), "n_known": pa.array(n_known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(n_words), total, np.int64)),
+            "base_score": pa.array(based), "score": pa.array(scored), "open_score": pa.array(spelled_),
         })
 
-    rows = chunks.filter("words IS NULL").select("chunk", "doc_id", "held_out", "n_words", "at", "times", "first", "left", "right")
+    rows = chunks.filter("kind = 'documents'").select("chunk", "doc_ids", "held_out", "n_words", "at", "times").unionByName(
+        pairs.select("chunk", "first", "numbers", "pairs"), allowMissingColumns=True
+    )
     told = answers.unionByName(
         seated_pairs.filter("chunk IS NOT NULL").select("chunk", "first", F.col("c").alias("pair_c"), F.col("t").alias("pair_t")),
         allowMissingColumns=True,
