@@ -3,17 +3,19 @@
 import itertools
 import os
 import random
+import re
 from collections import Counter
 
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tables import prose
 
 from tracewell import session
 from tracewell.llm import hpylm, jaccard, lines, mixing, negatives, packing, pii, quality, rules, search, simhash, toxicity
-from tracewell.llm.common import connected_groups, running_total
+from tracewell.llm.common import connected_groups, running_total, sieved
 
 
 @pytest.mark.parametrize("block", [4096, 16])
@@ -350,6 +352,46 @@ def test_fuzzy_lines_form_groups(spark):
         assert lines.similar(lines.normalised(texts[3 * i])[0], lines.normalised(texts[3 * i + 1])[0], 0.8)
 
 
+@pytest.mark.parametrize("most", [1 << 19, 3])
+def test_sieve_lets_all_that_are_wanted_pass(spark, most):
+    """Whatever the cells; with enough of them few others pass, and no row is moved or lost."""
+    rows = spark.range(4000).selectExpr("id", "xxhash64(id) AS h", "id AS may_cell")
+    seen = sieved(rows, "may", F.col("h"), rows.filter("id % 10 = 0").selectExpr("h AS id"), most)
+    assert seen.columns == ["id", "h", "may_cell", "may"]
+    found = {r.id: r.may for r in seen.collect()}
+    assert len(found) == 4000 and all(found[i] for i in range(0, 4000, 10))
+    assert most == 3 or sum(found.values()) < 700
+    assert not any(r.may for r in sieved(rows, "may", F.col("h"), rows.filter("false").select("h"), most).collect())
+
+
+def _moved(df):
+    """The columns of the rows that the plan of ``df`` shuffles, by shuffle."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [set(re.findall(r"(\w+)#", found)) for found in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+
+
+def test_texts_are_sieved_where_they_are_read(spark, monkeypatch):
+    """With more lines than are broadcast: only the lines looked for are moved, never whole texts
+    to find them, and of the texts only those that lose lines; the result is the same."""
+    monkeypatch.setattr(lines, "broadcast_if_small", lambda df, rows: df)
+    spelled, texts = [], lines._texts
+    monkeypatch.setattr(lines, "_texts", lambda *a: spelled.append(texts(*a)) or spelled[-1])
+    seen, sieve = [], lines.sieved
+    monkeypatch.setattr(lines, "sieved", lambda *a: seen.append((a[1], sieve(*a))) or seen[-1][1])
+    rng = random.Random(7)
+    own = ["\n".join(prose(rng, 12) for _ in range(3)) for _ in range(200)]
+    common = prose(rng, 12)
+    rows = [(i, f"{t}\n{common}" if i < 20 else t) for i, t in enumerate(own)]
+    left = lines.deduplicated(spark.createDataFrame([*rows, (None, None), (900, "")], "doc_id long, text string"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in left.collect()}
+    want = {i: (own[i] if i else rows[0][1], 3 + (i < 20), int(0 < i < 20)) for i in range(200)}
+    assert got == want | {None: (None, 1, 0), 900: ("", 1, 0)}
+    moved = _moved(spelled[0])
+    assert moved and not any("text" in columns for columns in moved)
+    may = [df.filter("_may").count() for mark, df in seen if mark == "_may"]
+    assert len(may) == 1 and 19 <= may[0] < 60
+
+
 def test_short_lines_and_lines_without_spaces(spark):
     """Equal lines of any length are one; a script without spaces is compared by characters."""
     signs = "".join(chr(0x4E00 + 37 * i % 20000) for i in range(1500))
