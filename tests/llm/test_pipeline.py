@@ -7,6 +7,7 @@ import pytest
 from tables import SCHEMA, odd_rows, written
 
 import corpus_pipeline as pipeline
+from tracewell.llm import lines
 from tracewell.llm.lines import normalised
 
 
@@ -91,3 +92,16 @@ def test_near_copies_go(spark, tmp_path):
     assert {2 * i for i in range(150)} <= kept and {2 * i + 1 for i in range(150) if i not in near} <= kept
     caught = sum(2 * i + 1 not in kept for i in near)
     assert 50 < len(near) < 150 and caught >= 0.9 * len(near), (caught, len(near))
+
+
+def test_line_dedup_moves_only_texts_that_lose_lines(spark, monkeypatch):
+    """Stage 2 with more lines than are broadcast: other texts stay where they are read."""
+    monkeypatch.setattr(lines, "broadcast_if_small", lambda df, rows: df)
+    seen, sieve = [], lines.sieved
+    monkeypatch.setattr(lines, "sieved", lambda *a: seen.append(sieve(*a)) or seen[-1])
+    own = [" ".join(f"w{(i * 9 + k) * 7919 % 10007}" for k in range(9)) for i in range(300)]
+    rows = [(i, f"{text}\none line that stands in ten of a hundred" if i % 10 == 0 else text, 0) for i, text in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = pipeline.without_repeated_lines(spark, docs, "")
+    assert {r.doc_id: r.text for r in left.collect()} == {i: own[i] if i else rows[0][1] for i in range(300)}
+    assert 29 <= seen[-1].filter("_may").count() < 100
